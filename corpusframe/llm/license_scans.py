@@ -133,7 +133,7 @@ def oracle() -> str:
     h AS (SELECT u.* FROM u SEMI JOIN v ON u.x = v.x),
     idf AS (SELECT v.x, ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT rid) + 1)) AS idf FROM v LEFT JOIN h ON v.x = h.x GROUP BY v.x),
     p AS (SELECT d.rid, d.w, t.*, h.i - t.pos AS s FROM h JOIN t ON h.x = t.word JOIN d ON d.rid = h.rid),
-    ok AS (SELECT * FROM p WHERE len(list_filter(runs, k -> w[s + k.pos + 1 : s + k.pos + len(k.run)] = k.run AND s + k.pos >= 0)) = len(runs)),
+    ok AS (SELECT * FROM p WHERE len(list_filter(runs, lambda k: w[s + k.pos + 1 : s + k.pos + len(k.run)] = k.run AND s + k.pos >= 0)) = len(runs)),
     tw AS (SELECT t, unnest(words) AS x, generate_subscripts(words, 1) - 1 AS j FROM t),
     sc AS (SELECT ok.rid, ok.t, ok.s, round(sum(CASE WHEN h.i IS NOT NULL THEN idf.idf ELSE 0 END) / greatest(sum(idf.idf), 1e-9), 6) AS score
            FROM ok JOIN tw ON tw.t = ok.t JOIN idf ON idf.x = tw.x LEFT JOIN h ON h.rid = ok.rid AND h.i = ok.s + tw.j AND h.x = tw.x GROUP BY ALL),
