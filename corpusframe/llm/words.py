@@ -100,6 +100,19 @@ def words_of(texts: pa.Array, between: np.ndarray) -> Words:
     return Words(data, start, end, row, h, first)
 
 
+def prefix_hashes(w: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size the hash of the first so many bytes of every word, 0 for words that are no longer than that."""
+    out, size = [], w.end - w.start
+    h = np.zeros(len(w.start), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(max(sizes)):
+            at = np.minimum(w.start + j, max(len(w.data) - 1, 0))
+            h = h * np.uint64(_STEP) + _VALUE[w.data[at]] if len(at) else h
+            if j + 1 in sizes:
+                out.append(np.where(size > j + 1, _mixed(h + np.uint64(j + 1)), np.uint64(0)))
+    return out
+
+
 def shingle_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every run of so many words; a row with fewer words, but not none, has its whole sequence as one run."""
     n = len(w.hash)
