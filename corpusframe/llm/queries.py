@@ -1,6 +1,6 @@
 """Queries opN_<name> over the shared tables, and the SQL that DuckDB can check them with."""
 
-from corpusframe.llm import decontamination, fingerprints, license_scans, line_dedup, sharding, toxicity, url_filters
+from corpusframe.llm import decontamination, fingerprints, license_scans, line_dedup, mixing, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_license_scans": license_scans.op1_license_scans,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_mixing": mixing.op8_mixing,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE_SQL = {
