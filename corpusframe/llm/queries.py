@@ -1,11 +1,12 @@
 """Queries opN_<name> over the shared tables, and the SQL that DuckDB can check them with."""
 
-from corpusframe.llm import decontamination, fingerprints, license_scans, line_dedup, mixing, sharding, toxicity, url_filters
+from corpusframe.llm import decontamination, fingerprints, jaccard_join, license_scans, line_dedup, mixing, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_license_scans": license_scans.op1_license_scans,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_sharding": sharding.op3_sharding,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
