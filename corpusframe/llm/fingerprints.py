@@ -26,6 +26,18 @@ def terms(text: Column) -> Column:
     return F.transform(F.array(words), lambda w: F.when(F.size(w) == 1, F.transform(w, lambda x: F.xxhash64(x))).otherwise(pairs(w)))[0]
 
 
+def weighted(terms: Column) -> Column:
+    """Sorted distinct terms of an array with their counts, as term and weight."""
+
+    def counted(t: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(t) + 1))
+        runs = F.transform(F.array(new), lambda at: F.zip_with(at, ends(at), lambda a, b: F.struct(F.get(t, a - 1).alias("term"), (b - a).cast("double").alias("weight"))))[0]
+        return F.when(F.size(t) > 0, runs)
+
+    return F.transform(F.array(F.sort_array(terms)), counted)[0]
+
+
 def sample(term: Column, weight: Column, j: int) -> Column:
     """ln a of one weighted term in sample j. Two hashes give five uniform numbers; a gamma variate of shape 2 is the negated logarithm of a product of two."""
     part = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("double") + 0.5) / float(1 << bits)
@@ -99,13 +111,14 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES, rows_per_run: int = 1
     n, follow = F.char_length("text"), F.coalesce("next_text", "text")
     cut = F.floor(n / 4).cast("int")
     near = near.select("run", "row", "guest", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring(follow, F.lit(1), cut)).alias("edited"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), terms(F.col("text")).alias("terms")), F.struct(F.lit(1).alias("side"), terms(F.col("edited")).alias("terms")))
-    each = near.select("run", "row", F.explode(sides).alias("s")).select("run", "row", "s.side", F.explode("s.terms").alias("term"))
-    weighted = each.groupBy("run", "row", "side", "term").agg(F.count("*").alias("weight"))
-    found = signatures(weighted, ["run", "row", "side"], samples=samples)
-    code = F.array(*[F.hash(F.col(f"m{j}")) for j in range(samples)])
-    found = found.select("run", "row", "side", code.alias("code")).groupBy("run", "row").agg(F.max(F.when(F.col("side") == 0, F.col("code"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("code"))).alias("edited"))
-    rows = near.select("run", "row", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).join(found, ["run", "row"], "left")
+    sides = F.array(F.struct(F.lit(0).alias("side"), weighted(terms(F.col("text"))).alias("terms")), F.struct(F.lit(1).alias("side"), weighted(terms(F.col("edited"))).alias("terms")))
+    head = ["run", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
+    near = near.select("run", "row", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(sides).alias("s"))
+    near = near.select(*head, "s.side", F.explode_outer("s.terms").alias("t")).select(*head, "side", "t.term", "t.weight")
+    found = signatures(near, [*head, "side"], samples=samples)
+    code = F.when(F.col("m0").isNotNull(), F.array(*[F.hash(F.col(f"m{j}")) for j in range(samples)]))
+    found = found.select(*head, "side", code.alias("code"))
+    rows = found.groupBy(*head).agg(F.max(F.when(F.col("side") == 0, F.col("code"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("code"))).alias("edited"))
     follow = F.lead(F.struct("own")).over(W.partitionBy("run").orderBy("row"))
     rows = rows.withColumn("next", F.coalesce(follow, F.struct("own"))["own"]).where(~F.col("guest"))
 

@@ -341,7 +341,7 @@ def similar_classes(docs: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def clustered(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, copy_of (the class, for equal sets), row_key.
+    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, component (a name that needs no id), row_key.
 
     component_id is the smallest doc_id that links reach. A text of fewer than five words, but not none, has its words as one
     shingle; a null, empty or blank text has an empty set, no links and its own id. Null ids count for nothing in minima: a
@@ -355,9 +355,29 @@ def clustered(docs: DataFrame) -> DataFrame:
     classes = listed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     whole = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "least", "rows", "component")
     least = whole.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
-    named = whole.join(least, "component", "left").where("component is not null or rows > 1").select("cls", F.coalesce("lowest", "least").alias("component_id"))
+    named = whole.join(least, "component", "left").where("component is not null or rows > 1").select("cls", F.coalesce("lowest", "least").alias("component_id"), "component")
     out = listed.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("copy_of"), "row_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("component", "cls").alias("component"), "row_key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (same columns) with one row of each component: that of the smallest id, of the smaller hash among equal ids.
+
+    Rows without words are all kept, as they are linked with nothing. Texts are exchanged once, to meet the rows that stay.
+    """
+    found = stored(clustered(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key"))
+    kept = found.where("n_shingles > 0").groupBy("component").agg(first.alias("f")).select("f.row_key", F.lit(True).alias("single"))
+    kept = kept.union(found.where("n_shingles = 0").select("row_key", F.lit(False).alias("single")).distinct())
+    keyed = docs.withColumn("__row_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    kept = stored(kept.withColumnRenamed("row_key", "__row_key"))
+    repeated = found.where("n_shingles > 0").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row_key").alias("__row_key"))
+    repeated = stored(repeated.join(kept, "__row_key", "left_semi"))
+    out = keyed.join(kept.select("__row_key"), "__row_key", "left_semi")
+    if not repeated.isEmpty():  # the very same row several times
+        again = out.join(repeated, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+        out = out.join(repeated, "__row_key", "left_anti").unionByName(again)
+    return out.select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries opN_<name> over the shared tables, and the SQL that DuckDB can check them with."""
 
-from corpusframe.llm import decontamination, fingerprints, jaccard_join, license_scans, line_dedup, mixing, sharding, toxicity, url_filters
+from corpusframe.llm import decontamination, fingerprints, jaccard_join, license_scans, line_dedup, lm_scoring, mixing, sharding, toxicity, url_filters
 
 QUERIES = {
     "op1_license_scans": license_scans.op1_license_scans,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_mixing": mixing.op8_mixing,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 ORACLE_SQL = {
