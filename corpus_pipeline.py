@@ -1,7 +1,58 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: five stages over documents, each on all that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusframe.llm import decontamination, jaccard_join, mixing, sharding, toxicity
+from corpusframe.llm.common import read, stored
+
+#: DuckDB has no SQL for a learned score; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
+#: Of the tokens that reach the mix, the part it takes; a document is used once.
+MIX_SHARE, MIX_EPOCHS, SEED, SHARDS = 0.9, 1, 11, 40
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the model is fitted to the labels of these documents."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return jaccard_join.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the passages they share with test items, and without those that are mostly such passages."""
+    return decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents chosen so that domains, languages and sources come near their target weights."""
+    return mixing.mixed(docs, None, mixing.WEIGHTS, MIX_EPOCHS, SEED, share=MIX_SHARE).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with size, checksum, shard and slot."""
+    return sharding.sharded(sharding.measured(docs), SHARDS).withColumn("law", F.lit("rows"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near copies", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs
