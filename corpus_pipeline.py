@@ -27,7 +27,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages they share with test items, and without those that are mostly such passages."""
-    return decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+    cut = decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+    return cut.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
