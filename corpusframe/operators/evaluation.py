@@ -92,6 +92,7 @@ def check_answers(answers: DataFrame) -> DataFrame:
 
 
 def dot(a, b) -> Column:
+    """Products of doubles, summed in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -145,9 +146,9 @@ def choose_k(rows: DataFrame, grid=(3, 5, 7, 9, 11, 15), key: str = "vec_id") ->
 def cache_lookup(queries: DataFrame, cache: DataFrame, days: int = 30, hit: float = 0.96, candidate: float = 0.88) -> DataFrame:
     """K1: queries(query_id, vector, model, fingerprint, at), cache(entry, vector, model, fingerprint, created): the best cosine among
     entries of the same model and fingerprint that are not too old, the first entry among equals; tier hit, candidate or miss."""
-    c = cache.select("entry", F.col("vector").alias("__v"), "model", "fingerprint", "created")
+    c = cache.select("entry", unit("vector").alias("__v"), "model", "fingerprint", "created")
     fresh = (F.col("created") <= F.col("at")) & (F.col("created") >= F.col("at") - F.expr(f"INTERVAL {days} DAYS"))
-    pairs = queries.join(c, ["model", "fingerprint"]).where(fresh).select("query_id", "entry", F.round(dot(unit("vector"), unit("__v")), 6).alias("sim"))
+    pairs = queries.withColumn("__u", unit("vector")).join(c, ["model", "fingerprint"]).where(fresh).select("query_id", "entry", F.round(dot("__u", "__v"), 6).alias("sim"))
     best = pairs.groupBy("query_id").agg(F.max_by(F.struct("entry", "sim"), F.struct("sim", -F.col("entry"))).alias("b"))
     out = queries.select("query_id").join(best, "query_id", "left")
     tier = F.when(F.col("b.sim") >= hit, "hit").when(F.col("b.sim") >= candidate, "candidate").otherwise("miss")

@@ -183,10 +183,10 @@ ORACLE_SQL = {
     "R17_longest_run": f"WITH {QUESTIONS}, {_RUNS} SELECT * FROM runs",
     "E1_document_ranking": f"WITH {_BM25} SELECT query_id, source AS name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source) AS INT) AS rank FROM bm JOIN documents USING (doc_id) GROUP BY query_id, source",
     "I1_knn": f"WITH {_VOTE} SELECT * FROM pr",
-    "I3_class_scores": f"WITH {_VOTE}, c AS (SELECT label AS class, count(*) AS support, count_if(label = predicted) AS hit FROM pr JOIN embeddings USING (vec_id) GROUP BY label), s AS (SELECT predicted AS class, count(*) AS said FROM pr GROUP BY predicted), z AS (SELECT class, support, coalesce(hit / said, 0) AS p, hit / support AS r FROM c LEFT JOIN s USING (class)) SELECT class, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM z",
+    "I3_class_scores": f"WITH {_VOTE}, c AS (SELECT label AS class, count(*) AS support, count(*) FILTER (WHERE label = predicted) AS hit FROM pr JOIN embeddings USING (vec_id) GROUP BY label), s AS (SELECT predicted AS class, count(*) AS said FROM pr GROUP BY predicted), z AS (SELECT class, support, coalesce(hit / said, 0) AS p, hit / support AS r FROM c LEFT JOIN s USING (class)) SELECT class, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM z",
     "E3_rank_metrics": f"WITH {_JUDGED} SELECT * EXCLUDE (first) FROM me",
-    "E5_summary": f"WITH {_JUDGED} SELECT grp, count(*) AS questions, round(avg(rr), 6) AS mrr, round(avg(hit_1), 6) AS hit_1, round(avg(hit_3), 6) AS hit_3, round(avg(hit_5), 6) AS hit_5, round(avg(hit_10), 6) AS hit_10, round(avg(ap), 6) AS map, round(avg(ndcg), 6) AS ndcg, round(avg(first), 6) AS mean_rank, count_if(first IS NULL) AS misses FROM me GROUP BY GROUPING SETS ((grp), ())",
+    "E5_summary": f"WITH {_JUDGED} SELECT grp, count(*) AS questions, round(avg(rr), 6) AS mrr, round(avg(hit_1), 6) AS hit_1, round(avg(hit_3), 6) AS hit_3, round(avg(hit_5), 6) AS hit_5, round(avg(hit_10), 6) AS hit_10, round(avg(ap), 6) AS map, round(avg(ndcg), 6) AS ndcg, round(avg(first), 6) AS mean_rank, count(*) FILTER (WHERE first IS NULL) AS misses FROM me GROUP BY GROUPING SETS ((grp), ())",
     "E6_rank_distribution": f"WITH {_JUDGED}, b AS (SELECT CASE WHEN first IS NULL THEN 'miss' WHEN first > 10 THEN '>10' ELSE CAST(first AS VARCHAR) END AS bucket FROM me) SELECT n.bucket, count(b.bucket) AS n FROM (SELECT unnest(['1', '2', '3', '4', '5', '6', '7', '8', '9', '10', '>10', 'miss']) AS bucket) n LEFT JOIN b USING (bucket) GROUP BY n.bucket",
     "E7_stratified_split": "WITH r AS (SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY sha256('split|' || label || '|' || vec_id), vec_id) AS p FROM embeddings) SELECT vec_id, label, CASE WHEN p <= CASE WHEN n < 2 THEN 0 ELSE least(greatest(floor(n * 0.4 + 0.5), 1), n - 1) END THEN 'test' ELSE 'dev' END AS split FROM r",
-    "E9_gate_sweep": f"WITH {_CAND}, g AS (SELECT query_id, max(body) AS c, min(1 - body) AS d FROM cand GROUP BY query_id) SELECT CAST(l AS DOUBLE) AS least, CAST(m AS DOUBLE) AS most, count_if((c < l OR d > m) AND c < 0.9) AS caught, count_if(c < 0.9) AS total, count_if((c < l OR d > m) AND c >= 0.9) AS wrong FROM g, (SELECT unnest([0.04, 0.08, 0.12, 0.16, 0.20]) AS l), (SELECT unnest([0.8, 0.9, 1.0, 1.1, 1.2, 1.3]) AS m) GROUP BY ALL",
+    "E9_gate_sweep": f"WITH {_CAND}, g AS (SELECT query_id, max(body) AS c, min(1 - body) AS d FROM cand GROUP BY query_id) SELECT CAST(l AS DOUBLE) AS least, CAST(m AS DOUBLE) AS most, count(*) FILTER (WHERE (c < l OR d > m) AND c < 0.9) AS caught, count(*) FILTER (WHERE c < 0.9) AS total, count(*) FILTER (WHERE (c < l OR d > m) AND c >= 0.9) AS wrong FROM g, (SELECT unnest([0.04, 0.08, 0.12, 0.16, 0.20]) AS l), (SELECT unnest([0.8, 0.9, 1.0, 1.1, 1.2, 1.3]) AS m) GROUP BY ALL",
 }

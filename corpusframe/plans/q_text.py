@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "T8_clean_ocr": f"SELECT doc_id, md5({_CLEAN}) AS cleaned FROM documents",
     "T9_thin_text": f"WITH {PARAGRAPHS} SELECT doc_id, CAST(sum(length(trim(text))) AS BIGINT) AS chars, count(DISTINCT seq) AS pages, sum(length(trim(text))) < 80 * count(DISTINCT seq) AS thin FROM paragraphs GROUP BY doc_id",
     "T10_detect_language": f"SELECT doc_id, language FROM ({sql_lang()})",
-    "T8_T10_profile": f"SELECT source, language, lost, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars, count_if(dirty) AS dirty FROM (SELECT *, {_LOST} AS lost, {_CLEAN} <> text AS dirty FROM ({sql_lang()})) GROUP BY ALL",
+    "T8_T10_profile": f"SELECT source, language, lost, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE dirty) AS dirty FROM (SELECT *, {_LOST} AS lost, {_CLEAN} <> text AS dirty FROM ({sql_lang()})) GROUP BY ALL",
     "T11_numbers": "SELECT o_orderkey, translate(regexp_replace(regexp_replace(format('{:,.6f}', round(o_totalprice, 6)), '0+$', ''), '\\.$', ''), ',.', '.,') AS shown, o_totalprice AS read FROM orders",
     "T15_fingerprints": "SELECT doc_id, sha256(text) AS content, sha1(source || chr(31) || lang || chr(31) || text) AS chunk_key FROM documents",
     "T18_first_url": "SELECT page_id, url AS found FROM pages",
