@@ -32,7 +32,7 @@ PAIRS = 1 << 15
 HEAD_WORDS = 1 << 20
 ROUNDS, STEP_TOKENS, RATE = 2, 2048, 0.15
 #: Tasks that train at once at most, so that what is averaged has a bound.
-TRAINERS = 1024
+TRAINERS, TRAINER_TOKENS = 1024, 2_000_000
 _PART = 128
 END = -1
 _LOG10 = float(np.log(10))
@@ -65,22 +65,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], ["token", "bucket", "n"])
 
 
-class Vocabulary(NamedTuple):
-    """Frequent words: sorted hashes, their counts, their rank (NAMED and above: unnamed); group of each bucket; tokens and types in all."""
+class Vocabulary:
+    """Frequent words: hashes, their counts, their rank (NAMED and above: unnamed); the group of each bucket.
 
-    hash: np.ndarray
-    count: np.ndarray
-    rank: np.ndarray
-    group: np.ndarray
-    tokens: int
-    types: int
+    A slot per leading bits of a hash holds one word; the few words whose slot is taken stand in a sorted list of their own.
+    """
+
+    def __init__(self, hash: np.ndarray, count: np.ndarray, rank: np.ndarray):
+        self.hash, self.count, self.rank, self.group = hash, count, rank, np.zeros(BUCKETS, np.int64)
+        self.shift = np.uint64(64 - max(10, (4 * len(hash)).bit_length()))
+        self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        at = (hash >> self.shift).astype(np.int64)
+        self.slot[at] = np.arange(len(hash))
+        rest = np.flatnonzero(self.slot[at] != np.arange(len(hash)))
+        self.rest = rest[np.argsort(hash[rest])]
+        self.rest_hash = hash[self.rest]
 
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it is there) of each hash among the frequent words."""
         if not len(self.hash):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return at, self.hash[at] == h
+        place = self.slot[h >> self.shift]
+        there = (place >= 0) & (self.hash[place] == h)
+        if len(self.rest):
+            other = np.flatnonzero(~there & (place >= 0))
+            at = np.minimum(np.searchsorted(self.rest_hash, h[other]), len(self.rest) - 1)
+            hit = self.rest_hash[at] == h[other]
+            place[other[hit]], there[other[hit]] = self.rest[at[hit]], True
+        return place, there
 
 
 class Tokens(NamedTuple):
@@ -124,14 +136,16 @@ class Weights:
             pair = _mixed(one.astype(np.uint64) * np.uint64(SYMBOLS) + two.astype(np.uint64) + np.uint64(1))
         return [one, two, (pair & np.uint64(PAIRS - 1)).astype(np.int64)]
 
-    def log_shares(self, features: list[np.ndarray]) -> np.ndarray:
-        z = self.tables[0][features[0]]
-        z += self.tables[1][features[1]]
-        z += self.tables[2][features[2]]
+    def exponentials(self, features: list[np.ndarray], cls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(exp of each class's logit, logit of the given class), both less the row's largest where a logit is large."""
+        z = np.take(self.tables[0], features[0], axis=0)
+        z += np.take(self.tables[1], features[1], axis=0)
+        z += np.take(self.tables[2], features[2], axis=0)
         z += self.bias
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+        if z.max(initial=0) > 40:
+            z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(z)), cls] if cls is not None else z[:, 0]
+        return np.exp(z, out=z), own
 
 
 def _cooccurrence(vocabulary):
@@ -193,7 +207,8 @@ def _trainer(vocabulary, weights, rate: float):
                 features = Weights.features(t.one, t.two)
                 for i in range(0, len(t.cls), STEP_TOKENS):
                     f = [x[i : i + STEP_TOKENS] for x in features]
-                    g = np.exp(own.log_shares(f))
+                    g, _ = own.exponentials(f)
+                    g /= g.sum(1, keepdims=True)
                     g[np.arange(len(g)), t.cls[i : i + STEP_TOKENS]] -= 1
                     for k, x in enumerate(f):
                         order = np.argsort(x, kind="stable")
@@ -234,10 +249,12 @@ def _scorer(vocabulary, weights, mass):
                 base[here] = np.bincount(w.row[known], log_count[place[known]], len(part)) if known.any() else 0
                 t = tokens_of(w, v, place, known)
                 score = np.empty(len(t.cls))
-                for i in range(0, len(t.cls), 16_384):
-                    f = Weights.features(t.one[i : i + 16_384], t.two[i : i + 16_384])
-                    c = t.cls[i : i + 16_384]
-                    score[i : i + 16_384] = own.log_shares(f)[np.arange(len(c)), c] / _LOG10 - log_mass[c]
+                features = Weights.features(t.one, t.two)
+                for i in range(0, len(t.cls), STEP_TOKENS):
+                    c = t.cls[i : i + STEP_TOKENS]
+                    e, own_logit = own.exponentials([x[i : i + STEP_TOKENS] for x in features], c)
+                    score[i : i + STEP_TOKENS] = (own_logit - np.log(e.sum(1))) / _LOG10
+                score -= log_mass[t.cls]
                 model[here] = np.bincount(t.row, score, len(part))
                 rest, bounds = w.hash[~known].view(np.int64), np.searchsorted(w.row[~known], np.arange(len(part) + 1))
                 tail += [rest[bounds[i] : bounds[i + 1]] for i in range(len(part))]
@@ -273,14 +290,15 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     order = np.lexsort((h, -n))
     rank = np.full(len(h), NAMED)
     rank[order[:NAMED]] = np.arange(min(NAMED, len(h)))
-    order = np.argsort(h)
-    vocabulary = Vocabulary(h[order], n[order], rank[order], np.zeros(BUCKETS, np.int64), n_tokens, n_types)
+    vocabulary = Vocabulary(h, n, rank)
+    # a task trains on two million tokens or more: what it sends to be averaged is then small against what it reads
+    trainers = int(max(1, min(TRAINERS, n_tokens // TRAINER_TOKENS)))
 
     follows = np.zeros((BUCKETS, 65))
     shipped = spark.sparkContext.broadcast(vocabulary)
-    for r in train.select("text").coalesce(TRAINERS).mapInArrow(_cooccurrence(shipped), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary").toLocalIterator():
+    for r in train.select("text").coalesce(trainers).mapInArrow(_cooccurrence(shipped), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary").toLocalIterator():
         follows[r["part"] : r["part"] + _PART] = np.frombuffer(bytes(r["data"]), "<f4").reshape(_PART, 65)
-    vocabulary = vocabulary._replace(group=clusters(follows))
+    vocabulary.group = clusters(follows)
     # tokens plus types of each class, plus one for words never seen; words with classes of their own leave their group
     mass = np.ones(CLASSES)
     for r in totals:
@@ -295,7 +313,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     weights = Weights(np.log(mass / mass.sum()))
     for k in range(rounds):
         common = spark.sparkContext.broadcast(weights)
-        changes = train.where(F.col("round") == k).select("text").coalesce(TRAINERS).mapInArrow(_trainer(shipped, common, RATE), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary")
+        changes = train.where(F.col("round") == k).select("text").coalesce(trainers).mapInArrow(_trainer(shipped, common, RATE), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary")
         after = Weights(weights.bias)
         after.tables = [t.copy() for t in weights.tables]
         places = [(t, i) for t in range(3) for i in range(0, len(weights.tables[t]), _PART)]
