@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 KINDS = {"pdf": "pdf", "doc": "word", "docx": "word", "ppt": "slides", "pptx": "slides", "xls": "sheet", "xlsx": "sheet", "csv": "sheet", "mp3": "audio", "wav": "audio", "m4a": "audio", "mp4": "video", "html": "web", "htm": "web", "srt": "subtitle", "txt": "text", "md": "text"}
 
@@ -31,7 +32,7 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
