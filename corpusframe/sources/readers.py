@@ -44,7 +44,8 @@ def html_to_text(pages: DataFrame, blocks: bool = False, key: str = "page_id", s
     if blocks:
         t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|tr|table|section|article)\s*>|<br\s*/?>", "\n")
     t = unescaped(F.regexp_replace(t, r"(?s)<[^>]+>", " "))
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0b\f\r ]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n") if blocks else F.regexp_replace(t, r"\s+", " "))
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0b\f\r\xa0]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n") if blocks else F.regexp_replace(t, r"\s+", " ")
+    t = F.regexp_replace(t, r"^\s+|\s+$", "")
     head = F.coalesce(F.nullif(F.regexp_extract(source, r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>", 1), F.lit("")), F.regexp_extract(source, r"(?is)<title[^>]*>(.*?)</title>", 1))
     title = F.substring(F.trim(F.regexp_replace(unescaped(F.regexp_replace(head, r"<[^>]+>", " ")), r"\s+", " ")), 1, 80)
     return pages.select(key, title.alias("title"), t.alias("text"))

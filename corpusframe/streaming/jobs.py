@@ -50,8 +50,9 @@ def accepted(times: list[float], most: int, seconds: float, kept: list[float]) -
     return out, kept
 
 
-def limiter(events: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:
-    """A stream of hits(key, at, id) with allowed. State: the accepted times of a key within the window, so bounded by most."""
+def limiter(events: DataFrame, most: int = 20, seconds: int = 60, late: str = "1 day") -> DataFrame:
+    """A stream of hits(key, at, id) with allowed. State: the accepted times of a key within the window, so bounded by most; a key that is
+    quiet for a window is forgotten once the watermark has passed."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,12 +62,13 @@ def limiter(events: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["at", "id"])
         ok, kept = accepted([t.timestamp() for t in rows["at"]], most, seconds, kept)
         state.update((kept,))
-        state.setTimeoutDuration(seconds * 2000)
+        until = int((max(t.timestamp() for t in rows["at"]) + seconds) * 1000)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "id": rows["id"], "allowed": ok})
 
     schema = events.schema
     out = f"key {schema['key'].dataType.simpleString()}, id {schema['id'].dataType.simpleString()}, allowed boolean"
-    return events.groupBy("key").applyInPandasWithState(step, out, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, out, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limited(events: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:

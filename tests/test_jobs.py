@@ -179,13 +179,11 @@ def test_streams_agree_with_tables(spark, tmp_path):
     spark.createDataFrame(rows, "key string, at timestamp, id long").coalesce(1).write.parquet(str(tmp_path / "in"))
     table = spark.read.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    q = jobs.limiter(stream, 5, 600).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c1")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = jobs.limiter(stream, 5, 600).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c1")).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert {(r.id, r.allowed) for r in spark.table("limited").collect()} == {(r.id, r.allowed) for r in jobs.limited(table, 5, 600).collect()}
-    q = jobs.daily_counts(stream.withColumnRenamed("key", "kind")).writeStream.format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "c2")).outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
+    q = jobs.daily_counts(stream.withColumnRenamed("key", "kind")).writeStream.format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "c2")).outputMode("complete").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert sum(r.n for r in spark.table("daily").collect()) == 150
 
 
