@@ -249,12 +249,15 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_
     A document whose words are hit to a share above max_coverage goes; from the others every hit run of min_run words or
     more, or that is a whole short item, is cut out of the text. Untouched texts come out as they were, nulls included.
     """
+    names = docs.columns
+    aside = {c: f"__own_{c}" for c in names if c in ("n_words", "spans", "items", "longest")}
+    docs = docs.withColumnsRenamed(aside)
     schema = docs.schema
     found = contamination(docs, items, window, **more)
     found = found.where(n_hit() <= F.col("n_words") * max_coverage)
     if min_run > window:
         found = found.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["begin"] >= min_run))
-    return found.mapInArrow(_without_spans(schema.names), schema)
+    return found.mapInArrow(_without_spans(schema.names), schema).withColumnsRenamed({b: a for a, b in aside.items()}).select(*names)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

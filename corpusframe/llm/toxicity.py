@@ -20,6 +20,8 @@ from corpusframe.llm.words import NOT_ALNUM, Words, column, prefix_hashes, slice
 FIT_ROWS = 10_000
 #: A feature is tried if so many toxic documents of the sample have it, and their share is so many times that of clean ones.
 LEAST_TOXIC, LEAST_RATIO = 6, 4.0
+#: Where the bias starts, and stays without labelled documents: a sentence is taken for clean.
+BIAS = -6.0
 STEPS, RATE, SPARSITY = 250, 0.1, 1e-4
 #: Words count whole and by their first bytes, so that inflected forms share what they teach.
 PREFIXES = (4, 5, 6)
@@ -89,7 +91,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cat = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
     doc, at, y = cat(doc, np.int64), cat(at, np.int64), cat([y for _, y in sample], np.float64)
     vocabulary, index = np.unique(cat(word, np.uint64), return_inverse=True)
-    weight, bias = np.zeros(len(vocabulary)), -6.0
+    weight, bias = np.zeros(len(vocabulary)), BIAS
     m, v = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     has = np.bincount(doc, minlength=n_doc) > 0
     for step in range(1, STEPS + 1 if has.any() else 1):
@@ -125,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list:
 
 class Model:
     def __init__(self, rows: list):
-        self.bias = float(sum(r["weight"] for r in rows if r["is_bias"]))
+        self.bias = float(next((r["weight"] for r in rows if r["is_bias"]), BIAS))
         own = sorted((r["word"] % (1 << 64), r["weight"]) for r in rows if not r["is_bias"])
         self.word, self.weight = np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own], np.float64)
         self.seen = np.zeros(1 << 20, bool)
