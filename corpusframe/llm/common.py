@@ -47,23 +47,30 @@ def ascii_lower(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("K"), F.lit("ĸ")))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): node, component (its smallest node).
 
-    Labels move to neighbours and then jump to their label's label; each round is a stored table, so no node's
-    neighbours are ever gathered and a hub only meets map-side minima. Rounds stop when no label changes.
+    In every round each node hooks on to its smallest neighbour, hooks are followed by pointer jumping, and the edges are
+    drawn anew between what they lead to; loops and repeats drop out, so the graph shrinks round by round. Every step is a
+    stored table; no node's neighbours are ever gathered, a hub only meets map-side minima.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    both = stored(both.distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    labels = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("label", F.col("node")))
     for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("seen"))
-        moved = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = stored(moved.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
+        if left.isEmpty():
             break
+        both = left.union(left.select("b", "a"))
+        hooks = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+        while True:  # hooks point to smaller nodes, so paths end; each jump halves them
+            next_ = hooks.select(F.col("a").alias("to"), F.col("to").alias("far"))
+            jumped = stored(hooks.join(next_, "to", "left").select("a", F.coalesce("far", "to").alias("to"), (F.col("far") < F.col("to")).alias("moved")))
+            hooks = jumped.select("a", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        far = hooks.select(F.col("a").alias("label"), F.col("to").alias("far"))
+        labels = stored(labels.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
+        ends = left.join(hooks.withColumnRenamed("to", "x"), "a").select("x", "b").join(hooks.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        left = stored(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError("components did not settle")
     return labels.select("node", F.col("label").alias("component"))

@@ -126,12 +126,62 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(kept_cls)
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        own = [(class_of(s), s.view(np.int64)) for _, s in sets_of(column(b, "text"))]
-        for i in range(0, len(own), 500):
-            part = own[i : i + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.list_(pa.int64()))], ["cls", "shingles"])
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in a Bloom filter."""
+    h = _mixed(keys.view(np.uint64))
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _marker(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, part = np.zeros(1 << bits, bool), 1 << 16
+        for b in batches:
+            for at in _places(column(b, "row_key").to_numpy(), bits):
+                marks[at] = True
+        for i in range(0, 1 << bits, part):
+            if marks[i : i + part].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int32()), pa.array([np.packbits(marks[i : i + part]).tobytes()], pa.binary())], ["part", "marks"])
+
+    return run
+
+
+def _joined_marks(rows: pa.Table) -> pa.Table:
+    """One part of the filter; as many rows as the earlier stage had tasks."""
+    total = np.zeros(1 << 13, np.uint8)
+    for x in rows.column("marks").combine_chunks():
+        total |= np.frombuffer(x.as_buffer(), np.uint8)
+    return pa.table([rows.column("part")[:1], pa.array([total.tobytes()], pa.binary())], ["part", "marks"])
+
+
+def bloom(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """Marks of a Bloom filter over keys(row_key), sixteen bits a key, 64 MB at most, and the number of its bits as a power of two.
+
+    Only the marks reach the driver. A filter that is too full lets more rows through, and loses none.
+    """
+    bits = min(29, max(16, (16 * keys.count()).bit_length()))
+    marks = np.zeros(1 << bits, bool)
+    for r in keys.mapInArrow(_marker(bits), "part int, marks binary").groupBy("part").applyInArrow(_joined_marks, "part int, marks binary").toLocalIterator():
+        marks[r["part"] << 16 : (r["part"] + 1) << 16] = np.unpackbits(np.frombuffer(bytes(r["marks"]), np.uint8)).astype(bool)
+    return marks, bits
+
+
+def _arrays(filter_):
+    """cls, shingles of the rows that pass the filter, which are among those asked for but for a few; each class once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, bits = filter_.value
+        for b in batches:
+            one, two = _places(column(b, "row_key").to_numpy(), bits)
+            seen, own = set(), []
+            for _, s in sets_of(column(b, "text").filter(pa.array(marks[one] & marks[two]))):
+                if len(s) and (c := class_of(s)) not in seen:
+                    seen.add(c)
+                    own.append((c, s.view(np.int64)))
+            for i in range(0, len(own), 500):
+                part = own[i : i + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.list_(pa.int64()))], ["cls", "shingles"])
+
+    return run
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -276,7 +326,7 @@ def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield flush()
                 unit, cls, sets, asks = u, [], [], []
             cls.append(c)
-            sets.append(values[bounds[i] : bounds[i + 1]])
+            sets.append(values[bounds[i] : bounds[i + 1]].copy())  # or the whole batch would stay
             asks.append(q)
     if len(cls) > 1:
         yield flush()
@@ -304,19 +354,26 @@ def similar_classes(docs: DataFrame, listed: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     classes = listed.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"))
     chosen = stored(survivors(docs, classes.select("cls", "n")))
-    picked = classes.join(chosen, "cls").select("row_key")
-    texts = docs.join(picked, "row_key", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_arrays, "cls long, shingles array<long>").dropDuplicates(["cls"]))
+    picked = stored(classes.join(chosen, "cls").select("row_key"))
+    # texts are filtered where they are read: exchanging them all would cost more than what they are worth here. A class may
+    # come more than once, from repeated rows or past the filter; it then only meets itself
+    sets = stored(docs.mapInArrow(_arrays(spark.sparkContext.broadcast(bloom(picked))), "cls long, shingles array<long>"))
     table = np.zeros(1 << _BITS, np.int32)
     for r in sets.mapInArrow(_frequencies, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").toLocalIterator():
         table[r["part"] << 16 : (r["part"] + 1) << 16] = np.frombuffer(bytes(r["counts"]), "<i4")
     keys = sets.mapInArrow(_rare_keys(spark.sparkContext.broadcast(table)), "key long, cls long")
     hubs = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top").select("key", "hub")
-    ties = keys.join(hubs, "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    # a set meets its lowest hub; its other hubs meet that one: the same components, and most of those pairs are alike
+    met = keys.join(hubs, "key").select("cls", "hub").distinct()
+    met = stored(met)
+    lowest = met.groupBy("cls").agg(F.min("hub").alias("low"))
+    ties = lowest.select(F.col("cls").alias("a"), F.col("low").alias("b")).union(met.join(lowest, "cls").select(F.col("hub").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct()
     blocks = components(ties).select(F.col("node").alias("cls"), F.col("component").alias("block"))
-    placed = stored(sets.join(blocks, "cls"))
-    sizes = placed.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum(F.size("shingles")) / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    placed = placed.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    # all that is known of a set is joined before its shingles are: these then move once, and once more to their unit
+    light = blocks.join(sets.select("cls", F.size("shingles").alias("n")), "cls")
+    sizes = light.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    light = blocks.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    placed = stored(sets.join(light.hint("merge"), "cls"))
     # the hub (whose class names the block) sits in every chunk
     everywhere = F.when(F.col("cls") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     first = placed.select("block", "cls", "shingles", F.explode(everywhere).alias("c"))
@@ -333,7 +390,7 @@ def similar_classes(docs: DataFrame, listed: DataFrame) -> DataFrame:
         return found
     slices_ = rest.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("slices"))
     asks = rest.join(slices_, "block").withColumn("slice", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("slices")).cast("int"))
-    asks = asks.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets, "cls")
+    asks = asks.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(placed.where("chunks > 1").select("cls", "shingles"), "cls")
     asks = asks.select(F.concat_ws(":", "block", "c", "slice").alias("unit"), "cls", "shingles", F.lit(True).alias("asks"))
     asked = placed.where("chunks > 1").join(slices_, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     asked = asked.select(F.concat_ws(":", "block", "chunk", "slice").alias("unit"), "cls", "shingles", F.lit(False).alias("asks"))
