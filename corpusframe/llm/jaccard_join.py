@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import components, read, stored
+from corpusframe.llm.common import arrow_rows, components, read, stored
 from corpusframe.llm.words import SPACE, _mixed, column, shingle_hashes, slices, words_of
 
 SHINGLE = 5
@@ -407,8 +407,9 @@ def clustered(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    listed = stored(rows.mapInArrow(_classes, f"doc_id {kind}, row_key long, n long, cls long"))
-    found = components(similar_classes(rows.select("row_key", "text"), listed))
+    with arrow_rows(docs.sparkSession, 1000):  # every step with Python ends in a stored table before this does
+        listed = stored(rows.mapInArrow(_classes, f"doc_id {kind}, row_key long, n long, cls long"))
+        found = components(similar_classes(rows.select("row_key", "text"), listed))
     classes = listed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     whole = classes.join(found, F.col("cls") == F.col("node"), "left").select("cls", "least", "rows", "component")
     least = whole.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
