@@ -1,10 +1,9 @@
 """Document fingerprints: consistent weighted sampling of word pairs.
 
-Terms are pairs of neighbouring words (a lone word where a text has one), weighted by how often they occur. For term k with
-weight S and sample j, with r and c from Gamma(2, 1) and beta from U(0, 1), all three fixed by (k, j) alone:
-t = floor(ln S / r + beta), ln y = r (t - beta), ln a = ln c - ln y - r. The sample is the (k, t) of the least a; two texts
-agree in it with a chance equal to their generalised Jaccard similarity, the sum of minima over the sum of maxima of their
-weights. As a is a function of (k, t, j), the least ln a stands for its pair.
+Terms are pairs of neighbouring words (a lone word where a text has one), weighted by how often they occur. Weights are whole
+numbers, so a sample is the occurrence (k, i), i from 1 to the weight of term k, with the least hash of (k, i, j) in sample j;
+two texts agree in it with a chance equal to their generalised Jaccard similarity, the sum of minima over the sum of maxima of
+their weights. The least hash stands for its occurrence.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusframe.llm.common import ascii_lower, read
 
-SAMPLES = 16
+#: Of the query: a standard error of 0.038 at a similarity of 0.75.
+SAMPLES = 128
 
 
 def terms(text: Column) -> Column:
@@ -38,21 +38,22 @@ def weighted(terms: Column) -> Column:
     return F.transform(F.array(F.sort_array(terms)), counted)[0]
 
 
-def sample(term: Column, weight: Column, j: int) -> Column:
-    """ln a of one weighted term in sample j. Two hashes give five uniform numbers; a gamma variate of shape 2 is the negated logarithm of a product of two."""
-    part = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("double") + 0.5) / float(1 << bits)
-    one, two = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
-    r, c = -F.ln(part(one, 0, 32) * part(one, 32, 32)), -F.ln(part(two, 0, 24) * part(two, 24, 24))
-    beta = part(two, 48, 16)
-    t = F.floor(F.ln(weight) / r + beta).cast("double")
-    return F.ln(c) - r * (t - beta + 1.0)
+def occurrences(term: Column, weight: Column) -> Column:
+    """64-bit hashes of (term, i) for i from 1 to a whole weight."""
+    many = F.transform(F.sequence(F.lit(1), F.greatest(weight.cast("int"), F.lit(1))), lambda i: F.xxhash64(term, i))
+    return F.when(weight == 1, F.array(F.xxhash64(term, F.lit(1)))).when(weight > 1, many).otherwise(F.array().cast("array<long>"))
 
 
-def signatures(weighted: DataFrame, by: list[str], term: str = "term", weight: str = "weight", samples: int = SAMPLES) -> DataFrame:
-    """by, m0 .. m(samples-1): the least ln a of every sample over the terms of a group; null where a group has no term."""
-    w = F.col(weight).cast("double")
+def minima(rows: DataFrame, by: list[str], samples: int) -> DataFrame:
+    """by, m0 .. m(samples-1): the least hash of every sample over the occurrences `at` of a group; null where it has none."""
     # each sample inside its own aggregate: the generated code is then split into methods small enough to be compiled
-    return weighted.groupBy(*by).agg(*[F.min(sample(F.col(term), w, j)).alias(f"m{j}") for j in range(samples)])
+    return rows.groupBy(*by).agg(*[F.min(F.when(F.col("at").isNotNull(), F.xxhash64("at", F.lit(j)))).alias(f"m{j}") for j in range(samples)])
+
+
+def signatures(weighted: DataFrame, by: list[str], term: str = "term", weight: str = "weight", samples: int = SAMPLES) -> DataFrame:
+    """by, m0 .. m(samples-1): the least hash of every sample over the terms of a group with whole weights; null where a group has no term."""
+    at = F.when(F.col(term).isNotNull(), occurrences(F.col(term), F.col(weight)))
+    return minima(weighted.select(*by, F.explode_outer(at).alias("at")), by, samples)
 
 
 def starts_of_runs(docs: DataFrame, rows_per_run: int) -> list[int]:
@@ -99,26 +100,30 @@ def with_next_text(docs: DataFrame, rows_per_run: int) -> DataFrame:
     return rows.select("run", "guest", "doc_id", "text", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next_text"))
 
 
-def fingerprinted(docs: DataFrame, samples: int = SAMPLES, rows_per_run: int = 1000) -> DataFrame:
+def fingerprinted(docs: DataFrame, samples: int = 16, rows_per_run: int = 1000) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter replaced by the beginning of the next document. A fingerprint is eight hex digits
     a sample; a text without words has all f. Likeness is the share of equal samples; two texts without words are alike
-    (1), one with and one without are not (0). A null text counts as empty; repeated rows are each other's neighbours; one
+    (1), one with and one without are not (0). Its standard error at a similarity s is sqrt(s (1 - s) / samples). A null text counts as empty; repeated rows are each other's neighbours; one
     row is its own next. Equal texts have equal fingerprints. Other columns are not read; an empty table gives no rows.
     """
     near = with_next_text(docs, rows_per_run)
     n, follow = F.char_length("text"), F.coalesce("next_text", "text")
     cut = F.floor(n / 4).cast("int")
     near = near.select("run", "row", "guest", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring(follow, F.lit(1), cut)).alias("edited"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), weighted(terms(F.col("text"))).alias("terms")), F.struct(F.lit(1).alias("side"), weighted(terms(F.col("edited"))).alias("terms")))
+    expanded = lambda text: F.flatten(F.transform(F.coalesce(weighted(terms(text)), F.array().cast("array<struct<term:bigint,weight:double>>")), lambda t: occurrences(t["term"], t["weight"])))
+    near = near.select("run", "row", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), expanded(F.col("text")).alias("a"), expanded(F.col("edited")).alias("b"))
+    # what both texts have is sampled once
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), at.alias("at")) for k, at in enumerate((F.array_intersect("a", "b"), F.array_except("a", "b"), F.array_except("b", "a")))])
     head = ["run", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
-    near = near.select("run", "row", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(sides).alias("s"))
-    near = near.select(*head, "s.side", F.explode_outer("s.terms").alias("t")).select(*head, "side", "t.term", "t.weight")
-    found = signatures(near, [*head, "side"], samples=samples)
-    code = F.when(F.col("m0").isNotNull(), F.array(*[F.hash(F.col(f"m{j}")) for j in range(samples)]))
-    found = found.select(*head, "side", code.alias("code"))
-    rows = found.groupBy(*head).agg(F.max(F.when(F.col("side") == 0, F.col("code"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("code"))).alias("edited"))
+    near = near.select(*head, F.explode(sides).alias("s")).select(*head, "s.side", F.explode_outer("s.at").alias("at"))
+    found = minima(near, [*head, "side"], samples)
+    found = found.select(*head, "side", F.when(F.col("m0").isNotNull(), F.array(*[f"m{j}" for j in range(samples)])).alias("m"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))
+    rows = found.groupBy(*head).agg(of(0).alias("both"), of(1).alias("a"), of(2).alias("b"))
+    code = lambda side: F.transform(F.coalesce(F.zip_with("both", side, lambda x, y: F.least(x, y)), "both", side), lambda m: F.hash(m))
+    rows = rows.select(*head, code("a").alias("own"), code("b").alias("edited"))
     follow = F.lead(F.struct("own")).over(W.partitionBy("run").orderBy("row"))
     rows = rows.withColumn("next", F.coalesce(follow, F.struct("own"))["own"]).where(~F.col("guest"))
 
@@ -132,4 +137,4 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES, rows_per_run: int = 1
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprinted(read(spark, sf_dir, "documents"))
+    return fingerprinted(read(spark, sf_dir, "documents"), SAMPLES)
