@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
+from corpusframe.operators.chunking import spread_sample
 from corpusframe.operators.metadata import extract_numbers
 from corpusframe.operators.retrieval import bm25
 
@@ -136,11 +137,12 @@ def allocate(runs: DataFrame, files: int = 4, total: int = 4) -> DataFrame:
 
 
 def within_document(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """The best passages of each question's own document, with the corpus's statistics; questions without a hit give no rows."""
-    run = bm25(questions, chunks, "chunk_key", k=10_000)
-    own = run.join(chunks.select("chunk_key", "doc_id"), "chunk_key").join(questions.select("query_id", F.col("doc_id").alias("d")), "query_id").where("doc_id = d")
-    w = W.partitionBy("query_id").orderBy("rank")
-    return own.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "chunk_key", "place")
+    """The best passages of each question's own document, with the corpus's statistics; without a hit a sample spread over it."""
+    asked = questions.select("query_id", "doc_id").distinct()
+    own = asked.join(chunks.select("chunk_key", "doc_id"), "doc_id").select("query_id", "chunk_key")
+    hits = bm25(questions, chunks, "chunk_key", k=k, among=own).select("query_id", "chunk_key", F.col("rank").alias("place"))
+    rest = spread_sample(own.join(hits.select("query_id").distinct(), "query_id", "left_anti"), "query_id", "chunk_key", k)
+    return hits.unionByName(rest.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_key"))))
 
 
 def unreadable_match(questions: DataFrame, titles: DataFrame, least: int = 4, share: float = 0.7) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
-from corpusframe.operators import calculators, catalog, chunking, evaluation, graph, metadata, retrieval, text_jobs, usage
+from corpusframe.operators import calculators, catalog, chunking, evaluation, graph, lineage, metadata, retrieval, text_jobs, usage
 from corpusframe.operators.order import row_numbers
 from corpusframe.sources import readers
 from corpusframe.streaming import jobs
@@ -192,3 +192,11 @@ def test_registered_queries_have_functions_and_sql():
 
     queries, sql = registry.queries(), registry.oracle_sql()
     assert len(queries) > 90 and set(sql) <= set(queries)
+
+
+def test_within_document_ranks_only_the_own_document(spark):
+    rows = [(i, 2, f"alpha u{i}") for i in range(100, 10_150)] + [(1, 1, "alpha " + " ".join(f"f{i}" for i in range(50)))] + [(k, 3, "beta" + "x" * k) for k in range(2, 8)]
+    chunks = spark.createDataFrame(rows, "chunk_key long, doc_id long, text string")
+    questions = spark.createDataFrame([(1, 1, "alpha"), (2, 3, "omega"), (3, 3, "betaxxxxxx")], "query_id long, doc_id long, text string")
+    got = sorted(tuple(r) for r in lineage.within_document(questions, chunks).collect())
+    assert got == [(1, 1, 1), (2, 2, 1), (2, 3, 2), (2, 5, 3), (2, 6, 4), (3, 6, 1)]
