@@ -36,12 +36,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs meanwhile: texts and sets are long rows, and tasks hold a batch on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most so many bytes for what runs meanwhile: texts and sets are long rows, and tasks hold a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, str(rows))
+    spark.conf.set(key, str(min(most, int(before.rstrip("bB")))))
     try:
         yield
     finally:

@@ -5,11 +5,12 @@ Two texts link when their sets of 5-word shingles have a Jaccard similarity of 0
 1. every text becomes a set of 64-bit shingle hashes; texts with equal sets form a class and go on as one;
 2. the lowest-hashed part of each set is dealt by hash; a set goes on only if enough of that part is also in other sets
    (a partner has to share as much of it), which most texts of a corpus are not;
-3. the sets that remain are tied to each other by their rarest shingles; two that link share one of those, so links lie
-   inside the blocks that the ties form;
-4. inside a block, DivideSkip solves the T-occurrence problem for a set: its short inverted lists are merged by a heap, the
-   long ones are only probed by binary search for what the merge left over. Sets that are already connected are not
-   compared again, so a group of near copies costs a search for its hub instead of all pairs;
+3. of the sets that remain every shingle is counted; two that link share one of their rarest, and so both meet that shingle's
+   hub, the set that is tied most;
+4. among the sets that meet a hub, DivideSkip solves the T-occurrence problem for a set: its short inverted lists are merged
+   by a heap, the long ones are only probed by binary search for what the merge left over. Sets that are already connected
+   are not compared again, so a group of near copies costs a search for its hub instead of all pairs. Where many meet a hub
+   they are cut into chunks, the hub in each;
 5. links become components, components take the smallest doc_id.
 """
 
@@ -19,6 +20,8 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import arrow_rows, components, read, stored
+from corpusframe.llm.common import arrow_bytes, components, read, stored
 from corpusframe.llm.words import SPACE, _mixed, column, shingle_hashes, slices, words_of
 
 SHINGLE = 5
 #: Step 2 asks for this part of a set to be shared on top of the one shingle that a prefix filter asks for.
 EXTRA = 10
-#: Sets, and shingles, that one task compares at once; larger blocks are cut into chunks.
-CHUNK_SETS, CHUNK_SHINGLES = 2000, 2_000_000
-_BITS = 22
+#: Sets, and shingles, that one unit of comparison holds, about; of a hub that more sets meet there are several.
+CHUNK_SETS, CHUNK_SHINGLES = 500, 1_000_000
+#: A shingle of so many sets or more counts as common; the order of rarity takes no note of how common.
+COMMON = 10_000
+#: Lists that are counted together before the heap merges them.
+RUN = 64
+#: Largest Bloom filter (64 MB); where it would not do, rows are joined.
+FILTER_BITS = 29
+#: Of texts and sets that pass through Python at once, one row at least.
+BATCH_BYTES = 4 << 20
+HUB, MEMBER, ASKER = 0, 1, 2
 #: From the experiments of the authors of DivideSkip: weight of a probe against a merge step.
 _MU = 0.0085
 
@@ -134,13 +145,13 @@ def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _marker(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, part = np.zeros(1 << bits, bool), 1 << 16
+        marks, part = np.zeros(1 << (bits - 3), np.uint8), 1 << 13
         for b in batches:
-            for at in _places(column(b, "row_key").to_numpy(), bits):
-                marks[at] = True
-        for i in range(0, 1 << bits, part):
+            for at in _places(b.column(0).to_numpy(), bits):
+                np.bitwise_or.at(marks, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        for i in range(0, len(marks), part):
             if marks[i : i + part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int32()), pa.array([np.packbits(marks[i : i + part]).tobytes()], pa.binary())], ["part", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int32()), pa.array([marks[i : i + part].tobytes()], pa.binary())], ["part", "marks"])
 
     return run
 
@@ -153,27 +164,37 @@ def _joined_marks(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("part")[:1], pa.array([total.tobytes()], pa.binary())], ["part", "marks"])
 
 
-def bloom(keys: DataFrame) -> tuple[np.ndarray, int]:
-    """Marks of a Bloom filter over keys(row_key), sixteen bits a key, 64 MB at most, and the number of its bits as a power of two.
+def bloom(keys: DataFrame) -> tuple[np.ndarray, int] | None:
+    """Packed marks of a Bloom filter over one column of keys, sixteen bits a key, and the number of its bits as a power of two.
 
-    Only the marks reach the driver. A filter that is too full lets more rows through, and loses none.
+    None where that is above FILTER_BITS: the caller then joins instead. Only the marks reach the driver, 64 MB at most.
     """
-    bits = min(29, max(16, (16 * keys.count()).bit_length()))
-    marks = np.zeros(1 << bits, bool)
+    bits = max(16, (16 * keys.count()).bit_length())
+    if bits > FILTER_BITS:
+        return None
+    marks, part = np.zeros(1 << (bits - 3), np.uint8), 1 << 13
     for r in keys.mapInArrow(_marker(bits), "part int, marks binary").groupBy("part").applyInArrow(_joined_marks, "part int, marks binary").toLocalIterator():
-        marks[r["part"] << 16 : (r["part"] + 1) << 16] = np.unpackbits(np.frombuffer(bytes(r["marks"]), np.uint8)).astype(bool)
+        marks[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(bytes(r["marks"]), np.uint8)
     return marks, bits
 
 
+def _marked(filter_: tuple[np.ndarray, int] | None, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of the filter; without one all."""
+    if filter_ is None:
+        return np.ones(len(keys), bool)
+    marks, bits = filter_
+    one, two = _places(keys, bits)
+    return (marks[one >> 3] >> (one & 7).astype(np.uint8) & marks[two >> 3] >> (two & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _arrays(filter_):
-    """cls, shingles of the rows that pass the filter, which are among those asked for but for a few; each class once a batch."""
+    """cls, shingles of the rows that pass the filter, which are those asked for and a few more; each class once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, bits = filter_.value
+        marks = filter_.value
         for b in batches:
-            one, two = _places(column(b, "row_key").to_numpy(), bits)
             seen, own = set(), []
-            for _, s in sets_of(column(b, "text").filter(pa.array(marks[one] & marks[two]))):
+            for _, s in sets_of(column(b, "text").filter(pa.array(_marked(marks, column(b, "row_key").to_numpy())))):
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
                     own.append((c, s.view(np.int64)))
@@ -184,8 +205,15 @@ def _arrays(filter_):
     return run
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)
+def _only(filter_):
+    """The sets whose class passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = filter_.value
+        for b in batches:
+            yield b.filter(pa.array(_marked(marks, column(b, "cls").to_numpy())))
+
+    return run
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,43 +223,83 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(1 << _BITS, np.int64)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, cls of every shingle."""
     for b in batches:
-        n += np.bincount(_bucket(_flat(column(b, "shingles"))[0]), minlength=1 << _BITS)
-    part = 1 << 16
-    for i in range(0, 1 << _BITS, part):
-        if n[i : i + part].any():
-            yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int32()), pa.array([n[i : i + part].astype("<i4").tobytes()], pa.binary())], ["part", "counts"])
+        keys, bounds = _flat(column(b, "shingles"))
+        cls = np.repeat(column(b, "cls").to_numpy(), np.diff(bounds))
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(cls[i : i + 100_000])], ["key", "cls"])
 
 
-def _summed(rows: pa.Table) -> pa.Table:
-    """One part of the table of frequencies; as many rows as the earlier stage had tasks."""
-    total = np.zeros(1 << 16, np.int64)
-    for x in rows.column("counts").combine_chunks():
-        total += np.frombuffer(x.as_buffer(), "<i4")
-    return pa.table([rows.column("part")[:1], pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], ["part", "counts"])
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cls, key, f from rows sorted by (key, cls): shingles of two classes or more, f in how many, COMMON standing for more.
 
+    A key's rows are held until the next key, or until they are COMMON many; the order by (f, key) is the same for all sets.
+    """
+    kept_key = kept_cls = np.empty(0, np.int64)
+    told = False  # the one row kept is there to be told from its copies; its key is known to be common
 
-def _rare_keys(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for b in batches:
-            values, bounds = _flat(column(b, "shingles"))
-            cls, keys, owner = column(b, "cls").to_numpy(), [], []
-            for i in range(len(b)):
-                s = values[bounds[i] : bounds[i + 1]]
-                order = np.lexsort((s, table[_bucket(s)]))[: len(s) - least_overlap(len(s)) + 1]
-                keys.append(s[order])
-                owner.append(np.full(len(order), cls[i]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], ["key", "cls"])
+    def out(key: np.ndarray, cls: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(key), pa.array(np.minimum(f, COMMON).astype(np.int32))], ["cls", "key", "f"])
 
-    return run
+    for b in batches:
+        key, cls = np.concatenate([kept_key, column(b, "key").to_numpy()]), np.concatenate([kept_cls, column(b, "cls").to_numpy()])
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls = key[new], cls[new]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        f = np.diff(np.append(begin, len(key)))
+        if told:
+            f[0] = COMMON
+        last = begin[-1]
+        common = f[-1] >= COMMON
+        upto = len(key) if common else last
+        f = np.repeat(f, np.diff(np.append(begin, len(key))))[:upto]
+        shown = f > 1
+        shown[: int(told)] = False
+        yield from out(key[:upto][shown], cls[:upto][shown], f[shown])
+        kept_key, kept_cls, told = (key[-1:], cls[-1:], True) if common else (key[last:], cls[last:], False)
+    if not told and len(kept_key) > 1:
+        yield from out(kept_key, kept_cls, np.full(len(kept_key), len(kept_key)))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, cls, n, w from rows (cls, key, f, n) sorted by cls: the shingles of which a partner has to share one, w how many they are.
+
+    Two sets that link share 0.75 n of their shingles at least, all of them tied; so they share one of those that are left when
+    each takes away its most frequent ones, one less than that.
+    """
+    kept: dict[str, np.ndarray] = {}
+
+    def chosen(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        order = np.lexsort((rows["key"], rows["f"], rows["cls"]))
+        cls, key, n = rows["cls"][order], rows["key"][order], rows["n"][order]
+        begin = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        size = np.diff(np.append(begin, len(cls)))
+        w = size - (3 * n[begin] + 3) // 4 + 1
+        keep = np.arange(len(cls)) - np.repeat(begin, size) < np.repeat(w, size)
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(n[keep]), pa.array(np.repeat(w, size)[keep])], ["key", "cls", "n", "w"])
+
+    for b in batches:
+        rows = {c: column(b, c).to_numpy() for c in ("cls", "key", "f", "n")}
+        if kept:
+            rows = {c: np.concatenate([kept[c], rows[c]]) for c in rows}
+        if not len(rows["cls"]):
+            continue
+        last = int(np.searchsorted(rows["cls"], rows["cls"][-1]))
+        kept = {c: x[last:] for c, x in rows.items()}
+        if last:
+            yield chosen({c: x[:last] for c, x in rows.items()})
+    if kept:
+        yield chosen(kept)
 
 
 class Block:
-    """Sets of one block with their inverted lists, and what is known of their connections."""
+    """Sets that may link with their inverted lists, and what is known of their connections."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets])
@@ -260,13 +328,14 @@ class Block:
             self.parent[y] = x
             self.members[x] += self.members.pop(y)
 
-    def merged(self, lists: np.ndarray) -> list[tuple[int, int]]:
-        """(set, lists it is in): a heap over the short lists; where they are long all the same, one sort does what the heap would."""
-        runs = [self.owner[self.begin[k] : self.begin[k + 1]] for k in lists]
-        if sum(map(len, runs)) > 20_000:
-            at, n = np.unique(np.concatenate(runs), return_counts=True)
-            return list(zip(at.tolist(), n.tolist(), strict=True))
-        return list(Counter(heapq.merge(*(r.tolist() for r in runs))).items())
+    def merged(self, lists: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(set, lists it is in): a heap over runs, each run the count of RUN lists."""
+        runs = []
+        for i in range(0, len(lists), RUN):
+            at, n = np.unique(np.concatenate([self.owner[self.begin[k] : self.begin[k + 1]] for k in lists[i : i + RUN]]), return_counts=True)
+            runs.append(zip(at.tolist(), n.tolist(), strict=True))
+        for y, same in groupby(heapq.merge(*runs), itemgetter(0)):
+            yield y, sum(n for _, n in same)
 
     def search(self, x: int) -> None:
         """Connect x with all sets that it links to."""
@@ -309,44 +378,60 @@ class Block:
 
 
 def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): each set of a unit and the first of its component. Rows come sorted by unit; asks marks queries, if there are any."""
-    unit, cls, sets, asks = None, [], [], []
+    """(a, b): each set of a unit and the first of its component. Rows come sorted by (unit, role): hub, member, asker; a set counts once."""
+    unit, sets, asks = None, {}, set()
 
-    def flush() -> pa.RecordBatch:
-        block = Block(sets)
-        block.connect([i for i, a in enumerate(asks) if a] if any(asks) else None)
-        pairs = [(cls[i], cls[block.root(i)]) for i in range(len(cls)) if block.root(i) != i]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(sets) > 1:
+            cls = list(sets)
+            block = Block(list(sets.values()))
+            block.connect([i for i, c in enumerate(cls) if c in asks] if asks else None)
+            pairs = [(c, cls[block.root(i)]) for i, c in enumerate(cls) if block.root(i) != i]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     for b in batches:
         values, bounds = _flat(column(b, "shingles"))
-        for i, (u, c, q) in enumerate(zip(column(b, "unit").to_pylist(), column(b, "cls").to_pylist(), column(b, "asks").to_pylist(), strict=True)):
+        for i, (u, c, role) in enumerate(zip(column(b, "unit").to_pylist(), column(b, "cls").to_pylist(), column(b, "role").to_pylist(), strict=True)):
             if u != unit:
-                if len(cls) > 1:
-                    yield flush()
-                unit, cls, sets, asks = u, [], [], []
-            cls.append(c)
-            sets.append(values[bounds[i] : bounds[i + 1]].copy())  # or the whole batch would stay
-            asks.append(q)
-    if len(cls) > 1:
-        yield flush()
-
-
-def _units(rows: DataFrame) -> DataFrame:
-    """links (a, b) from rows(unit, cls, shingles, asks)."""
+                yield from flush()
+                unit, sets, asks = u, {}, set()
+            if c not in sets:
+                sets[c] = values[bounds[i] : bounds[i + 1]].copy()  # or the whole batch would stay
+            if role == ASKER:
+                asks.add(c)
+    yield from flush()
+
+
+def _searched(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """links (a, b) of rows(unit, cls, role), stored. All that is known of a set is joined before its shingles move."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "unit").sortWithinPartitions("unit", "cls").mapInArrow(_connected, "a long, b long")
+    whole = sets.join(rows.hint("merge"), "cls").select("unit", "role", "cls", "shingles")
+    return stored(whole.repartition(tasks, "unit").sortWithinPartitions("unit", "role", "cls").mapInArrow(_connected, "a long, b long"))
 
 
 def survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls of the sets that share enough of their lowest-hashed part with others (step 2)."""
+    """cls, n of the sets that share enough of their lowest-hashed part with others (step 2)."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = docs.select("text").mapInArrow(_low_keys, "key long, cls long")
     shared = keys.repartition(tasks, "key").sortWithinPartitions("key", "cls").mapInArrow(_shared, "cls long, shared long")
     shared = shared.groupBy("cls").agg(F.sum("shared").alias("shared"))
     # a partner of a set of n has 0.75 n shingles at least, and both share the smaller one's extra part
     least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * 3 + 3) / 4) / EXTRA))
-    return classes.join(shared, "cls").where(F.col("shared") >= least).select("cls")
+    return classes.join(shared, "cls").where(F.col("shared") >= least).select("cls", "n")
+
+
+def candidates(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cls, hub, n: each set and the hubs it meets (step 3), of sets(cls, shingles) and sizes(cls, n), stored.
+
+    Two sets that link share a rare shingle, and both meet the hub of that: the set with most such shingles, of equal ones
+    the one of the highest class.
+    """
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = sets.mapInArrow(_postings, "key long, cls long").repartition(tasks, "key").sortWithinPartitions("key", "cls")
+    tied = keys.mapInArrow(_tied, "cls long, key long, f int").repartition(tasks, "cls").join(sizes, "cls").select("cls", "key", "f", "n")
+    rare = stored(tied.sortWithinPartitions("cls").mapInArrow(_prefixes, "key long, cls long, n long, w long"))
+    hubs = rare.groupBy("key").agg(F.max(F.struct("w", "cls"))["cls"].alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    return stored(rare.join(hubs, "key").groupBy("cls", "hub").agg(F.first("n").alias("n")))
 
 
 def similar_classes(docs: DataFrame, listed: DataFrame) -> DataFrame:
@@ -354,47 +439,47 @@ def similar_classes(docs: DataFrame, listed: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     classes = listed.where("n > 0").groupBy("cls").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"))
     chosen = stored(survivors(docs, classes.select("cls", "n")))
-    picked = stored(classes.join(chosen, "cls").select("row_key"))
+    picked = stored(classes.join(chosen.select("cls"), "cls").select("row_key"))
     # texts are filtered where they are read: exchanging them all would cost more than what they are worth here. A class may
     # come more than once, from repeated rows or past the filter; it then only meets itself
-    sets = stored(docs.mapInArrow(_arrays(spark.sparkContext.broadcast(bloom(picked))), "cls long, shingles array<long>"))
-    table = np.zeros(1 << _BITS, np.int32)
-    for r in sets.mapInArrow(_frequencies, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").toLocalIterator():
-        table[r["part"] << 16 : (r["part"] + 1) << 16] = np.frombuffer(bytes(r["counts"]), "<i4")
-    keys = sets.mapInArrow(_rare_keys(spark.sparkContext.broadcast(table)), "key long, cls long")
-    hubs = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub <> top").select("key", "hub")
-    # a set meets its lowest hub; its other hubs meet that one: the same components, and most of those pairs are alike
-    met = keys.join(hubs, "key").select("cls", "hub").distinct()
-    met = stored(met)
-    lowest = met.groupBy("cls").agg(F.min("hub").alias("low"))
-    ties = lowest.select(F.col("cls").alias("a"), F.col("low").alias("b")).union(met.join(lowest, "cls").select(F.col("hub").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct()
-    blocks = components(ties).select(F.col("node").alias("cls"), F.col("component").alias("block"))
-    # all that is known of a set is joined before its shingles are: these then move once, and once more to their unit
-    light = blocks.join(sets.select("cls", F.size("shingles").alias("n")), "cls")
-    sizes = light.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    light = blocks.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    placed = stored(sets.join(light.hint("merge"), "cls"))
-    # the hub (whose class names the block) sits in every chunk
-    everywhere = F.when(F.col("cls") == F.col("block"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    first = placed.select("block", "cls", "shingles", F.explode(everywhere).alias("c"))
-    found = stored(_units(first.select(F.concat_ws(":", "block", "c").alias("unit"), "cls", "shingles", F.lit(False).alias("asks"))))
-    large = stored(placed.where("chunks > 1").select("block", "cls", "chunk", "chunks"))
-    if large.isEmpty():
+    marks = bloom(picked)
+    if marks is None:
+        docs = docs.join(picked, "row_key", "left_semi")
+    sets = stored(docs.mapInArrow(_arrays(spark.sparkContext.broadcast(marks)), "cls long, shingles array<long>"))
+    met = candidates(sets, chosen)
+    marks = bloom(met.select("cls").distinct())
+    return _linked(sets.mapInArrow(_only(spark.sparkContext.broadcast(marks)), sets.schema), met)
+
+
+def _linked(sets: DataFrame, met: DataFrame) -> DataFrame:
+    """links (a, b) of sets(cls, shingles) that meet at hubs: met(cls, hub, n) (step 4)."""
+    totals = met.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    role = F.when(F.col("cls") == F.col("hub"), HUB).otherwise(MEMBER)
+    placed = met.join(totals, "hub").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    # sizes of sets that link differ by a third at most: they are in the same band or in neighbouring ones
+    placed = placed.withColumn("band", F.when(F.col("chunks") > 1, F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9)).otherwise(0).cast("int"))
+    placed = stored(placed.withColumn("unit", F.concat_ws(":", "hub", "band", "chunk")))
+    large = placed.where("chunks > 1")
+    places = stored(large.select("hub", "band", "unit").distinct())
+    # the hub sits in every chunk
+    rows = placed.select("unit", "cls", role.alias("role")).union(places.select("unit", F.col("hub").alias("cls"), F.lit(HUB).alias("role")))
+    found = _searched(rows, sets)
+    if places.isEmpty():
         return found
-    # blocks of several chunks: what is not connected with the hub yet is searched for in every chunk
+    # units of several chunks: what is not connected with the hub yet is searched for in the chunks of near sizes
     known = components(found)
     name = lambda of, to: known.select(F.col("node").alias(of), F.col("component").alias(to))
-    rest = large.join(name("cls", "own"), "cls", "left").join(name("block", "hub"), "block", "left")
-    rest = stored(rest.where(F.coalesce("own", "cls") != F.coalesce("hub", "block")).select("block", "cls", "chunks"))
+    rest = large.join(name("cls", "own"), "cls", "left").join(name("hub", "its"), "hub", "left")
+    rest = stored(rest.where(F.coalesce("own", "cls") != F.coalesce("its", "hub")).select("hub", "band", "cls"))
     if rest.isEmpty():
         return found
-    slices_ = rest.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("slices"))
-    asks = rest.join(slices_, "block").withColumn("slice", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("slices")).cast("int"))
-    asks = asks.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(placed.where("chunks > 1").select("cls", "shingles"), "cls")
-    asks = asks.select(F.concat_ws(":", "block", "c", "slice").alias("unit"), "cls", "shingles", F.lit(True).alias("asks"))
-    asked = placed.where("chunks > 1").join(slices_, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    asked = asked.select(F.concat_ws(":", "block", "chunk", "slice").alias("unit"), "cls", "shingles", F.lit(False).alias("asks"))
-    return found.union(stored(_units(asks.union(asked))))
+    slices_ = rest.groupBy("hub", "band").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("slices"))
+    asks = rest.join(slices_, ["hub", "band"]).withColumn("slice", F.concat_ws(":", "band", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("slices")).cast("int")))
+    asks = asks.withColumn("near", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).drop("band")
+    asks = asks.join(places.withColumnRenamed("band", "near"), ["hub", "near"]).select(F.concat_ws("/", "unit", "slice").alias("unit"), "cls", F.lit(ASKER).alias("role"))
+    near = slices_.select("hub", F.concat_ws(":", "band", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("slice"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    asked = large.join(near, ["hub", "band"]).select(F.concat_ws("/", "unit", "slice").alias("unit"), "cls", F.lit(MEMBER).alias("role"))
+    return found.union(_searched(asks.union(asked), sets))
 
 
 def clustered(docs: DataFrame) -> DataFrame:
@@ -407,7 +492,7 @@ def clustered(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    with arrow_rows(docs.sparkSession, 1000):  # every step with Python ends in a stored table before this does
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):  # every step with Python ends in a stored table before this does
         listed = stored(rows.mapInArrow(_classes, f"doc_id {kind}, row_key long, n long, cls long"))
         found = components(similar_classes(rows.select("row_key", "text"), listed))
     classes = listed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
