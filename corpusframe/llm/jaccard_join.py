@@ -477,7 +477,8 @@ def _linked(sets: DataFrame, met: DataFrame) -> DataFrame:
     asks = rest.join(slices_, ["hub", "band"]).withColumn("slice", F.concat_ws(":", "band", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("slices")).cast("int")))
     asks = asks.withColumn("near", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))).drop("band")
     asks = asks.join(places.withColumnRenamed("band", "near"), ["hub", "near"]).select(F.concat_ws("/", "unit", "slice").alias("unit"), "cls", F.lit(ASKER).alias("role"))
-    near = slices_.select("hub", F.concat_ws(":", "band", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("slice"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    near = slices_.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("slice", F.concat_ws(":", "band", "slice"))
+    near = near.select("hub", "slice", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
     asked = large.join(near, ["hub", "band"]).select(F.concat_ws("/", "unit", "slice").alias("unit"), "cls", F.lit(MEMBER).alias("role"))
     return found.union(_searched(asks.union(asked), sets))
 

@@ -205,6 +205,24 @@ def test_jaccard_components_match_brute_force(spark, monkeypatch, chunk):
     assert [got[i] for i in range(len(rows))] == reference_components(rows)
 
 
+@pytest.mark.parametrize("common", [10_000, 3])
+def test_sets_that_meet_a_hub_without_linking_are_searched_in_all_chunks(spark, monkeypatch, common):
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", 2)
+    monkeypatch.setattr(jaccard_join, "COMMON", common)
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for g in range(6):  # groups of drifting copies around one passage; lengths of several bands
+        own = [f"g{g}x{i}" for i in range(18 + 9 * (g % 3))]
+        for _ in range(4):
+            own = [w if rng.random() > 0.12 else f"z{rng.integers(1000)}" for w in own]
+            rows.append(" ".join(passage + own))
+    rows += [rows[5], rows[9] + " end", " ".join(passage)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.clustered(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == reference_components(rows)
+    assert len({x for _, x in got.values()}) > 3
+
+
 def test_one_of_each_component_stays(spark):
     rows = ["a b c d e f", "a b c d e f", "", None, "x y"]
     df = table(spark, rows).union(table(spark, rows).where("doc_id in (1, 4)"))
