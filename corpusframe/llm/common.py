@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,15 @@ def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def shipped(spark: SparkSession, what: Any) -> Broadcast:
+    """A broadcast that opened() reads on executors without a copy of this package: classes travel with their objects, as functions do."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(what))
+
+
+def opened(sent: Broadcast) -> Any:
+    return pickle.loads(sent.value)
+
+
 def id_hash(column: str = "doc_id") -> Column:
     """CRC-32 of the id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -11,15 +11,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import read, stored
+from corpusframe.llm.common import opened, read, shipped, stored
 from corpusframe.llm.words import NOT_ALNUM, Words, column, slices, words_of
 
 WINDOW = 10
-#: Words of items that one automaton holds; a larger benchmark is read in blocks, one pass over the texts for each.
-BLOCK_WORDS = 1_000_000
+#: Words of items that one automaton holds (some 0.7 KB each, in the driver and in every worker); a larger benchmark is read in blocks, one pass over the texts for each.
+BLOCK_WORDS = 250_000
 _BITS = 22
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -129,14 +129,15 @@ class Reader:
         yield from zip(begin[keep].tolist(), end[keep].tolist(), strict=True)
 
 
-FOUND = "n_words long, spans array<struct<begin:int,end:int>>, items array<string>, longest int"
+SPANS = "array<struct<begin:int,end:int,short:boolean>>"
+FOUND = f"n_words long, spans {SPANS}, items array<string>, longest int"
 
 
 def _scanner(reader, columns: list[str]):
-    """Arrow batches with text -> the same with n_words, spans (of hit words: first, after the last), items and the longest hit run."""
+    """Arrow batches with text -> the same with n_words, spans (of hit words: first, after the last, whether a short item stands in it), items and the longest hit run."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Reader = reader.value
+        own: Reader = opened(reader)
         for batch in batches:
             n, spans, items = np.zeros(len(batch), np.int64), {}, {}
             for at, part in slices(column(batch, "text")):
@@ -148,32 +149,44 @@ def _scanner(reader, columns: list[str]):
                     for i, size, names in own.automaton.matches(w.hash[a:b].tolist()):
                         end = base + i + 1
                         runs = spans.setdefault(row, [])
+                        short = size < own.automaton.window
                         if runs and end - size <= runs[-1][1]:
-                            runs[-1] = (min(runs[-1][0], end - size), max(end, runs[-1][1]))
+                            runs[-1] = (min(runs[-1][0], end - size), max(end, runs[-1][1]), runs[-1][2] or short)
                         else:
-                            runs.append((end - size, end))
+                            runs.append((end - size, end, short))
                         items.setdefault(row, set()).update(names)
             for runs in spans.values():  # a short item may begin before the run that was open when it ended
                 runs[:] = merged(runs)
-            found = [[{"begin": a, "end": b} for a, b in spans.get(i, ())] for i in range(len(batch))]
+            found = [[{"begin": a, "end": b, "short": s} for a, b, s in spans.get(i, ())] for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays(
-                [*(column(batch, c) for c in columns), pa.array(n), pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(items.get(i, ())) for i in range(len(batch))], pa.list_(pa.string())), pa.array([max((b - a for a, b in spans.get(i, ())), default=0) for i in range(len(batch))], pa.int32())],
+                [*(column(batch, c) for c in columns), pa.array(n), pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("short", pa.bool_())]))), pa.array([sorted(items.get(i, ())) for i in range(len(batch))], pa.list_(pa.string())), pa.array([max((b - a for a, b, _ in spans.get(i, ())), default=0) for i in range(len(batch))], pa.int32())],
                 [*columns, "n_words", "spans", "items", "longest"],
             )
 
     return scan
 
 
-def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
+def merged(runs: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
+    out: list[tuple[int, int, bool]] = []
+    for a, b, short in sorted(runs):
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2] or short)
         else:
-            out.append((a, b))
+            out.append((a, b, short))
     return out
 
 
+def _joined(spans: Column) -> Column:
+    """Spans of several blocks in order, those that touch made one."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        both = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"), (last["short"] | s["short"]).alias("short"))
+        return F.when(F.coalesce(s["begin"] <= last["end"], F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(s)))
+
+    return F.when(F.size(spans) == 0, spans).otherwise(F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step))
+
+
 def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -187,11 +200,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     """docs with n_words, spans, items and longest (columns of those names are replaced).
 
     Words are what lies between ASCII characters other than letters and digits, A-Z as a-z. spans are runs of hit words
-    (first, after the last) in the order of the text, items the sorted ids, as text, of items with a window in it. Null
+    (first, after the last, whether an item shorter than the window stands in it) in the order of the text, items the sorted ids, as text, of items with a window in it. Null
     texts have no words; items with null or wordless texts have no windows; a null item id is the empty text; repeated
     items count once by id. Empty tables are fine on either side. Texts are never exchanged. The items' words are counted
-    first: beyond block_words the items are dealt into blocks and the texts are read once for each, with stored results
-    between, so that a task holds one block's automaton at a time.
+    first: beyond block_words the items are dealt into blocks and the texts are read once for each, so that a task holds one
+    block's automaton at a time; what the further blocks find is stored by the text's hash (128 bits) and joined to the rows,
+    the one case in which texts may be exchanged.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("n_words", "spans", "items", "longest")]
@@ -201,25 +215,34 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     blocks = -(-total // block_words) or 1
     kind = docs.schema.simpleString()[7:-1]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), FOUND]) if kind else FOUND
-    out = None
-    for k in range(blocks):
+    def reader(k: int):
         block = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        own = [(r["item"], [x % (1 << 64) for x in r["words"]]) for r in block.toLocalIterator()]
-        reader = spark.sparkContext.broadcast(Reader(own, window))
-        if out is None:
-            out = docs.mapInArrow(_scanner(reader, columns), schema)
-            continue
-        earlier = stored(out.withColumnsRenamed({"spans": "__spans", "items": "__items"}).drop("n_words", "longest"))
-        both = earlier.mapInArrow(_scanner(reader, earlier.columns), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in earlier.schema.fields), FOUND]))
-        spans = F.array_sort(F.concat("__spans", "spans"))
-        fold = F.aggregate(spans, F.array().cast("array<struct<begin:int,end:int>>"), lambda acc, s: F.when((F.size(acc) > 0) & (s["begin"] <= F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["begin"].alias("begin"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))))
-        both = both.withColumns({"items": F.array_sort(F.array_union("__items", "items")), "spans": F.when(F.size("__spans") + F.size("spans") > 0, fold).otherwise(F.col("spans"))})
-        both = both.withColumn("longest", F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["begin"])), F.lit(0)))
-        out = both.select(*columns, "n_words", "spans", "items", "longest")
-    return out
-
-
-def n_hit() -> "F.Column":
+        return shipped(spark, Reader([(r["item"], [x % (1 << 64) for x in r["words"]]) for r in block.toLocalIterator()], window))
+
+    out = docs.mapInArrow(_scanner(reader(0), columns), schema)
+    if blocks == 1:
+        return out
+    # what the other blocks find follows from the text alone: it is kept by the text's hash, once for all copies
+    texts = docs.select(_text_key().alias("key"), "text")
+    more = None
+    for k in range(1, blocks):
+        found = texts.mapInArrow(_scanner(reader(k), ["key"]), f"key struct<a:long,b:long>, {FOUND}").where("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        found = stored(found)
+        more = found if more is None else more.union(found)
+    more = more.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("items")).alias("__items"))  # a row per block at most
+    both = out.withColumn("__key", _text_key()).join(more.withColumnRenamed("key", "__key"), "__key", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    both = both.withColumns({"items": F.array_sort(F.array_union("items", none(F.col("__items"), "array<string>"))), "spans": _joined(F.concat("spans", none(F.col("__spans"), SPANS)))})
+    both = both.withColumn("longest", F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"] - s["begin"])), F.lit(0)))
+    return both.select(*columns, "n_words", "spans", "items", "longest")
+
+
+def _text_key() -> Column:
+    text = F.coalesce("text", F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def n_hit() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
 
 
@@ -256,7 +279,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_
     found = contamination(docs, items, window, **more)
     found = found.where(n_hit() <= F.col("n_words") * max_coverage)
     if min_run > window:
-        found = found.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["begin"] >= min_run))
+        found = found.withColumn("spans", F.filter("spans", lambda s: s["short"] | (s["end"] - s["begin"] >= min_run)))
     return found.mapInArrow(_without_spans(schema.names), schema).withColumnsRenamed({b: a for a, b in aside.items()}).select(*names)
 
 

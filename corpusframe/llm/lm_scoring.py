@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import id_hash, read, stored
+from corpusframe.llm.common import id_hash, opened, read, shipped, stored
 from corpusframe.llm.words import SPACE, Words, _mixed, column, slices, words_of
 
 #: Words with classes of their own; groups of the others; buckets of last bytes; words that features know by name.
@@ -152,7 +152,7 @@ def _cooccurrence(vocabulary):
     """part, counts: for every bucket of last bytes, the frequent words (or an end) that its words follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
+        v: Vocabulary = opened(vocabulary)
         n = np.zeros((BUCKETS, 65), np.int64)
         for b in batches:
             for _, part in slices(column(b, "text")):
@@ -194,8 +194,8 @@ def clusters(n: np.ndarray) -> np.ndarray:
 
 def _trainer(vocabulary, weights, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocabulary.value
-        common: Weights = weights.value
+        v: Vocabulary = opened(vocabulary)
+        common: Weights = opened(weights)
         own = Weights(common.bias)
         own.tables = [t.copy() for t in common.tables]
         squares = [np.full(len(t), 1e-2, np.float32) for t in own.tables]
@@ -235,7 +235,7 @@ def _scorer(vocabulary, weights, mass):
     """doc_id, held_out, row, n_tokens, known, log_count (sum of log10(count + 1)), model, tail (hashes of words not among the frequent)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, own = vocabulary.value, weights.value
+        v, own = opened(vocabulary), opened(weights)
         log_count, log_mass = np.log10(v.count + 1.0), np.log10(mass)
         for b in batches:
             size = len(b)
@@ -295,8 +295,8 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     trainers = int(max(1, min(TRAINERS, n_tokens // TRAINER_TOKENS)))
 
     follows = np.zeros((BUCKETS, 65))
-    shipped = spark.sparkContext.broadcast(vocabulary)
-    for r in train.select("text").coalesce(trainers).mapInArrow(_cooccurrence(shipped), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary").toLocalIterator():
+    words = shipped(spark, vocabulary)
+    for r in train.select("text").coalesce(trainers).mapInArrow(_cooccurrence(words), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary").toLocalIterator():
         follows[r["part"] : r["part"] + _PART] = np.frombuffer(bytes(r["data"]), "<f4").reshape(_PART, 65)
     vocabulary.group = clusters(follows)
     # tokens plus types of each class, plus one for words never seen; words with classes of their own leave their group
@@ -309,11 +309,11 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for r in counts.where(F.col("token").isin(list(top)) & (F.col("bucket") >= 0)).collect():
             mass[top[r["token"]]] += r["n"] + 1
             mass[SINGLE + 1 + vocabulary.group[r["bucket"]]] -= r["n"] + 1
-    shipped = spark.sparkContext.broadcast(vocabulary)
+    words = shipped(spark, vocabulary)
     weights = Weights(np.log(mass / mass.sum()))
     for k in range(rounds):
-        common = spark.sparkContext.broadcast(weights)
-        changes = train.where(F.col("round") == k).select("text").coalesce(trainers).mapInArrow(_trainer(shipped, common, RATE), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary")
+        common = shipped(spark, weights)
+        changes = train.where(F.col("round") == k).select("text").coalesce(trainers).mapInArrow(_trainer(words, common, RATE), "part int, data binary").groupBy("part").applyInArrow(_summed, "part int, data binary")
         after = Weights(weights.bias)
         after.tables = [t.copy() for t in weights.tables]
         places = [(t, i) for t in range(3) for i in range(0, len(weights.tables[t]), _PART)]
@@ -322,9 +322,9 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             data = np.frombuffer(bytes(r["data"]), "<f4").reshape(-1, CLASSES + 1)
             after.tables[t][i : i + len(data)] += data[:, :CLASSES] / np.maximum(data[:, CLASSES:], 1)
         weights = after
-    final = spark.sparkContext.broadcast(weights)
+    final = shipped(spark, weights)
     schema = f"doc_id {kind}, held_out boolean, row long, n_tokens long, known long, log_count double, model double, tail array<long>"
-    known = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(shipped, final, mass), schema))
+    known = stored(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(words, final, mass), schema))
     rare = counts.where((F.col("bucket") >= 0) & (F.col("n") < least)).select("token", "n")
     rare = known.select("row", F.explode("tail").alias("token")).join(rare, "token").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_count"))
     ends = next((r["n"] for r in totals if r["bucket"] < 0), 0)

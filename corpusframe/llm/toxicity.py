@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import id_hash, read
+from corpusframe.llm.common import id_hash, opened, read, shipped
 from corpusframe.llm.words import NOT_ALNUM, Words, column, prefix_hashes, slices, words_of
 
 #: Labelled documents the model is fitted on, at most; drawn by a hash of the id.
 FIT_ROWS = 10_000
+#: Bytes of their texts, in total and of one, at most: the sample is held by one task.
+FIT_BYTES, FIT_TEXT = 64 << 20, 4 << 20
 #: A feature is tried if so many toxic documents of the sample have it, and their share is so many times that of clean ones.
 LEAST_TOXIC, LEAST_RATIO = 6, 4.0
 #: Where the bias starts, and stays without labelled documents: a sentence is taken for clean.
@@ -73,7 +75,15 @@ def _screen(sample: list[tuple[pa.Array, np.ndarray]]) -> np.ndarray:
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task over a bounded sample: screened features, then proximal gradient steps (Adam) on the noisy-or likelihood with an L1 penalty."""
-    sample = [(column(b, "text"), column(b, "toxic").to_numpy(zero_copy_only=False).astype(np.float64)) for b in batches]
+    sample, room = [], FIT_BYTES
+    for b in batches:
+        size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in column(b, "text").cast(pa.binary())])
+        b = b.slice(0, int(np.searchsorted(size, room, "right")))
+        room -= int(size[-1]) if len(size) else 0
+        if len(b):
+            sample.append((column(b, "text"), column(b, "toxic").to_numpy(zero_copy_only=False).astype(np.float64)))
+        if room <= 0:
+            break
     useful = _screen(sample)
     word, at, doc = [], [], []
     n_sent = n_doc = 0
@@ -114,14 +124,15 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list:
     """Rows (word, weight, is_bias) of a model fitted to at most so many labelled documents; their number is bounded by the sample.
 
-    A document labelled twice is toxic if a label says so; null labels count for nothing. Without labelled documents the
+    Documents are drawn in the order of a hash of their id, until rows or FIT_BYTES are reached; those of more than FIT_TEXT
+    bytes are not learnt from. A document labelled twice is toxic if a label says so; null labels count for nothing. Without labelled documents the
     model has its bias alone.
     """
     label = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     drawn = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     # a repeated id could bring in more rows than were drawn
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = sample.where(F.octet_length("text") <= FIT_TEXT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return sample.select("text", "toxic").coalesce(1).mapInArrow(_fit, "word long, weight double, is_bias boolean").collect()
 
 
@@ -148,7 +159,7 @@ class Model:
 
 def _scorer(model, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = model.value
+        own: Model = opened(model)
         for batch in batches:
             score, worst = np.empty(len(batch)), [[] for _ in range(len(batch))]
             for at, part in slices(column(batch, "text")):
@@ -175,7 +186,7 @@ def scored(docs: DataFrame, model: list) -> DataFrame:
     """
     docs = docs.drop("score", "offending")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double", "offending array<struct<sentence:string,score:double>>"])
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(Model(model)), docs.columns), schema)
+    return docs.mapInArrow(_scorer(shipped(docs.sparkSession, Model(model)), docs.columns), schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

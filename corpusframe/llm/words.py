@@ -74,28 +74,69 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
         at = to
 
 
+def _blocks(data: np.ndarray, between: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """(begin, end, whether it is one long word) of parts of about SLICE_BYTES that end between words, at a bound of a row or at a byte between words."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + SLICE_BYTES)
+        if to < len(data) and to not in bounds[np.searchsorted(bounds, to) :][:1]:
+            free = np.flatnonzero(between[data[at:to]])
+            edge = bounds[np.searchsorted(bounds, to, "right") - 1]
+            last = max(at + int(free[-1]) + 1 if len(free) else at, int(edge))
+            if last <= at:  # a word that is longer than the part: up to the next byte between words or bound
+                stop = int(bounds[np.searchsorted(bounds, at, "right")])
+                while to < stop and not len(free := np.flatnonzero(between[data[to : min(to + SLICE_BYTES, stop)]])):
+                    to = min(to + SLICE_BYTES, stop)
+                yield at, to + int(free[0]) if len(free) else stop, True
+                at = to + int(free[0]) if len(free) else stop
+                continue
+            to = last
+        yield at, to, False
+        at = to
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The hash of one word of any length, part by part."""
+    total, factor = 0, 1
+    step = pow(_STEP, SLICE_BYTES, 1 << 64)
+    for i in range(0, len(data), SLICE_BYTES):
+        part = data[i : i + SLICE_BYTES]
+        total += int(np.add.reduce(_VALUE[part] * _powers(_STEP, len(part)))) * factor
+        factor = factor * step % (1 << 64)
+    return _mixed(np.array([(total + len(data)) % (1 << 64)], np.uint64))[0]
+
+
 def words_of(texts: pa.Array, between: np.ndarray) -> Words:
-    """Words of one slice from slices(); A-Z count as a-z in the hashes."""
-    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    """Words of one slice from slices(); A-Z count as a-z in the hashes.
+
+    What is needed for each byte exists for a part of about SLICE_BYTES at a time, so a very long text costs about forty
+    bytes for each of its words.
+    """
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.empty(0, np.uint8)
-    at = at - at[0]
-    inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~between[data]
-    begins = inside[:-1].copy()
-    begins[1:] &= ~inside[:-2]
-    ends = inside[:-1] & ~inside[1:]
-    full = at[:-1] < at[1:]
-    edge = at[:-1][full]
-    begins[edge] = inside[edge]
-    edge = at[1:][full] - 1
-    ends[edge] = inside[edge]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * _powers(_STEP, len(data)), out=total[1:])
-        h = _mixed((total[end] - total[start]) * _powers(_BACK, len(data) + 1)[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, at)
+        for begin, stop, long in _blocks(data, between, bounds):
+            if long:
+                found.append((np.array([begin]), np.array([stop]), np.array([_long_hash(data[begin:stop])])))
+                continue
+            part = data[begin:stop]
+            inside = ~between[part]
+            begins, ends = inside.copy(), inside.copy()
+            begins[1:] &= ~inside[:-1]
+            ends[:-1] &= ~inside[1:]
+            edge = bounds[np.searchsorted(bounds, begin, "right") : np.searchsorted(bounds, stop)] - begin  # rows that begin within
+            begins[edge] |= inside[edge]
+            ends[edge - 1] |= inside[edge - 1]
+            start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_VALUE[part] * _powers(_STEP, len(part)), out=total[1:])
+            h = _mixed((total[end] - total[start]) * _powers(_BACK, len(part) + 1)[start] + (end - start).astype(np.uint64))
+            found.append((start + begin, end + begin, h))
+    start, end, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    first = np.searchsorted(start, bounds)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     return Words(data, start, end, row, h, first)
 
