@@ -18,10 +18,11 @@ LG_K = 12
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """line hashes of lines(line long, site long) that stand on at least so many sites.
 
-    Lines of one site only (most) are dropped first by a minimum and a maximum per line, which combine before the
-    exchange; so are the copies of a very common line. The band of exact counts is half to one and a half times the
+    Copies of a line on one site combine before they are exchanged, by line and site, so what meets by line afterwards is a
+    row per site at most. Lines of one site only (most) are then dropped by a minimum and a maximum per line. The band of exact counts is half to one and a half times the
     threshold, over a hundred standard errors of a sketch with 4,096 registers.
     """
+    lines = stored(lines.select("line", "site").distinct())
     pairs = lines.groupBy("line").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi").select("line")
     several = lines.join(pairs, "line", "left_semi")
     spread = several.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
