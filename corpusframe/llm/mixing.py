@@ -2,7 +2,7 @@
 
 At every node the budget goes to the children by weight; what a child cannot use (its tokens times the epochs allowed) goes
 to its siblings, and only what all of them together cannot use goes back up. Each leaf takes whole epochs and then a prefix,
-in tokens, of the next epoch's seeded order.
+in tokens, of the next epoch's seeded order, to the nearest document.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ LEVELS = ("domain", "lang", "source")
 #: Leaves whose totals may come to the driver.
 MAX_LEAVES = 100_000
 #: Documents of a leaf that share one cell of the seeded order, about.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 
 
 def shares(budget: float, weights: Mapping[str, float], capacity: Mapping[str, float]) -> dict[str, float]:
@@ -75,8 +75,9 @@ def mixed(docs: DataFrame, budget: int | None, weights: tuple[Mapping[str, float
     """Rows of docs, once for each epoch that takes them, with epoch (from 0) and tokens.
 
     budget is in tokens; None is the given share of all tokens. Names that a level's weights lack weigh 1; a weight of 0
-    shuts a branch out. Null names are the empty text. A leaf never gets more than its budget: the last epoch ends with the
-    last whole group of alike rows (same id and text) that fits. Texts of no tokens come along with every full epoch.
+    shuts a branch out. Null names are the empty text. The last epoch of a leaf ends between two groups of alike rows (same id
+    and text), where its tokens come nearest to the budget, the earlier place at equal distance; so a leaf misses its budget
+    by half of one group at most, and what some leaves lack others have. Texts of no tokens come along with every full epoch.
     Columns tokens and epoch are replaced; an empty table gives no rows. Rows are picked where they are read, by comparing
     their place in the seeded order with their leaf's last place; only a leaf's totals and the cell in which its prefix
     ends are looked at more closely, so a leaf of any size is spread over tasks.
@@ -109,7 +110,7 @@ def mixed(docs: DataFrame, budget: int | None, weights: tuple[Mapping[str, float
     last = stored(running.where("before <= rest and before + t > rest").select("__leaf", "cell", "before", "rest"))
     inside = placed.join(F.broadcast(last.select("__leaf", "cell", "before")), ["__leaf", "cell"]).groupBy("__leaf", "cell", "place", "before", "rest").agg(F.sum("tokens").alias("t"))
     upto = F.col("before") + F.sum("t").over(W.partitionBy("__leaf", "cell").orderBy("place"))
-    inside = inside.withColumn("upto", upto).where("upto <= rest").groupBy("__leaf").agg(F.max("place").alias("end"))
+    inside = inside.withColumn("upto", upto).where("upto <= rest or upto - rest < rest - (upto - t)").groupBy("__leaf").agg(F.max("place").alias("end"))
     bound = last.join(inside, "__leaf", "left").select("__leaf", F.col("cell").alias("last_cell"), "end")
     chosen = rows.join(plan, "__leaf").join(F.broadcast(bound), "__leaf", "left").withColumn("place", place).withColumn("cell", cell)
     more = (F.col("rest") > 0) & ((F.col("cell") < F.col("last_cell")) | (F.col("cell") == F.col("last_cell")) & (F.col("place") <= F.col("end")))

@@ -328,28 +328,82 @@ def test_shares_fill_siblings_first():
     assert got == {("x", "p"): 10, ("x", "q"): 10, ("y", "p"): 80}
 
 
-def test_mix_keeps_to_its_budgets(spark, monkeypatch):
+def poured(amount, weights, room):
+    """Water filling by hand: the level at which siblings, each up to its room, take the amount."""
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(room[k], mid * weights.get(k, 1)) for k in room) < amount else (lo, mid)
+    return {k: min(room[k], hi * weights.get(k, 1)) for k in room}
+
+
+def reference_mix(rows, weights, epochs, seed, share):
+    """The multiset of (doc_id, epoch): budgets by hand down the tree, then each leaf's seeded order document by document."""
+    h = lambda raw, seed: xxhash.xxh64_intdigest(raw, seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long_ = lambda x: int(x).to_bytes(8, "little", signed=True)
+    leaves = {}
+    for r in rows:
+        leaf = (f"d{int(re.search(r'[0-9]+$', r.source)[0]) % 4 if r.source else 0}", r.lang or "", r.source or "")
+        key = h(long_(r.doc_id), 42)
+        key = key if r.text is None else h(r.text.encode(), key)
+        leaves.setdefault(leaf, []).append((r.doc_id, signed(key), len(spaced(r.text))))
+    have = {k: sum(x[2] for x in v) for k, v in leaves.items()}
+    given = {(): min(sum(have.values()) * share, sum(have.values()) * epochs)}
+    for depth in range(3):
+        given = {
+            (*p, k): x for p, amount in given.items()
+            for k, x in poured(amount, weights[depth], {leaf[depth]: sum(t * epochs for own, t in have.items() if own[: depth + 1] == (*p, leaf[depth])) for leaf in have if leaf[:depth] == p}).items()
+        }
+    out = Counter()
+    for leaf, own in leaves.items():
+        budget = math.floor(given[leaf] + 1e-4)
+        full = min(epochs, budget // have[leaf]) if have[leaf] else 0
+        rest = budget - full * have[leaf]
+        place = lambda x: signed(h(long_(x[1]), h(int(full).to_bytes(4, "little"), h(long_(seed), 42))))  # noqa: B023, E731
+        order, taken, cut, best = sorted({x[:2] for x in own}, key=place), 0, 0, rest
+        tokens = Counter()
+        for x in own:
+            tokens[x[:2]] += x[2]
+        for i, x in enumerate(order):
+            taken += tokens[x]
+            if taken <= rest or abs(taken - rest) < best:
+                cut, best = i + 1, abs(taken - rest)
+            if taken > rest:
+                break
+        more = set(order[:cut]) if rest > 0 else set()
+        for x in own:
+            for e in range(full + (x[:2] in more)):
+                out[x[0], e] += 1
+    return out
+
+
+@pytest.mark.parametrize("epochs,share", [(1, 0.5), (3, 1.7), (1, 1.0), (2, 0.61)])
+def test_mix_matches_a_reference_by_hand(spark, monkeypatch, epochs, share):
     monkeypatch.setattr(mixing, "CELL_ROWS", 2)
     docs = table(spark)
-    weights = ({}, {}, {"src1": 3})
-    for epochs, share in ((1, 0.5), (3, 1.7), (1, 1.0)):
-        rows = mixing.mixed(docs, None, weights, epochs, 5, share=share).collect()
-        leaf = lambda r: (f"d{int(re.search(r'[0-9]+$', r.source)[0]) % 4 if r.source else 0}", r.lang or "", r.source or "")
-        have = Counter()
-        for r in docs.collect():
-            have[leaf(r)] += len((r.text or "").split())
-        given = mixing.budgets(have, sum(have.values()) * share, weights, epochs)
-        got = Counter()
-        for r in rows:
-            got[leaf(r)] += r.tokens
-        most = max(len((t or "").split()) for t in texts())
-        assert all(got[k] <= given[k] and given[k] - got[k] <= 2 * most for k in have)
-        assert max(r.epoch for r in rows) < epochs
-        copies = Counter((r.doc_id, r.epoch) for r in rows)
-        assert set(copies.values()) == {1}
-    again = mixing.mixed(docs.repartition(3), None, weights, 1, 5, share=0.5)
-    assert sorted(r.doc_id for r in again.collect()) == sorted(r.doc_id for r in mixing.mixed(docs, None, weights, 1, 5, share=0.5).collect())
-    assert mixing.mixed(empty(spark), None, weights, 1, 5).count() == 0
+    docs = docs.union(docs.where("doc_id % 11 = 3"))  # repeated rows
+    weights = ({"d1": 2}, {}, {"src1": 3})
+    got = Counter((r.doc_id, r.epoch) for r in mixing.mixed(docs, None, weights, epochs, 5, share=share).collect())
+    assert got == reference_mix(docs.collect(), weights, epochs, 5, share)
+    total = sum(len(spaced(r.text)) for r in docs.collect())
+    tokens = {r.doc_id: len(spaced(r.text)) for r in docs.collect()}
+    assert abs(sum(tokens[i] * n for (i, _), n in got.items()) - total * share) <= 90 * 8
+
+
+def test_mix_does_not_depend_on_partitions(spark):
+    docs = table(spark)
+    chosen = lambda df: sorted(r.doc_id for r in mixing.mixed(df, None, ({}, {}, {}), 1, 5, share=0.5).collect())
+    assert chosen(docs.repartition(3)) == chosen(docs)
+    assert mixing.mixed(empty(spark), None, ({}, {}, {}), 1, 5).count() == 0
+
+
+def test_short_items_survive_a_longer_least_run(spark):
+    item = "beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    items = spark.createDataFrame([(1, item), (2, "alpha beta")], "item_id long, text string")
+    docs = table(spark, [f"one two three four five six seven eight nine ten eleven twelve {item} end", "say alpha beta to them all, and then nothing more"])
+    out = {r.doc_id: r.text for r in decontamination.decontaminated(docs, items, min_run=12).collect()}
+    assert out == {0: docs.first().text, 1: "say  to them all, and then nothing more"}
 
 
 @pytest.mark.parametrize("head", [1 << 20, 5])
