@@ -77,8 +77,8 @@ def plan_sync(listing: DataFrame, state: DataFrame, cat: DataFrame, supported: l
 def plan_removals(listing: DataFrame, state: DataFrame, authoritative: bool, floor: int = 20, part: float = 0.1) -> DataFrame:
     """Ids no longer listed; none at all if the listing is not authoritative or too many are gone."""
     gone = state.join(listing, "id", "left_anti")
-    n = state.agg(F.count("*").alias("__n"))
-    guarded = gone.crossJoin(F.broadcast(n)).withColumn("__g", F.count("*").over(W.partitionBy(F.lit(0) * F.col("__n"))))  # the refused batch is small or empty
+    n, g = state.agg(F.count("*").alias("__n")), gone.agg(F.count("*").alias("__g"))
+    guarded = gone.crossJoin(F.broadcast(n.crossJoin(g)))
     return guarded.where(F.lit(authoritative) & (F.col("__g") <= F.greatest(F.lit(floor), F.col("__n") * part))).drop("__n", "__g")
 
 
@@ -93,12 +93,17 @@ def remap_paths(rows: DataFrame, moves: DataFrame, column: str = "path") -> Data
     return j.withColumns({"moved": F.col("__new").isNotNull(), column: F.coalesce("__new", column)}).drop("__new")
 
 
-def corpus_fingerprint(chunks: DataFrame, key: str, text: str, parts: int = 4096) -> DataFrame:
-    """One hash that does not depend on row order: hashes of rows are hashed per part of the key space, then over the parts."""
+def corpus_fingerprint(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """One hash that does not depend on row order: hashes of rows are hashed per part of the key space (16 million parts by six
+    hex digits of the key's hash), those per 4,096 of them, and so once more, so that no task holds more than a few thousand hashes."""
     row = F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), F.octet_length(text).cast("string"), F.col(text)), 256)
-    each = chunks.select(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 3), 16, 10).cast("int").alias("p"), F.col(key).alias("k"), row.alias("h"))
-    per = each.groupBy("p").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.count("*").alias("n"))
-    return per.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256), 1, 12).alias("fingerprint"), F.sum("n").alias("chunks"))
+    level = chunks.select(F.substring(F.md5(F.col(key).cast("string")), 1, 6).alias("p"), F.col(key).alias("k"), row.alias("h"), F.lit(1).cast("long").alias("n"))
+    for digits in (3, 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+        level = level.groupBy("p").agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+        level = level.select(F.substring("p", 1, digits).alias("p"), F.col("p").alias("k"), "h", "n")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+    return level.agg(F.substring(F.sha2(whole, 256), 1, 12).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("chunks"))
 
 
 def reattach(chunks: DataFrame, old: DataFrame, cat: DataFrame) -> DataFrame:
@@ -112,11 +117,12 @@ def reattach(chunks: DataFrame, old: DataFrame, cat: DataFrame) -> DataFrame:
 def evict(files: DataFrame, now: Column, days: int = 30, keep: int = 200, quota: int = 100) -> DataFrame:
     """files(id, owner, guest, created) with action: expired and overflow guests go; over_quota marks account files beyond the quota."""
     fresh = F.col("created") >= now - F.expr(f"INTERVAL {days} DAYS")
-    live = F.when(F.col("guest") & fresh, 1).otherwise(0)
-    rank = F.row_number().over(W.partitionBy(F.col("guest") & fresh).orderBy(F.desc("created"), "id"))
+    newest = files.where(F.col("guest") & fresh).orderBy(F.desc("created"), "id").limit(keep).select("id").withColumn("__newest", F.lit(True))
     place = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("created"), "id"))
-    action = F.when(F.col("guest") & ~fresh, "expired").when((live == 1) & (rank > keep), "overflow").when(~F.col("guest") & (place > quota), "over_quota").otherwise("kept")
-    return files.withColumn("action", action)
+    files = files.withColumn("__place", place).join(F.broadcast(newest), "id", "left")
+    over = F.col("guest") & F.col("__newest").isNull()
+    action = F.when(F.col("guest") & ~fresh, "expired").when(over, "overflow").when(~F.col("guest") & (F.col("__place") > quota), "over_quota").otherwise("kept")
+    return files.withColumn("action", action).drop("__place", "__newest")
 
 
 def unique_names(cat: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from corpusframe.functions import text as T
 
 def bootstrap_interval(values: DataFrame, value: str, key: str, draws: int = 2000, seed: int = 7, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Mean, low, high of a mean by so many resamples. Every row is drawn a Poisson(1) number of times in each resample, by a seeded hash, so that
-    no row has to be looked up by its place: one pass and one sum per resample, whatever the number of rows. One row is its own interval; no rows give NULLs."""
+    no row has to be looked up by its place: one pass and one sum per resample, whatever the number of rows. (Not resamples of exactly
+    n rows: their sizes vary by the root of n, which the mean divides out.) One row is its own interval; no rows give NULLs."""
     u = (F.xxhash64(F.lit(seed), F.col("b"), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     times = F.lit(0)
     p = total = 0.36787944117144233
@@ -28,8 +29,11 @@ def bootstrap_interval(values: DataFrame, value: str, key: str, draws: int = 200
 
 def answer_quality(runs: DataFrame, group: str = "grp") -> DataFrame:
     """Per group: answers, right sources, refusals, valid citations, grounded figures, mean seconds, five wrongly refused questions."""
-    wrong = F.slice(F.array_sort(F.collect_set(F.when(F.col("refused") & ~F.col("expect_refusal"), F.col("question")))), 1, 5)
-    return runs.groupBy(group).agg(F.count("*").alias("answers"), F.count_if("right_source").alias("right"), F.count_if("refused").alias("refused"), F.count_if("citation_ok").alias("cited"), F.count_if("figures_ok").alias("grounded"), F.round(F.avg("seconds"), 3).alias("seconds"), wrong.alias("wrongly_refused"))
+    asked = runs.where(F.col("refused") & ~F.col("expect_refusal")).select(group, "question").distinct()
+    five = asked.withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy("question"))).where("__r <= 5")
+    wrong = five.groupBy(group).agg(F.array_sort(F.collect_list("question")).alias("wrongly_refused"))
+    totals = runs.groupBy(group).agg(F.count("*").alias("answers"), F.count_if("right_source").alias("right"), F.count_if("refused").alias("refused"), F.count_if("citation_ok").alias("cited"), F.count_if("figures_ok").alias("grounded"), F.round(F.avg("seconds"), 3).alias("seconds"))
+    return totals.join(wrong, totals[group].eqNullSafe(wrong[group]), "left").drop(wrong[group]).withColumn("wrongly_refused", F.coalesce("wrongly_refused", F.array().cast("array<string>")))
 
 
 def window_coverage(judged: DataFrame, window: int = 4) -> DataFrame:

@@ -59,7 +59,7 @@ ORACLE_SQL = {
     "L11_removals": "WITH g AS (SELECT doc_id AS id FROM labels WHERE quality IS DISTINCT FROM 1) SELECT id FROM g WHERE (SELECT count(*) FROM g) <= greatest(20, 0.5 * (SELECT count(*) FROM labels))",
     "L13_collisions": "SELECT doc_id, lang || '/' || n_chars AS target, count(*) OVER (PARTITION BY lower(lang || '/' || n_chars)) > 1 AS collides FROM documents",
     "L14_remap": f"WITH {LEDGER} SELECT CASE WHEN c.path IS NOT NULL THEN 'big/' || l.path ELSE l.path END AS path, status, c.path IS NOT NULL AS moved FROM ledger l LEFT JOIN (SELECT path FROM catalog WHERE size > 1000) c ON l.path = c.path",
-    "L15_fingerprint": "WITH h AS (SELECT substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS p, doc_id, sha256(doc_id || chr(31) || strlen(text) || chr(31) || text) AS h FROM documents), g AS (SELECT p, sha256(string_agg(h, '' ORDER BY doc_id)) AS h, count(*) AS n FROM h GROUP BY p) SELECT substr(sha256(string_agg(h, '' ORDER BY p)), 1, 12) AS fingerprint, CAST(sum(n) AS BIGINT) AS chunks FROM g",
+    "L15_fingerprint": "WITH h AS (SELECT substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS p, doc_id, sha256(doc_id || chr(31) || strlen(text) || chr(31) || text) AS h FROM documents), g AS (SELECT p, sha256(string_agg(h, '' ORDER BY doc_id)) AS h, count(*) AS n FROM h GROUP BY p), k AS (SELECT p[1:3] AS p, sha256(string_agg(h, '' ORDER BY g.p)) AS h, sum(n) AS n FROM g GROUP BY g.p[1:3]) SELECT substr(sha256(string_agg(h, '' ORDER BY p)), 1, 12) AS fingerprint, CAST(sum(n) AS BIGINT) AS chunks FROM k",
     "L16_reattach": f"WITH {LEDGER}, now AS (SELECT hash, min(path) AS path FROM catalog GROUP BY hash), ch AS (SELECT string_split(l.path, '/')[-1] AS name, arg_min(n.path, hash) AS path FROM ledger l JOIN now n USING (hash) GROUP BY 1) SELECT chunk_key, ch.path FROM (SELECT unnest(chunk_ids) AS chunk_key, string_split(path, '/')[-1] AS name FROM ledger) JOIN ch USING (name)",
     "L17_evict": "WITH f AS (SELECT event_id AS id, user_id AS owner, event_type = 'view' AS guest, ts AS created, ts >= TIMESTAMP '2024-02-01' - INTERVAL 10 DAYS AS fresh FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY guest AND fresh ORDER BY created DESC, id) AS g, row_number() OVER (PARTITION BY owner ORDER BY created DESC, id) AS o FROM f) SELECT id, CASE WHEN guest AND NOT fresh THEN 'expired' WHEN guest AND g > 50 THEN 'overflow' WHEN NOT guest AND o > 40 THEN 'over_quota' ELSE 'kept' END AS action FROM r",
     "L18_unique_names": f"WITH {CATALOG} SELECT string_split(path, '/')[-1] AS name, min(path) AS path FROM catalog GROUP BY 1 HAVING count(*) = 1",

@@ -26,7 +26,7 @@ def _questions(s, d):
 
 
 def _versions(s, d):
-    b = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.substring("text", 1, 12).alias("text"), F.when(F.col("role") == "user", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("defects"))
+    b = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.when(F.col("role") == "user", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("defects"))
     return b, b.select("query_id", F.concat("text", F.lit(" new")).alias("text"), F.array(F.lit("y")).alias("defects"))
 
 
@@ -64,7 +64,7 @@ def _asked(s, d):
 
 
 QUERIES = {
-    "E4_bootstrap": lambda s, d: X.bootstrap_interval(E.rank_metrics(_judged(s, d)), "rr", "query_id", 400).select("n", F.round("mean", 6).alias("mean"), ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))).alias("inside")),
+    "E4_bootstrap": lambda s, d: X.bootstrap_interval(E.rank_metrics(_judged(s, d)), "rr", "query_id").select("n", F.round("mean", 6).alias("mean"), ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))).alias("inside")),
     "E8_answer_quality": lambda s, d: X.answer_quality(_runs(s, d)).withColumn("wrongly_refused", F.array_join("wrongly_refused", "|")),
     "E10_window_coverage": lambda s, d: X.window_coverage(_judged(s, d)),
     "E10_worst": lambda s, d: X.worst_queries(_judged(s, d)),
@@ -99,7 +99,7 @@ QUERIES = {
     "R19_allocate": lambda s, d: N.allocate(_bm25(s, d).join(table(s, d, "documents").select("doc_id", F.col("source").alias("file")), "doc_id").select("query_id", "doc_id", "file", "rank")),
     "Q4_same_subject": lambda s, d: N.same_subject(table(s, d, "documents").select(F.col("lang").alias("subject"), (F.col("n_chars") % 3).cast("string").alias("kind"), (F.col("doc_id") % 3).alias("level"), (F.col("doc_id") % 12).alias("grade")), "en", 5),
     "Q6_key_phrases": lambda s, d: N.key_phrases(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.concat(F.lit('**bold one** "quoted words" '), "text").alias("text")), "k", "text"),
-    "Q10_assembled": lambda s, d: N.assembled([table(s, d, "conversations").where("role = 'user'").select("conv_id", F.substring("text", 1, 20).alias("text"), F.col("turn").alias("pos")), table(s, d, "conversations").where("role = 'assistant'").select("conv_id", F.substring("text", 1, 20).alias("text"), F.col("turn").alias("pos"))], "conv_id", 4),
+    "Q10_assembled": lambda s, d: N.assembled([table(s, d, "conversations").where("role = 'user'").select("conv_id", "text", F.col("turn").alias("pos")), table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "text", F.col("turn").alias("pos"))], "conv_id", 4),
 }
 _STATUS = """e AS (SELECT dst AS node, src, rel, partial, start <= DATE '2000-01-01' AS live FROM edges JOIN st ON st.node = src),
   g AS (SELECT node, bool_or(rel <> 'amend' AND NOT partial AND live) AS gone, bool_or(rel <> 'amend' AND NOT partial AND NOT live) AS going, bool_or(partial AND live AND rel <> 'amend') AS parts, bool_or(rel = 'amend' AND live) AS amended FROM e GROUP BY node),
@@ -111,7 +111,7 @@ ORACLE_SQL = {
     "E10_worst": f"WITH {_JUDGED} SELECT query_id, first FROM me ORDER BY first DESC NULLS FIRST, query_id LIMIT 8",
     "E12_subset": f"WITH {QUESTIONS} SELECT query_id FROM questions ORDER BY sha256('sample|' || query_id), query_id LIMIT 15",
     "E14_plan": "WITH q AS (SELECT conv_id * 1000 + turn AS query_id, 'src' || (conv_id % 20) AS source FROM conversations WHERE role = 'user'), qk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY query_id) AS k FROM q), p AS (SELECT source, doc_id AS passage_id, row_number() OVER (PARTITION BY source ORDER BY sha256('plan|' || source || '|' || doc_id), doc_id) AS k FROM documents) SELECT query_id, source, passage_id FROM qk LEFT JOIN p USING (source, k)",
-    "E19_regenerate": "WITH b AS (SELECT conv_id * 1000 + turn AS query_id, text[1:12] AS text, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY query_id) > 1 AS again FROM b), t AS (SELECT *, again OR n = 1 AS take FROM o) SELECT query_id, CASE WHEN take THEN text || ' new' ELSE text END AS text, take AS replaced FROM t",
+    "E19_regenerate": "WITH b AS (SELECT conv_id * 1000 + turn AS query_id, text, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY query_id) > 1 AS again FROM b), t AS (SELECT *, again OR n = 1 AS take FROM o) SELECT query_id, CASE WHEN take THEN text || ' new' ELSE text END AS text, take AS replaced FROM t",
     "K4_hits": f"WITH {_CACHE}, f AS (SELECT question, min(entry) AS entry, count(*) AS n, max(ts) AS last FROM cache GROUP BY question) SELECT c.entry, 1 + coalesce(n, 0) AS uses, coalesce(last, ts) AS last_used FROM cache c LEFT JOIN f ON f.entry = c.entry",
     "K5_purge": f"WITH {_CACHE} SELECT entry FROM cache WHERE fingerprint = 'f1' AND ts >= TIMESTAMP '2024-01-21'",
     "K3_lru": f"WITH {_CACHE} SELECT entry FROM cache WHERE ts >= TIMESTAMP '2024-01-01' ORDER BY ts DESC, entry LIMIT 300",

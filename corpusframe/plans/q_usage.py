@@ -51,7 +51,7 @@ QUERIES = {
     "U12_retention": lambda s, d: U.retention(*_long(s, d), F.expr(CUT)),
     "U13_upsert": lambda s, d: U.upsert_turns(turns(s, d), _convs(s, d)),
     "Q2_round_robin": lambda s, d: U.round_robin(table(s, d, "documents"), "source", "doc_id", "text").select("source", "round", "place", F.md5("text").alias("text")),
-    "Q3_fuzzy_unique": lambda s, d: U.fuzzy_unique(table(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 8).alias("t")))), lambda x: x["t"]).alias("texts")), "conv_id", "texts").select("conv_id", F.array_join("kept", "|").alias("kept")),
+    "Q3_fuzzy_unique": lambda s, d: U.fuzzy_unique(table(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]).alias("texts")), "conv_id", "texts").select("conv_id", F.array_join("kept", "|").alias("kept")),
     "Q5_title_overlap": lambda s, d: U.title_overlap(table(s, d, "benchmark").select("item_id", "text"), table(s, d, "conversations").where("turn = 0").select("conv_id", "text"), "item_id", "conv_id", _pairs()),
     "Q8_cited": lambda s, d: U.cited_sources(table(s, d, "documents").select("doc_id", F.concat(F.lit("as in ["), F.length("lang") + F.col("n_chars") % 3, F.lit("]")).alias("answer"), F.array("source", "lang", F.lit("z")).alias("sources"))).select("doc_id", F.array_join("kept", ",").alias("kept")),
 }

@@ -20,10 +20,22 @@ def hot_folder(spark: SparkSession, folder: str, extensions: str = "*.txt", sett
 
 
 def activity_batches(events: DataFrame, gap: str = "90 seconds", late: str = "1 day") -> DataFrame:
-    """Windows of activity, each closed by a gap: begin, end, n. Works on a stream (append) and on a table."""
+    """Windows of activity, each closed by a gap: begin, end, n. A stream (append) merges its open windows by state; over a table,
+    breaks are found inside hours, and between them from each hour's first and last event, so no task sees all events."""
     if events.isStreaming:
         events = events.withWatermark("at", late)
-    return events.groupBy(F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
+        return events.groupBy(F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
+    wide = F.expr(f"INTERVAL {gap}")
+    rows = events.where("at is not null").select("at", F.date_trunc("hour", "at").alias("hour"))
+    hours = rows.groupBy("hour").agg(F.min("at").alias("first"), F.max("at").alias("last"))  # a row per hour
+    hours = hours.withColumn("earlier", F.lag("last").over(W.orderBy("hour"))).withColumn("opens", F.coalesce(F.col("first") >= F.col("earlier") + wide, F.lit(True)))
+    inside = W.partitionBy("hour").orderBy("at")
+    rows = rows.withColumn("breaks", F.coalesce(F.col("at") >= F.lag("at").over(inside) + wide, F.lit(False)).cast("long"))
+    rows = rows.withColumn("nth", F.sum("breaks").over(inside))
+    most = rows.groupBy("hour").agg(F.max("nth").alias("most"))
+    hours = hours.join(most, "hour").withColumn("base", F.sum(F.col("most") + F.col("opens").cast("long")).over(W.orderBy("hour")) - F.col("most"))
+    both = rows.join(F.broadcast(hours.select("hour", "base")), "hour").groupBy((F.col("base") + F.col("nth")).alias("k"))
+    return both.agg(F.min("at").alias("begin"), F.max("at").alias("m"), F.count("*").alias("n")).select("begin", (F.col("m") + wide).alias("end"), "n")
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -72,13 +84,20 @@ def limiter(events: DataFrame, most: int = 20, seconds: int = 60, late: str = "1
 
 
 def limited(events: DataFrame, most: int = 20, seconds: int = 60) -> DataFrame:
-    """W4 over a table: the same rule as a fold over each key's hits in order. A key is a caller, whose hits one task can hold."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "id"])
-        ok, _ = accepted([t.timestamp() for t in rows["at"]], most, seconds, [])
-        return pd.DataFrame({"key": rows["key"], "id": rows["id"], "allowed": ok})
+    """W4 over a table: the same rule over each key's hits in order. Sorted rows stream through a task, which remembers the accepted times
+    of one key within the window; a key of any number of hits fits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept = None, []
+        for rows in batches:
+            allowed = []
+            for key, at in zip(rows["key"], rows["at"], strict=True):
+                if last is None or key != last:
+                    last, kept = key, []
+                ok, kept = accepted([at.timestamp()], most, seconds, kept)
+                allowed += ok
+            yield pd.DataFrame({"key": rows["key"], "id": rows["id"], "allowed": allowed})
 
     schema = events.schema
     out = f"key {schema['key'].dataType.simpleString()}, id {schema['id'].dataType.simpleString()}, allowed boolean"
-    return events.groupBy("key").applyInPandas(run, out)
+    return events.select("key", "at", "id").repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(run, out)
