@@ -44,12 +44,44 @@ FOLD_FROM, FOLD_TO = _folds()
 VIETNAMESE_ACCENTED = "".join(sorted({c.lower() for c in FOLD_FROM if 0x1EA0 <= ord(c) < 0x1F00 or c in "àáãâèéêìíòóôõùúýăđĩũơư"}))
 
 
+def _marks() -> list[tuple[str, str, str]]:
+    """(mark, letters, letters with the mark) of combining marks, marks below first. A mark attaches to a letter right before it, so
+    three rounds attach up to three marks in whatever order they stand."""
+    of: dict[str, dict[str, str]] = {}
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        two = unicodedata.normalize("NFC", chr(code)), unicodedata.decomposition(chr(code)).split()
+        if len(two[1]) == 2 and not two[1][0].startswith("<") and two[0] == chr(code):
+            base, mark = (chr(int(x, 16)) for x in two[1])
+            of.setdefault(mark, {})[base] = chr(code)
+    order = sorted(of, key=lambda m: (unicodedata.combining(m), m)) * 3
+    return [(m, "".join(of[m]), "".join(of[m].values())) for m in order]
+
+
+MARKS = _marks()
+
+
+def composed(text) -> Column:
+    """Letters followed by combining marks as single letters (NFC for Latin letters); texts without marks come through untouched."""
+
+    def attach(t: Column, m: Column) -> Column:
+        def one(p: Column, i: Column, n: Column) -> Column:
+            last = F.right(p, F.lit(1))
+            new = F.call_function("translate", last, m["base"], m["letter"])
+            return F.when(i == n - 1, p).when(new != last, F.concat(F.substring(p, F.lit(1), F.char_length(p) - 1), new)).otherwise(F.concat(p, m["mark"]))
+
+        pieces = F.split(t, m["mark"])
+        return F.when(F.contains(t, m["mark"]), F.array_join(F.transform(pieces, lambda p, i: one(p, i, F.size(pieces))), "")).otherwise(t)
+
+    table = F.array(*[F.struct(F.lit(a).alias("mark"), F.lit(b).alias("base"), F.lit(c).alias("letter")) for a, b, c in MARKS])
+    return F.when(_text(text).rlike(r"\p{Mn}"), F.aggregate(table, _text(text), attach)).otherwise(_text(text))
+
+
 def _text(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
 def raw_tokens(text) -> Column:
-    return F.regexp_extract_all(F.lower(_text(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(composed(text)), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"), F.lit(0))
 
 
 def tokens(text) -> Column:
@@ -59,8 +91,8 @@ def tokens(text) -> Column:
 
 
 def fold_accents(text) -> Column:
-    """T2."""
-    return F.translate(_text(text), FOLD_FROM, FOLD_TO)
+    """Letters without their marks, composed or not."""
+    return F.regexp_replace(F.translate(_text(text), FOLD_FROM, FOLD_TO), r"\p{Mn}+", "")
 
 
 def split_camel_num(text) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusframe.operators.retrieval import nearest_vectors
+
 
 def document_ranking(run: DataFrame, name: str = "name") -> DataFrame:
     """Chunk list -> names, trimmed and not empty, each at its first place, gaps closed."""
@@ -104,12 +106,13 @@ def unit(v) -> Column:
 
 
 def nearest(x: DataFrame, train: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """key, rank, sim, label of the k nearest other rows of train by cosine. The training examples are the stated side: labelled
-    by hand and few, they are what is broadcast; the rows to classify stay spread."""
-    t = train.select(F.col(key).alias("__k"), F.col(label).alias("label"), unit(vector).alias("__v"))
-    pairs = x.select(key, unit(vector).alias("__x")).join(F.broadcast(t), F.col(key) != F.col("__k"))
-    pairs = pairs.select(key, "__k", "label", F.round(dot("__x", "__v"), 9).alias("sim"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "__k"))).where(F.col("rank") <= k).drop("__k")
+    """key, rank, sim, label of the k nearest other rows of train by cosine, ties to the smaller key. The rows asked for go in bounded
+    blocks to where the training rows are."""
+    queries = x.select(F.col(key).alias("query_id"), vector)
+    near = nearest_vectors(queries, train.withColumnRenamed(key, "__k"), k, "__k", vector, cosine=True)
+    near = near.select(F.col("query_id").alias(key), "__k", F.round("value", 9).alias("sim"))
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "__k"))).where(F.col("rank") <= k)
+    return near.join(train.select(F.col(key).alias("__k"), F.col(label).alias("label")), "__k").select(key, "label", "sim", "rank")
 
 
 def knn_vote(neighbours: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -64,8 +64,10 @@ def build_profiles(docs: DataFrame, external: DataFrame) -> DataFrame:
 
 def amended_passages(chunks: DataFrame, key: str = "chunk_key") -> DataFrame:
     """Key, by: numbers after "theo quy định tại" in a clause that says it was amended or repealed."""
-    c = chunks.select(key, F.explode(F.split("text", "[.;]")).alias("c")).where(F.col("c").rlike(r"(?iu)được (sửa đổi|bãi bỏ|bổ sung|thay thế).*theo quy định tại"))
-    return c.select(key, F.explode(extract_numbers(F.regexp_extract("c", r"(?iu)theo quy định tại(.*)$", 1))).alias("by")).distinct()
+    c = chunks.select(key, F.explode(F.split("text", "[.;]")).alias("c"))
+    # scanned texts break lines inside a sentence, so white space of any kind, or none, may stand between syllables
+    said = r"(?isu)được\s*(?:sửa\s*đổi|bãi\s*bỏ|bổ\s*sung|thay\s*thế).*?theo\s*quy\s*định\s*tại(.*)$"
+    return c.select(key, F.explode(extract_numbers(F.regexp_extract("c", said, 1))).alias("by")).distinct()
 
 
 def rolled_up(chunks: DataFrame, by: str, order: str, most: int = 3000) -> DataFrame:

@@ -28,17 +28,37 @@ def _chunks(s, d):
     return paragraphs(s, d).select("doc_id", "seq", "text", "source", "lang")
 
 
+FILL = "Văn bản áp dụng cho cơ sở giáo dục phổ thông và giáo dục thường xuyên trên cả nước."
+
+
 def _legal(s, d):
     """Documents with a number, a date and relations made of their own columns, in front of their text."""
     n = F.col("doc_id")
+    decree = F.concat(F.lit("Nghị định số "), (F.col("n_chars") % 300 + 1).cast("string"), F.lit("/2015/ND-CP"))
+    next_ = F.concat(((n + 1) % 900 + 1).cast("string"), F.lit("/"), (2010 + (n + 1) % 14).cast("string"), F.lit("/TT-BGDDT"))
+    said = (
+        F.when(n % 5 == 0, F.concat(F.lit("Thay thế "), decree, F.lit("."))).when(n % 5 == 1, F.concat(F.lit("Bãi bỏ Thông tư số "), next_, F.lit("."))).when(n % 5 == 2, F.concat(F.lit("Sửa đổi, bổ sung một số điều của "), decree, F.lit(".")))
+        .when(n % 5 == 3, F.concat(decree, F.lit(" hết hiệu lực kể từ ngày Thông tư này có hiệu lực."))).otherwise(F.concat(F.lit("Điều 5 được thay thế theo quy định tại "), decree, F.lit(".")))
+    )
     head = F.concat(
         F.lit("Số: "), (n % 900 + 1).cast("string"), F.lit("/"), (2010 + n % 14).cast("string"), F.lit("/TT-BGDDT\nBộ Giáo dục và Đào tạo, ngày "), (n % 31 + 1).cast("string"), F.lit(" tháng "), (n % 12 + 1).cast("string"),
-        F.lit(" năm 2021\nThay thế Nghị định số "), (F.col("n_chars") % 300 + 1).cast("string"), F.lit("/2015/ND-CP. Bãi bỏ khoản 2 Điều 3 của Quyết định số 0527/QD-TTg; được sửa đổi theo Luật số 43/2019/QH14. Có hiệu lực thi hành từ ngày "), (n % 28 + 1).cast("string"), F.lit(" tháng 3 năm 2022.\n"),
+        F.lit(f" năm 2021\n{FILL} "), said, F.lit(f" {FILL} Bãi bỏ khoản 2 Điều 3 của Quyết định số 0527/QD-TTg; được sửa đổi theo Luật số 43/2019/QH14. Có hiệu lực thi hành từ ngày "), (n % 28 + 1).cast("string"), F.lit(" tháng 3 năm 2022.\n"),
     )
     return table(s, d, "documents").select("doc_id", F.concat(head, "text").alias("text"), F.concat_ws("-", F.lit("thong-tu"), (n % 900 + 1).cast("string"), F.lit("2020-tt-bgddt.doc")).alias("name"))
 
 
-_LEGAL = """legal AS (SELECT doc_id, 'Số: ' || (doc_id % 900 + 1) || '/' || (2010 + doc_id % 14) || '/TT-BGDDT' AS own, doc_id % 31 + 1 AS d, doc_id % 12 + 1 AS m, n_chars % 300 + 1 AS r, text FROM documents)"""
+_LEGAL = """legal AS (SELECT doc_id, 'Số: ' || (doc_id % 900 + 1) || '/' || (2010 + doc_id % 14) || '/TT-BGDDT' AS own, doc_id % 31 + 1 AS d, doc_id % 12 + 1 AS m, n_chars % 300 + 1 AS r, text,
+  CASE WHEN doc_id % 5 = 1 THEN ((doc_id + 1) % 900 + 1) || '/' || (2010 + (doc_id + 1) % 14) || '/TT-BGDĐT' ELSE (n_chars % 300 + 1) || '/2015/NĐ-CP' END AS mid FROM documents),
+  rels AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'replace' WHEN 2 THEN 'amend' ELSE 'repeal' END AS rel, mid AS target, doc_id % 5 = 2 AS partial FROM legal WHERE doc_id % 5 <> 4 UNION ALL SELECT doc_id, 'repeal', '527/QĐ-TTg', true FROM legal)"""
+
+
+def _based(s, d):
+    """Documents with an attachment note, a basis block and a first article in front of their text."""
+    n = F.col("doc_id")
+    attach = F.when(n % 3 == 0, F.concat(F.lit("(Ban hành kèm theo Thông tư số "), F.col("n_chars") % 300 + 1, F.lit("/2021/TT-BGDDT)\n"))).otherwise(F.lit("QUY CHẾ\n"))
+    basis = F.concat(F.lit("Căn cứ Luật Giáo dục số "), n % 40 + 1, F.lit("/2019/QH14;\n"), F.when(n % 2 == 0, F.concat(F.lit("Căn cứ Nghị định số "), n % 90 + 1, F.lit("/2022/ND-CP ngày 1 tháng 2 năm 2022;\n"))).otherwise(F.lit("Theo đề nghị của Vụ trưởng;\n")))
+    guide = F.when(n % 4 == 0, F.lit("quy định chi tiết một số điều của Luật Giáo dục đại học.\n")).otherwise(F.concat(F.lit("hướng dẫn thi hành Nghị định số "), n % 70 + 1, F.lit("/2020/ND-CP.\n")))
+    return table(s, d, "documents").select("doc_id", F.concat(attach, basis, F.lit("Điều 1. Thông tư này "), guide, "text").alias("text"))
 
 
 def _profiles(s, d):
@@ -47,7 +67,7 @@ def _profiles(s, d):
 
 def _mentions(s, d):
     rel = F.when(F.col("l_returnflag") == "A", "replace").when(F.col("l_returnflag") == "R", "repeal").otherwise("amend")
-    x = table(s, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("n"), F.col("l_suppkey")).alias("src"), rel.alias("rel"), F.concat(F.lit("n"), (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 1000).alias("dst"), (F.col("l_linestatus") == "O").alias("partial"))
+    x = table(s, d, "lineitem").select(F.concat(F.lit("n"), F.col("l_suppkey")).alias("src"), rel.alias("rel"), F.concat(F.lit("n"), (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 1000).alias("dst"), (F.col("l_linestatus") == "O").alias("partial"))
     return x.groupBy("src", "rel", "dst").agg(F.bool_and("partial").alias("partial"))
 
 
@@ -68,6 +88,10 @@ def _nodes(s, d):
     return table(s, d, "supplier").select(F.concat(F.lit("n"), "s_suppkey").alias("node"), F.date_add(day, (F.col("s_nationkey") * 150).cast("int")).alias("issued"), F.when(F.col("s_acctbal") > 5000, F.date_add(day, (F.col("s_nationkey") * 150 + 60).cast("int"))).alias("effective"), (1995 + F.col("s_nationkey")).cast("int").alias("year"))
 
 
+def _status(s, d):
+    return G.status_as_of(_nodes(s, d), _edges(s, d), F.expr("date'2000-01-01'"))
+
+
 def _staff(s, d):
     c = table(s, d, "customer")
     k = F.col("c_custkey")
@@ -115,6 +139,8 @@ QUERIES = {
     "M2_file_number": lambda s, d: _legal(s, d).select("doc_id", M.number_from_name("name").alias("number")),
     "M4_profile": lambda s, d: _legal(s, d).select("doc_id", M.document_type(F.get(M.extract_numbers("text"), F.lit(0))).alias("kind"), M.issue_date(F.col("text")).alias("issued"), M.agency(F.col("text")).alias("agency")),
     "M5_relations": lambda s, d: M.relations(_legal(s, d)),
+    "M3_own_number": lambda s, d: M.own_number(_legal(s, d).withColumn("name", F.when(F.col("doc_id") % 3 == 0, F.col("name")).when(F.col("doc_id") % 3 == 1, F.concat(F.col("doc_id") % 900 + 1, F.lit("_ban-sao.pdf"))).otherwise(F.lit("ban-sao.pdf")))),
+    "M6_mentions": lambda s, d: M.mentions(_based(s, d)),
     "M8_reverse": lambda s, d: M.reverse_relations(M.relations(_legal(s, d)), _profiles(s, d)),
     "M10_time_status": lambda s, d: M.time_status(_legal(s, d), M.issue_date(F.col("text"))),
     "M12_M14_facets": lambda s, d: M.facets(M.classify(table(s, d, "documents").select("doc_id", F.col("source").alias("name"), "text"), "name", "text", {"site": [("first", "^src[0-4]$"), ("rest", "^src[5-9]")], "topic": [("licence", "(?i)license"), ("toxic", "moron|idiot")]}), ["site", "topic"]),
@@ -136,11 +162,14 @@ QUERIES = {
     "W6_daily": lambda s, d: W.daily_counts(_hits(s, d).withColumnRenamed("key", "kind")),
 }
 _ELEMENTS = f"{PARAGRAPHS}, elements AS (SELECT doc_id, seq AS elem_no, text, CAST(seq // 3 + 1 AS INT) AS page FROM paragraphs)"
-_MENTIONS = """mentions AS (SELECT src, rel, dst, bool_and(p) AS partial FROM (SELECT 'n' || l_suppkey AS src, CASE l_returnflag WHEN 'A' THEN 'replace' WHEN 'R' THEN 'repeal' ELSE 'amend' END AS rel, 'n' || ((l_partkey * 7 + l_orderkey) % 1000) AS dst, l_linestatus = 'O' AS p FROM lineitem WHERE l_quantity > 45) GROUP BY ALL),
+_MENTIONS = """mentions AS (SELECT src, rel, dst, bool_and(p) AS partial FROM (SELECT 'n' || l_suppkey AS src, CASE l_returnflag WHEN 'A' THEN 'replace' WHEN 'R' THEN 'repeal' ELSE 'amend' END AS rel, 'n' || ((l_partkey * 7 + l_orderkey) % 1000) AS dst, l_linestatus = 'O' AS p FROM lineitem) GROUP BY ALL),
   curated AS (SELECT 'n' || s_suppkey AS src, 'replace' AS rel, 'n' || (s_suppkey + 1) AS dst FROM supplier WHERE s_acctbal > 9000),
   e0 AS (SELECT src, rel, dst, 'curated' AS origin, false AS partial FROM curated UNION ALL SELECT src, rel, dst, 'text', partial FROM mentions WHERE src <> dst AND NOT (src < dst AND rel = 'amend') AND (src, rel, dst) NOT IN (SELECT src, rel, dst FROM curated)),
   edges AS (SELECT * FROM e0 a WHERE NOT (partial AND rel IN ('replace', 'repeal') AND EXISTS (SELECT 1 FROM e0 b WHERE b.src = a.src AND b.dst = a.dst AND NOT b.partial AND b.rel IN ('replace', 'repeal')))),
   nodes AS (SELECT 'n' || s_suppkey AS node, DATE '1995-01-01' + CAST(s_nationkey * 150 AS INT) AS issued, CASE WHEN s_acctbal > 5000 THEN DATE '1995-01-01' + CAST(s_nationkey * 150 + 60 AS INT) END AS effective FROM supplier), st AS (SELECT node, coalesce(effective, issued) AS start FROM nodes)"""
+_STATUS = """e AS (SELECT dst AS node, src, rel, partial, start <= DATE '2000-01-01' AS live FROM edges JOIN st ON st.node = src),
+  g AS (SELECT node, bool_or(rel <> 'amend' AND NOT partial AND live) AS gone, bool_or(rel <> 'amend' AND NOT partial AND NOT live) AS going, bool_or(partial AND live AND rel <> 'amend') AS parts, bool_or(rel = 'amend' AND live) AS amended FROM e GROUP BY node),
+  status AS (SELECT node, CASE WHEN gone THEN 'expired' WHEN going THEN 'expiring' WHEN start > DATE '2000-01-01' THEN 'not_yet' WHEN parts THEN 'partly' WHEN amended THEN 'amended' ELSE 'in_force' END AS status FROM st LEFT JOIN g USING (node))"""
 _STAFF = """staff AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'primary' ELSE 'other' END AS level, CASE WHEN c_custkey % 2 = 0 THEN 'II' ELSE 'III' END AS rank, c_custkey % 8 + 1 AS grade, CASE WHEN c_nationkey < 5 THEN 0.7 ELSE 0 END AS area,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 0.4 ELSE 0 END AS pos, CASE WHEN c_custkey % 10 = 0 THEN 0.05 ELSE 0 END AS ov, CASE c_mktsegment WHEN 'BUILDING' THEN 'deputy' WHEN 'MACHINERY' THEN 'director' ELSE 'teacher' END AS position FROM customer)"""
 _AVG = """sc AS (SELECT l_suppkey AS student, CAST(l_partkey % 8 AS INT) AS subject, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS term, CASE l_linenumber WHEN 1 THEN 'mid' WHEN 2 THEN 'final' ELSE 'regular' END AS kind, round(l_quantity / 5, 1) AS mark FROM lineitem),
@@ -156,10 +185,13 @@ ORACLE_SQL = {
     "C8_pack": f"WITH {PARAGRAPHS} SELECT doc_id, md5(string_agg('[' || lang || ']' || chr(10) || text, '' ORDER BY seq)[1:2000]) AS text FROM paragraphs GROUP BY doc_id",
     "C10_candidates": f"WITH {PARAGRAPHS}, g AS (SELECT doc_id, seq, CASE WHEN length(text) >= 300 AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / length(text) >= 0.6 AND NOT regexp_matches(text, '(?i)license') THEN CASE WHEN regexp_matches(text, '^[DLT]') THEN 2 ELSE 1 END ELSE 0 END AS tier FROM paragraphs) SELECT * FROM g QUALIFY tier = max(tier) OVER (PARTITION BY doc_id)",
     "C11_statistics": "SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY source",
-    "M1_numbers": f"WITH {_LEGAL} SELECT doc_id, (doc_id % 900 + 1) || '/' || (2010 + doc_id % 14) || '/TT-BGDĐT,' || r || '/2015/NĐ-CP,527/QĐ-TTg,43/2019/QH14' AS numbers FROM legal",
+    "M1_numbers": f"WITH {_LEGAL} SELECT doc_id, (doc_id % 900 + 1) || '/' || (2010 + doc_id % 14) || '/TT-BGDĐT,' || mid || ',527/QĐ-TTg,43/2019/QH14' AS numbers FROM legal",
     "M2_file_number": "SELECT doc_id, (doc_id % 900 + 1) || '/2020/TT-BGDĐT' AS number FROM documents",
     "M4_profile": f"WITH {_LEGAL} SELECT doc_id, 'Thông tư' AS kind, try_cast('2021-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) AS issued, 'BỘ GIÁO DỤC VÀ ĐÀO TẠO' AS agency FROM legal",
-    "M5_relations": f"WITH {_LEGAL} SELECT doc_id, 'replace' AS rel, r || '/2015/NĐ-CP' AS target, false AS partial FROM legal UNION ALL SELECT doc_id, 'repeal', '527/QĐ-TTg', true FROM legal",
+    "M5_relations": f"WITH {_LEGAL} SELECT * FROM rels",
+    "M8_reverse": f"WITH {_LEGAL} SELECT l.doc_id, rel, list_sort(list(DISTINCT r.doc_id)) AS by FROM rels r JOIN legal l ON r.target = replace(l.own[5:], 'BGDDT', 'BGDĐT') AND r.doc_id <> l.doc_id GROUP BY ALL",
+    "M6_mentions": f"WITH {_LEGAL} SELECT doc_id, 'basis' AS rel, (doc_id % 40 + 1) || '/2019/QH14' AS target FROM legal UNION ALL SELECT doc_id, 'basis', (doc_id % 90 + 1) || '/2022/NĐ-CP' FROM legal WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'attach', r || '/2021/TT-BGDĐT' FROM legal WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'guide', CASE WHEN doc_id % 4 = 0 THEN 'Luật Giáo dục đại học' ELSE (doc_id % 70 + 1) || '/2020/NĐ-CP' END FROM legal",
+    "M3_own_number": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (doc_id % 900 + 1) || '/2020/TT-BGDĐT' ELSE (doc_id % 900 + 1) || '/' || (2010 + doc_id % 14) || '/TT-BGDĐT' END AS number, CASE doc_id % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'header' ELSE 'field' END AS origin, false AS guessed FROM documents",
     "M10_time_status": "SELECT doc_id, make_date(2022, 3, doc_id % 28 + 1) AS effective_on, false AS is_draft FROM documents",
     "M12_M14_facets": "WITH l AS (SELECT CASE WHEN regexp_matches(source, '^src[0-4]$') THEN 'first' WHEN regexp_matches(source, '^src[5-9]') THEN 'rest' END AS site, CASE WHEN regexp_matches(text, '(?i)license') AND NOT regexp_matches(text, 'moron|idiot') THEN 'licence' WHEN regexp_matches(text, 'moron|idiot') AND NOT regexp_matches(text, '(?i)license') THEN 'toxic' END AS topic FROM documents) SELECT 'site' AS dimension, site AS value, count(*) AS n FROM l GROUP BY site UNION ALL SELECT 'topic', topic, count(*) FROM l GROUP BY topic",
     "G2_edges": f"WITH {_MENTIONS} SELECT * FROM edges",

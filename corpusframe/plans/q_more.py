@@ -9,7 +9,7 @@ from corpusframe.operators import evaluation_runs as X
 from corpusframe.operators import lineage as N
 from corpusframe.operators import retrieval as R
 from corpusframe.plans.inputs import PARAGRAPHS, QUESTIONS, TURNS, paragraphs, questions, table, turns
-from corpusframe.plans.q_corpus import _MENTIONS, _edges, _legal, _nodes
+from corpusframe.plans.q_corpus import _MENTIONS, _STATUS, _edges, _legal, _nodes, _status
 from corpusframe.plans.q_corpus import G as graph
 from corpusframe.plans.q_retrieval import _JUDGED, _VOTE, _bm25, _judged, _knn, _query_rows, _vectors
 from corpusframe.plans.q_text import tok
@@ -45,10 +45,6 @@ def _passages(s, d):
     return p.join(n.withColumn("known", F.lit(1)), "node", "left").withColumn("node", F.when(F.col("known") == 1, F.col("node"))).drop("known")
 
 
-def _status(s, d):
-    return graph.status_as_of(_nodes(s, d), _edges(s, d), F.expr("date'2000-01-01'"))
-
-
 def _labels(s, d):
     return N.passage_labels(_passages(s, d), _status(s, d), table(s, d, "labels").where("toxic = 1").select(F.concat_ws("#", "doc_id", F.lit("0")).alias("chunk_key")))
 
@@ -84,14 +80,13 @@ QUERIES = {
     "L12_route": lambda s, d: N.route(table(s, d, "documents").select("doc_id", "lang", "n_chars"), [(F.col("n_chars") < 300, "short"), (F.col("lang") == "en", "english")], "other").select("doc_id", "folder"),
     "L8_queue": lambda s, d: N.queue_view(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("hash"), F.col("doc_id").alias("created")), table(s, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("status"), F.col("doc_id").alias("at"))).select("id", "status", "superseded"),
     "M7_profiles": lambda s, d: N.build_profiles(_legal(s, d), _external(s, d)),
-    "M11_amended": lambda s, d: N.amended_passages(_legal(s, d).select(F.col("doc_id").alias("chunk_key"), F.concat(F.lit("Điều này được sửa đổi theo quy định tại Nghị định số "), F.col("doc_id") % 50 + 1, F.lit("/2025/ND-CP. "), "text").alias("text"))),
+    "M11_amended": lambda s, d: N.amended_passages(_legal(s, d).select(F.col("doc_id").alias("chunk_key"), F.concat(F.lit("Điều này được sửa đổi\ntheo quy định\ntại Nghị định số "), F.col("doc_id") % 50 + 1, F.lit("/2025/ND-CP. "), "text").alias("text"))),
     "M13_roll_up": lambda s, d: N.rolled_up(paragraphs(s, d), "doc_id", "seq").select("doc_id", F.md5("text").alias("text")),
     "G1_nodes": lambda s, d: N.assign_nodes(table(s, d, "documents").select("doc_id", F.when(F.col("n_chars") > 2000, F.concat(F.col("doc_id"), F.lit("/2020/TT-X"))).alias("number"), (F.col("lang") == "en").alias("attached")), table(s, d, "labels").where("toxic = 1").select("doc_id", F.concat(F.lit("c"), "doc_id").alias("node"))),
     "G6_labels": _labels,
     "G8_companions": lambda s, d: N.companions(graph.related(_edges(s, d), 50).select("node", "other"), _passages(s, d).select("node", "doc_id").distinct(), _status(s, d).where("status = 'expired'")),
     "G9_asked": _asked,
     "G11_warnings": lambda s, d: N.source_warnings(_bm25(s, d).select("query_id", "rank", F.concat_ws("#", "doc_id", F.lit("0")).alias("chunk_key")), _labels(s, d).join(_passages(s, d).select("chunk_key", "node"), "chunk_key")),
-    "R6_coverage": lambda s, d: R.coverage(_bm25(s, d).join(table(s, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("head")), "doc_id"), questions(s, d), R.vocabulary(table(s, d, "documents")), F.lit(7.0), "doc_id", "head").select("query_id", "doc_id", F.round("idf_coverage", 6).alias("idf_coverage")),
     "R7_recency": lambda s, d: R.recency(_bm25(s, d).join(table(s, d, "documents"), "doc_id").select("query_id", "doc_id", "source", "text", F.date_add(F.expr("date'2020-01-01'"), F.col("doc_id").cast("int")).alias("doc_date")), "doc_id").select("query_id", "doc_id", "bonus"),
     "R9_sub_queries": lambda s, d: N.sub_queries(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("Điều "), F.col("item_id") % 9 + 1, F.lit(" và điều 12 nói gì")).alias("text"))),
     "R14_unreadable": lambda s, d: N.unreadable_match(questions(s, d), table(s, d, "documents").select("doc_id", F.col("text").alias("title"))),
@@ -101,9 +96,6 @@ QUERIES = {
     "Q6_key_phrases": lambda s, d: N.key_phrases(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.concat(F.lit('**bold one** "quoted words" '), "text").alias("text")), "k", "text"),
     "Q10_assembled": lambda s, d: N.assembled([table(s, d, "conversations").where("role = 'user'").select("conv_id", "text", F.col("turn").alias("pos")), table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "text", F.col("turn").alias("pos"))], "conv_id", 4),
 }
-_STATUS = """e AS (SELECT dst AS node, src, rel, partial, start <= DATE '2000-01-01' AS live FROM edges JOIN st ON st.node = src),
-  g AS (SELECT node, bool_or(rel <> 'amend' AND NOT partial AND live) AS gone, bool_or(rel <> 'amend' AND NOT partial AND NOT live) AS going, bool_or(partial AND live AND rel <> 'amend') AS parts, bool_or(rel = 'amend' AND live) AS amended FROM e GROUP BY node),
-  status AS (SELECT node, CASE WHEN gone THEN 'expired' WHEN going THEN 'expiring' WHEN start > DATE '2000-01-01' THEN 'not_yet' WHEN parts THEN 'partly' WHEN amended THEN 'amended' ELSE 'in_force' END AS status FROM st LEFT JOIN g USING (node))"""
 _CACHE = "cache AS (SELECT event_id AS entry, event_type || '-' || CAST(floor(value) AS BIGINT) AS question, ts, 'f' || (user_id % 2) AS fingerprint FROM events)"
 ORACLE_SQL = {
     "E8_answer_quality": f"WITH {TURNS} SELECT role AS grp, count(*) AS answers, count(*) FILTER (WHERE citation_ok) AS \"right\", count(*) FILTER (WHERE refused) AS refused, count(*) FILTER (WHERE citation_ok) AS cited, count(*) FILTER (WHERE figures_ok) AS grounded, round(avg(seconds), 3) AS seconds, array_to_string(list_sort(list_distinct(list(question) FILTER (WHERE refused AND seconds <= 200)))[1:5], '|') AS wrongly_refused FROM turns GROUP BY role".replace("ts AS at", 'ts AS "at"'),
@@ -121,7 +113,7 @@ ORACLE_SQL = {
     "L12_route": "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'short' WHEN lang = 'en' THEN 'english' ELSE 'other' END AS folder FROM documents",
     "L8_queue": "WITH q AS (SELECT d.doc_id AS id, md5(text) AS hash, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT id, status, status = 'pending' AND row_number() OVER (PARTITION BY hash, status ORDER BY id DESC) > 1 AS superseded FROM q",
     "M7_profiles": "SELECT doc_id, (doc_id % 900 + 1) || '/2020/TT-BGDĐT' AS number, 'name' AS origin FROM documents",
-    "M11_amended": "SELECT doc_id AS chunk_key, (doc_id % 50 + 1) || '/2025/NĐ-CP' AS by FROM documents",
+    "M11_amended": "SELECT doc_id AS chunk_key, (doc_id % 50 + 1) || '/2025/NĐ-CP' AS by FROM documents UNION ALL SELECT doc_id, (n_chars % 300 + 1) || '/2015/NĐ-CP' FROM documents WHERE doc_id % 5 = 4",
     "M13_roll_up": f"WITH {PARAGRAPHS}, b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM paragraphs) SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY seq)) AS text FROM b WHERE b < 3000 GROUP BY doc_id",
     "G1_nodes": "SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'c' || doc_id WHEN n_chars > 2000 THEN doc_id || '/2020/TT-X' WHEN lang = 'en' THEN 'file:' || doc_id END AS node FROM documents LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l USING (doc_id)",
     "G6_labels": f"""WITH {_MENTIONS}, {_STATUS}, {PARAGRAPHS}, p AS (SELECT doc_id || '#' || seq AS chunk_key, seq, status, toxic FROM paragraphs LEFT JOIN status ON node = 'n' || (doc_id % 120) LEFT JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 1) l USING (doc_id)),

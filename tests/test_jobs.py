@@ -1,7 +1,10 @@
 """Jobs on small tables with known answers."""
 
 import datetime as dt
+import re
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +203,75 @@ def test_within_document_ranks_only_the_own_document(spark):
     questions = spark.createDataFrame([(1, 1, "alpha"), (2, 3, "omega"), (3, 3, "betaxxxxxx")], "query_id long, doc_id long, text string")
     got = sorted(tuple(r) for r in lineage.within_document(questions, chunks).collect())
     assert got == [(1, 1, 1), (2, 2, 1), (2, 3, 2), (2, 5, 3), (2, 6, 4), (3, 6, 1)]
+
+
+def test_decomposed_letters_count_as_composed(spark):
+    words = ["Tin h\u1ecdc l\u1edbp", "\u1ead \u1ebf \u1eef \u1ee3 \u1eb6 \u1e17", "\u00e9\u0302 x", "Vi\u1ec7t Nam \u0111\u01b0\u1eddng ph\u1ed1", "na\u00efve Z\u00fcrich \u00e7\u00e0", "", "q\u0303 plain"]
+    forms = [unicodedata.normalize(f, w) for w in words for f in ("NFC", "NFD")] + ["a\u0302\u0323", "a\u0323\u0302", None]
+    rows = spark.createDataFrame(list(enumerate(forms)), "i long, t string").select("i", T.composed("t").alias("c"), T.fold_accents("t").alias("f"), T.raw_tokens("t").alias("w")).orderBy("i").collect()
+    for r, t in zip(rows, forms, strict=True):
+        whole = unicodedata.normalize("NFC", t or "")
+        assert r.c == whole
+        bare = "".join(c for c in unicodedata.normalize("NFD", t or "") if not unicodedata.combining(c)).translate({ord("đ"): "d", ord("Đ"): "D"})
+        assert r.f == bare
+        assert r.w == re.findall(r"[^\W_][\w\u0300-\u036f]*", whole.lower())
+
+
+def test_relations_of_the_harder_kinds(spark):
+    far = "Văn bản áp dụng cho cơ sở giáo dục phổ thông và giáo dục thường xuyên trên cả nước. "
+    rows = [
+        (1, "3. Thông tư số 1/2020/TT-BGDĐT ngày 2 hết hiệu lực\nkể từ ngày Thông tư này có hiệu lực."),
+        (2, "Khoản 2 Điều 3 của Nghị định số 7/2019/NĐ-CP hết hiệu lực thi hành khi Nghị định này bắt đầu có hiệu lực"),
+        (3, "hết hiệu lực Thông tư số 5/2020/TT-BGDĐT"),
+        (4, f"Bãi bỏ Điều 5 của Nghị định số 8/2018/NĐ-CP. {far}Thay thế Nghị định số 8/2018/NĐ-CP"),
+        (5, "Bãi bỏ cụm từ ABC tại Nghị định số 9/2018/NĐ-CP"),
+        (6, "Nghị định số 311/2025/NĐ-CP sửa đổi, bổ sung Nghị định số 71/2020/NĐ-CP"),
+        (7, "sửa đổi, bổ sung bởi Luật số 4/2019/QH14"),
+        (8, None),
+    ]
+    got = {(r.doc_id, r.rel, r.target, r.partial) for r in metadata.relations(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        (1, "repeal", "1/2020/TT-BGDĐT", False), (2, "repeal", "7/2019/NĐ-CP", True), (3, "repeal", "5/2020/TT-BGDĐT", False),
+        (4, "replace", "8/2018/NĐ-CP", False), (5, "amend", "9/2018/NĐ-CP", True),
+    }
+
+
+def test_own_numbers_and_mentions(spark):
+    rows = [
+        (1, "12-2020-tt-bgddt.doc", "Số: 99/2021/TT-BGDĐT"), (2, "0043_ban.pdf", "Theo Luật số 8/2012/QH13\nSố: 43/2019/QH14"), (3, "5_x.pdf", "\nSố: 77/2021/NĐ-CP\n"),
+        (4, "quy-che.pdf", "Theo Luật số 8/2012/QH13 thì"), (5, "31_signed.pdf", "Số:   /TT-BGDĐT\nHà Nội, ngày 2 tháng 3 năm 2024"), (6, None, None),
+    ]
+    got = {r.doc_id: (r.number, r.origin, r.guessed) for r in metadata.own_number(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()}
+    assert got == {
+        1: ("12/2020/TT-BGDĐT", "name", False), 2: ("43/2019/QH14", "header", False), 3: ("77/2021/NĐ-CP", "field", True),
+        4: (None, None, None), 5: ("31/2024/TT-BGDĐT", "signed", True), 6: (None, None, None),
+    }
+
+
+def test_nearest_vectors_in_blocks_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=5).round(1).tolist()) for i in range(60)] + [(60, [0.0] * 5)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    for block in (7, 2048):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        got = {(r.query_id, r["rank"]): r.vec_id for r in retrieval.dense(asked, vectors, 4).collect()}
+        v = {i: np.array(x, np.float32).astype(float) for i, x in data}
+        for q in v:
+            want = sorted(v, key=lambda i: (round(float(((v[i] - v[q]) ** 2).sum()), 6), i))[:4]
+            assert [got[q, k] for k in range(1, 5)] == want
+    assert retrieval.dense(asked.limit(0), vectors, 4).count() == 0 and retrieval.dense(asked, vectors.limit(0), 4).count() == 0
+
+
+def test_activity_batches_over_hours_match_one_sorted_pass(spark):
+    rng = np.random.default_rng(6)
+    at = sorted(1_700_000_000 + int(x) for x in rng.integers(0, 40_000, 60)) + [1_700_100_000, 1_700_100_600, 1_700_101_200]
+    rows = spark.createDataFrame([(x,) for x in at], "s long").select(F.timestamp_seconds("s").alias("at"))
+    got = sorted((r.b, r.n) for r in jobs.activity_batches(rows, "600 seconds").select(F.unix_timestamp("begin").alias("b"), "n").collect())
+    want, last = [], None
+    for x in at:
+        if last is None or x - last >= 600:
+            want.append([x, 0])
+        want[-1][1] += 1
+        last = x
+    assert got == [tuple(w) for w in want]
