@@ -53,6 +53,10 @@ def _marks() -> list[tuple[str, str, str]]:
         if len(two[1]) == 2 and not two[1][0].startswith("<") and two[0] == chr(code):
             base, mark = (chr(int(x, 16)) for x in two[1])
             of.setdefault(mark, {})[base] = chr(code)
+            bare, *rest = unicodedata.normalize("NFD", chr(code))
+            above = unicodedata.normalize("NFC", bare + mark)
+            if len(rest) == 2 and len(above) == 1 and unicodedata.combining(rest[0]) < unicodedata.combining(mark):
+                of.setdefault(rest[0], {})[above] = chr(code)  # the mark below came after the one above
     order = sorted(of, key=lambda m: (unicodedata.combining(m), m)) * 3
     return [(m, "".join(of[m]), "".join(of[m].values())) for m in order]
 
