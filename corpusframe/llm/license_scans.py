@@ -27,7 +27,30 @@ class Template(NamedTuple):
     base: bool = False
 
 
-#: The three base phrases, then short passages by which public licences are known.
+#: Texts of short public licences, as words.
+MIT_TEXT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+ISC_TEXT = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+BSD_TEXT = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+ZLIB_TEXT = (
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+)
+#: The three base phrases, then lines and texts by which public licences are known.
 TEMPLATES = (
     Template("mit", "mit license", ("mit license",), True),
     Template("apache", "apache license", ("apache license",), True),
@@ -40,9 +63,10 @@ TEMPLATES = (
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    Template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute this software", "with or without fee")),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
+    Template("zlib", ZLIB_TEXT, ("provided as is", "alter it and redistribute it freely")),
+    Template("mit-text", MIT_TEXT, ("permission is hereby granted", "free of charge")),
+    Template("isc", ISC_TEXT, ("distribute this software", "with or without fee")),
+    Template("bsd", BSD_TEXT, ("redistribution and use", "source and binary forms")),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
@@ -71,7 +95,10 @@ def template_idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places.
+    """A file's highest-IDF licence words are looked up per template: a place needs all words of the template's mandatory phrases, so
+    of those the two rarest over all documents are also the file's two rarest, and no place is missed.
+
+    Per row of docs(doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
     places holds (label, word, base, score) of every verified place; word may be negative where a text begins inside a
     template. n_base, first_word and last_word cover the base templates alone. A null text counts as empty: no words, null

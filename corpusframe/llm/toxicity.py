@@ -19,7 +19,7 @@ from corpusframe.llm.words import NOT_ALNUM, Words, column, prefix_hashes, slice
 #: Labelled documents the model is fitted on, at most; drawn by a hash of the id.
 FIT_ROWS = 10_000
 #: Bytes of their texts, in total and of one, at most: the sample is held by one task.
-FIT_BYTES, FIT_TEXT = 64 << 20, 4 << 20
+FIT_BYTES, FIT_TEXT = 64 << 20, 1 << 20
 #: A feature is tried if so many toxic documents of the sample have it, and their share is so many times that of clean ones.
 LEAST_TOXIC, LEAST_RATIO = 6, 4.0
 #: Where the bias starts, and stays without labelled documents: a sentence is taken for clean.

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +15,18 @@ from pyspark.sql import functions as F
 from corpusframe.llm.common import read
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-STRICT = ("casino", "porn", "xxx", "viagra", "malware", "warez", "escort", "phishing")
-SOFT = {"cheap": 1.0, "pills": 1.0, "free": 0.5, "bets": 1.5, "bet": 1.5, "spam": 1.5, "farm": 0.5, "ads": 1.0, "track": 1.0, "win": 0.5, "loan": 1.0, "adult": 1.0, "crack": 1.0, "poker": 1.5, "replica": 1.0}
+#: Default vocabulary: words one of which rejects an address, by kind; and words that reject two together, with their weights. Both are parameters of judge_urls.
+STRICT = tuple(
+    "porn porno pornhub xxx xvideos hentai milf camgirl camgirls sexcam escort escorts hookup hookups nudes "
+    "casino sportsbook betting slotmachine viagra cialis levitra xanax tramadol "
+    "warez keygen malware ransomware phishing botnet carding counterfeit".split()
+)
+SOFT = {
+    "free": 0.5, "win": 0.5, "farm": 0.5, "deal": 0.5, "deals": 0.5, "sale": 0.5, "bonus": 0.5, "promo": 0.5, "coupon": 0.5, "click": 0.5, "offer": 0.5, "prize": 0.5,
+    "cheap": 1.0, "pills": 1.0, "pill": 1.0, "pharmacy": 1.0, "ads": 1.0, "adserver": 1.0, "track": 1.0, "tracker": 1.0, "loan": 1.0, "loans": 1.0, "payday": 1.0, "credit": 0.5, "adult": 1.0, "sexy": 1.0, "sex": 1.0, "nude": 1.0,
+    "crack": 1.0, "cracked": 1.0, "serial": 0.5, "torrent": 1.0, "torrents": 1.0, "proxy": 0.5, "replica": 1.0, "replicas": 1.0, "lottery": 1.0, "jackpot": 1.0, "slots": 1.0, "roulette": 1.0,
+    "bet": 1.5, "bets": 1.5, "poker": 1.5, "spam": 1.5, "seo": 1.0, "backlink": 1.0, "backlinks": 1.0, "dating": 1.0, "singles": 1.0, "webcam": 1.0, "dieting": 0.5, "forex": 1.0, "bitcoin": 0.5, "miner": 1.0,
+}
 SOFT_LIMIT = 2.0
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +37,8 @@ def vocabulary_hits(strict: Sequence[str], soft: Mapping[str, float]):
 
     @F.pandas_udf("n_strict int, n_soft int, soft_weight double")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import ahocorasick  # needed by this operator alone, on executors
+
         find = ahocorasick.Automaton()
         for term, value in terms.items():
             find.add_word(term, value)

@@ -442,3 +442,48 @@ def test_url_rules_and_words(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge_urls(df).collect()}
     assert got == dict(enumerate(urls.values()))
     assert url_filters.judge_urls(df.limit(0)).count() == 0
+
+
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark):
+    rng = np.random.default_rng(12)
+    plain = [f"word{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 6 == 0
+        said = [" ".join(rng.choice(plain, 7)) for _ in range(4)]
+        if toxic:
+            said[rng.integers(4)] += " blight " + ("scum" if i % 4 else "vermin")
+        rows.append(". ".join(said) + ".")
+        labels.append((i, 1, int(toxic)))
+    rows += ["", None, "blight scum", "word1 word2"]
+    docs = table(spark, rows)
+    model = toxicity.fit(docs.where("doc_id % 5 <> 0"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    weights, bias = {r.word % (1 << 64): r.weight for r in model if not r.is_bias}, next(r.weight for r in model if r.is_bias)
+
+    def reference(text):
+        import pyarrow as pa
+
+        from corpusframe.llm import words
+
+        clean = 1.0
+        for s in [x for x in re.split(r"[.!?\n]", text or "") if alnum(x)] or [""]:
+            z = bias
+            if alnum(s):
+                w = words.words_of(next(words.slices(pa.array([s])))[1], words.NOT_ALNUM)
+                z += sum(weights.get(int(h), 0) for f in toxicity.features(w) for h in f if h)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    got = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    for i, t in enumerate(rows):
+        assert abs(got[i].score - reference(t)) < 1e-9
+    held = [i for i in range(0, 300, 5)]
+    assert all((got[i].score >= 0.5) == (i % 6 == 0) for i in held)
+    assert got[302].score >= 0.5 and all("blight" in s.sentence for i in range(0, 300, 6) for s in got[i].offending)
+
+
+def test_soft_terms_need_two_and_their_weight(spark):
+    urls = ["http://a.com/free-win", "http://a.com/bet-win", "http://a.com/bet-bet", "http://a.com/xbet-win", "http://a.com/porn", "http://a.com/pornx", "http://a.com/free/deal/win/sale"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").union(spark.createDataFrame([(1, urls[1])], "page_id long, url string"))
+    got = [(r.page_id, r.verdict) for r in url_filters.judge_urls(rows, rules=()).orderBy("page_id").collect()]
+    assert got == [(0, "allow"), (1, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "block"), (5, "allow"), (6, "block")]
