@@ -68,15 +68,17 @@ def composed(text) -> Column:
     """Letters followed by combining marks as single letters (NFC for Latin letters); texts without marks come through untouched."""
 
     def attach(t: Column, m: Column) -> Column:
+        mark, half = F.substring(m, 1, 1), F.call_function("div", F.char_length(m) - 1, F.lit(2)).cast("int")
+
         def one(p: Column, i: Column, n: Column) -> Column:
             last = F.right(p, F.lit(1))
-            new = F.call_function("translate", last, m["base"], m["letter"])
-            return F.when(i == n - 1, p).when(new != last, F.concat(F.substring(p, F.lit(1), F.char_length(p) - 1), new)).otherwise(F.concat(p, m["mark"]))
+            new = F.call_function("translate", last, F.substring(m, F.lit(2), half), F.substring(m, half + 2, half))
+            return F.when(i == n - 1, p).when(new != last, F.concat(F.substring(p, F.lit(1), F.char_length(p) - 1), new)).otherwise(F.concat(p, mark))
 
-        pieces = F.split(t, m["mark"])
-        return F.when(F.contains(t, m["mark"]), F.array_join(F.transform(pieces, lambda p, i: one(p, i, F.size(pieces))), "")).otherwise(t)
+        pieces = F.split(t, mark)
+        return F.when(F.contains(t, mark), F.array_join(F.transform(pieces, lambda p, i: one(p, i, F.size(pieces))), "")).otherwise(t)
 
-    table = F.array(*[F.struct(F.lit(a).alias("mark"), F.lit(b).alias("base"), F.lit(c).alias("letter")) for a, b, c in MARKS])
+    table = F.split(F.lit("\n".join("".join(m) for m in MARKS)), "\n")  # one literal: a mark, its letters, those with the mark
     return F.when(_text(text).rlike(r"\p{Mn}"), F.aggregate(table, _text(text), attach)).otherwise(_text(text))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
-from corpusframe.operators import calculators, catalog, chunking, evaluation, graph, lineage, metadata, retrieval, text_jobs, usage
+from corpusframe.operators import calculators, catalog, chunking, evaluation, graph, lineage, metadata, notes, retrieval, text_jobs, usage
 from corpusframe.operators.order import row_numbers
 from corpusframe.sources import readers
 from corpusframe.streaming import jobs
@@ -275,3 +275,53 @@ def test_activity_batches_over_hours_match_one_sorted_pass(spark):
         want[-1][1] += 1
         last = x
     assert got == [tuple(w) for w in want]
+
+
+def test_notes_name_what_replaced_a_document(spark):
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d")], "query_id long, node string")
+    day = dt.date(2030, 1, 1)
+    status = spark.createDataFrame([("a", "expired", ["x", "y"], None), ("b", "in_force", [], None), ("c", "expiring", ["z"], day), ("d", "partly", ["x"], None)], "node string, status string, by array<string>, `from` date")
+    said = notes.question_notes(asked, status)
+    assert {(r.query_id, r.note, r["from"]) for r in said.collect()} == {(1, "a no longer in force, replaced by x, y", None), (2, "c in force until it is replaced by z", day), (2, "d repealed in part by x", None)}
+    files = spark.createDataFrame([("x", 7, False), ("y", 8, True), ("z", 9, False)], "node string, doc_id long, is_draft boolean")
+    assert {tuple(r) for r in notes.documents_to_pull(said, files).collect()} == {(1, "a", "replace", "x", 7), (2, "c", "replace", "z", 9), (2, "d", "repeal", "x", 7)}
+
+
+def test_companions_give_their_best_passage(spark):
+    asked = spark.createDataFrame([(1, "học phí đại học", 5, "71/2020/NĐ-CP", 0), (1, "học phí đại học", 6, None, 1), (1, "học phí đại học", 7, None, 2), (1, "học phí đại học", 8, None, 3)], "query_id long, question string, doc_id long, number string, priority int")
+    passages = spark.createDataFrame([(5, 0, "học phí đại học công lập"), (5, 1, "sửa đổi Nghị định số 71/2020/NĐ-CP"), (6, 0, "khác"), (6, 1, "khác nữa"), (7, 0, "học phí"), (8, 0, "học phí đại học")], "doc_id long, seq int, text string")
+    present = spark.createDataFrame([(1, 7)], "query_id long, doc_id long")
+    got = [(r.doc_id, r.seq, r.place) for r in notes.companion_passages(asked, passages, present).orderBy("place").collect()]
+    assert got == [(5, 1, 1), (6, 0, 2)]
+
+
+def test_spans_of_cited_text(spark):
+    page = "a b c the quick brown fox jumps over x y z and far away the quick".split()
+    assert notes.span(page, "the quick brown cat jumps over".split()) == (3, 9, 5)
+    assert notes.span(page, "nothing of this kind stands here".split()) is None and notes.span([], ["a"]) is None and notes.span(["q", "a"], ["a"]) == (1, 2, 1)
+    rows = spark.createDataFrame([(1, page, ["quick", "brown", "fox"]), (2, page, None), (3, None, ["a"])], "query_id long, page array<string>, passage array<string>")
+    assert {tuple(r) for r in notes.aligned_spans(rows).collect()} == {(1, 4, 7, 3), (2, None, None, None), (3, None, None, None)}
+
+
+def test_kinds_and_topics(spark):
+    rows = [(1, "a.pdf", "x\nNGHỊ QUYẾT \ny", None, None), (2, "01-QD-BGDDT.pdf", "", None, None), (3, "a.pdf", "(Ban hành kèm theo Quyết định của Bộ)", None, None), (4, "a.pdf", "trích V/v nghỉ hè", None, None), (5, "a.pdf", "", None, "3/2020/TT-X"), (6, None, None, None, None)]
+    got = {r.doc_id: r.kind for r in notes.document_kind(spark.createDataFrame(rows, "doc_id long, name string, text string, kind string, number string")).collect()}
+    assert got == {1: "Nghị quyết", 2: "Quyết định", 3: "Quyết định", 4: "Công văn", 5: "Thông tư", 6: None}
+    split = lambda q: tuple(one(spark, q, lambda v: notes.topic_and_scope(F.col(v))))
+    assert split("Năng lực chung trong Chương trình tổng thể gồm những gì?") == ("Chương trình tổng thể", "")
+    assert split("Các quy định hiện hành về hồ sơ là gì") == ("Các quy định hiện hành về hồ sơ", "") and split("Học sinh giỏi cần gì về điểm số?") == (None, "điểm số") and split(None) == (None, "")
+
+
+def test_the_register_keeps_runs_apart(spark, tmp_path):
+    kind = "run_id string, question_set string, split string, mode string, grp string, sample int, complete boolean, at long, v int"
+    runs = [("r1", "s", "dev", "m", "g", None, True, 1, 1), ("r2", "s", "dev", "m", "g", None, True, 2, 2), ("r3", "s", "dev", "m", "g", None, False, 3, 3), ("r4", "s", "test", "m", "g", 5, True, 1, 4)]
+    for r in runs:
+        notes.record_run(spark.createDataFrame([r], kind), str(tmp_path / "runs"))
+    assert {r.run_id for r in notes.latest_runs(spark.read.parquet(str(tmp_path / "runs"))).collect()} == {"r2", "r4"}
+
+
+def test_the_gate_is_chosen_with_a_margin(spark):
+    rows = spark.createDataFrame([(True, 0.05, 1.4), (True, 0.3, 1.25), (False, 0.3, 0.9), (False, 0.5, 1.0)], "off_topic boolean, coverage double, dist double")
+    r = notes.gate_choice(rows).first()
+    assert (r.least, r.most, r.caught, r.total, r.margin) == (0.04, 1.1, 2, 2, 0.1)
+    assert notes.gate_choice(rows.withColumn("off_topic", F.lit(False)), distances=(0.8,)).count() == 0
