@@ -87,13 +87,21 @@ def _text(c) -> Column:
 
 
 def raw_tokens(text) -> Column:
-    return F.regexp_extract_all(F.lower(composed(text)), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"), F.lit(0))
+    return _runs(composed(text))
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*"), F.lit(0))
 
 
 def tokens(text) -> Column:
     """Lower-case runs of letters and digits of two characters or more that are no stop words."""
+    return _meaningful(raw_tokens(text))
+
+
+def _meaningful(words: Column) -> Column:
     stop = F.lit(STOP_WORDS)
-    return F.filter(raw_tokens(text), lambda w: (F.char_length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.char_length(w) > 1) & ~F.array_contains(stop, w))
 
 
 def fold_accents(text) -> Column:
@@ -113,7 +121,8 @@ def tokens_expanded(text) -> Column:
     def with_folds(t: Column) -> Column:
         return F.concat(t, F.array_except(F.transform(t, lambda w: F.translate(w, FOLD_FROM, FOLD_TO)), t))
 
-    return F.transform(F.array(tokens(split_camel_num(text))), with_folds)[0]
+    # composed first: what stands inside composed() is looked at twice
+    return F.transform(F.array(_meaningful(_runs(split_camel_num(composed(text))))), with_folds)[0]
 
 
 def _with_words(tokens: Column, asked: Column, words: list[str]) -> Column:

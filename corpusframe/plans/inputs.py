@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A shared table. Texts that come in fewer splits than there are cores (a single small file) are spread, as work on them is dear; what has
+    splits enough stays where it is."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
