@@ -67,7 +67,7 @@ def _profiles(s, d):
 
 def _mentions(s, d):
     rel = F.when(F.col("l_returnflag") == "A", "replace").when(F.col("l_returnflag") == "R", "repeal").otherwise("amend")
-    x = table(s, d, "lineitem").select(F.concat(F.lit("n"), F.col("l_suppkey")).alias("src"), rel.alias("rel"), F.concat(F.lit("n"), (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 1000).alias("dst"), (F.col("l_linestatus") == "O").alias("partial"))
+    x = table(s, d, "lineitem").select(F.concat(F.lit("n"), F.col("l_suppkey")).alias("src"), rel.alias("rel"), F.concat(F.lit("n"), (F.col("l_partkey") * 7 + F.col("l_orderkey") * 13) % 30011).alias("dst"), (F.col("l_quantity") > 25).alias("partial"))
     return x.groupBy("src", "rel", "dst").agg(F.bool_and("partial").alias("partial"))
 
 
@@ -162,7 +162,7 @@ QUERIES = {
     "W6_daily": lambda s, d: W.daily_counts(_hits(s, d).withColumnRenamed("key", "kind")),
 }
 _ELEMENTS = f"{PARAGRAPHS}, elements AS (SELECT doc_id, seq AS elem_no, text, CAST(seq // 3 + 1 AS INT) AS page FROM paragraphs)"
-_MENTIONS = """mentions AS (SELECT src, rel, dst, bool_and(p) AS partial FROM (SELECT 'n' || l_suppkey AS src, CASE l_returnflag WHEN 'A' THEN 'replace' WHEN 'R' THEN 'repeal' ELSE 'amend' END AS rel, 'n' || ((l_partkey * 7 + l_orderkey) % 1000) AS dst, l_linestatus = 'O' AS p FROM lineitem) GROUP BY ALL),
+_MENTIONS = """mentions AS (SELECT src, rel, dst, bool_and(p) AS partial FROM (SELECT 'n' || l_suppkey AS src, CASE l_returnflag WHEN 'A' THEN 'replace' WHEN 'R' THEN 'repeal' ELSE 'amend' END AS rel, 'n' || ((l_partkey * 7 + l_orderkey * 13) % 30011) AS dst, l_quantity > 25 AS p FROM lineitem) GROUP BY ALL),
   curated AS (SELECT 'n' || s_suppkey AS src, 'replace' AS rel, 'n' || (s_suppkey + 1) AS dst FROM supplier WHERE s_acctbal > 9000),
   e0 AS (SELECT src, rel, dst, 'curated' AS origin, false AS partial FROM curated UNION ALL SELECT src, rel, dst, 'text', partial FROM mentions WHERE src <> dst AND NOT (src < dst AND rel = 'amend') AND (src, rel, dst) NOT IN (SELECT src, rel, dst FROM curated)),
   edges AS (SELECT * FROM e0 a WHERE NOT (partial AND rel IN ('replace', 'repeal') AND EXISTS (SELECT 1 FROM e0 b WHERE b.src = a.src AND b.dst = a.dst AND NOT b.partial AND b.rel IN ('replace', 'repeal')))),

@@ -119,6 +119,9 @@ ORACLE_SQL = {
     "G6_labels": f"""WITH {_MENTIONS}, {_STATUS}, {PARAGRAPHS}, p AS (SELECT doc_id || '#' || seq AS chunk_key, seq, status, toxic FROM paragraphs LEFT JOIN status ON node = 'n' || (doc_id % 120) LEFT JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 1) l USING (doc_id)),
       l AS (SELECT chunk_key, CASE WHEN seq = 7 THEN 'draft' WHEN status IS NULL THEN NULL WHEN status IN ('expired', 'expiring', 'not_yet') THEN status WHEN seq = 0 AND toxic = 1 THEN 'passage_amended' ELSE status END AS label FROM p)
       SELECT chunk_key, label, CASE WHEN label IN ('draft', 'expired') THEN 'high' WHEN label IN ('expiring', 'not_yet', 'passage_amended', 'partly') THEN 'mid' WHEN label IS NOT NULL THEN 'low' END AS level FROM l""",
+    "G8_companions": f"""WITH {_MENTIONS}, {_STATUS}, {PARAGRAPHS}, o AS (SELECT src AS node, dst AS other, CASE rel WHEN 'amend' THEN 2 ELSE 0 END AS p FROM edges UNION ALL SELECT dst, src, CASE rel WHEN 'amend' THEN 3 ELSE 1 END FROM edges),
+      b AS (SELECT node, other, min(p) AS p FROM o GROUP BY ALL), k AS (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY p, other) AS place FROM b), f AS (SELECT DISTINCT 'n' || (doc_id % 120) AS other, doc_id FROM paragraphs)
+      SELECT DISTINCT k.node, doc_id FROM k JOIN f USING (other) JOIN status ON status.node = k.other WHERE place <= 50 AND status <> 'expired'""",
     "G9_asked": """WITH n AS (SELECT DISTINCT (doc_id % 900 + 1) || '/' || (2014 + doc_id % 3) || '/NĐ-CP' AS node FROM documents), k AS (SELECT regexp_extract(node, '^(\\d+/\\d+)/', 1) AS p, min(node) AS node FROM n GROUP BY 1 HAVING count(*) = 1)
       SELECT item_id AS query_id, node FROM benchmark JOIN n ON node = (item_id % 900 + 1) || '/2015/NĐ-CP' UNION SELECT item_id, node FROM benchmark JOIN k ON p = (item_id % 300 + 1) || '/2016'""",
     "R9_sub_queries": "WITH b AS (SELECT item_id AS query_id, unnest([0, 1]) AS part FROM benchmark) SELECT query_id, CAST(part AS INT) AS part, CASE part WHEN 0 THEN 'Điều ' || (query_id % 9 + 1) ELSE 'điều 12' END || ' nói gì' AS text FROM b",
