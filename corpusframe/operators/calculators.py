@@ -37,10 +37,29 @@ def teaching_load(staff: DataFrame, duties: DataFrame, weeks: int = 35, weekly:
 
 
 def general_load(staff: DataFrame, rates: DataFrame, duties: DataFrame) -> DataFrame:
-    """Id, base (by school type and level; NULL where there is none), reduction, due, many (more than two duties)."""
+    """Id, base (by school type and level; a head has 2 and a deputy 4, without reductions), reduction, due, many (more than two duties). Base
+    and due are NULL where no rate is known."""
     d = duties.groupBy("id").agg(F.sum("lessons").alias("reduction"), F.count("*").alias("n"))
     j = staff.join(F.broadcast(rates), ["kind", "level"], "left").join(d, "id", "left").fillna({"reduction": 0.0, "n": 0})
-    return j.select("id", F.col("lessons_base").alias("base"), "reduction", F.greatest(F.col("lessons_base") - F.col("reduction"), F.lit(0.0)).alias("due"), (F.col("n") > 2).alias("many"))
+    heads = F.when(F.col("role") == "head", 2.0).when(F.col("role") == "deputy", 4.0)
+    j = j.withColumns({"base": F.coalesce(heads, "lessons_base"), "reduction": F.when(heads.isNull(), F.col("reduction")).otherwise(0.0)})
+    return j.select("id", "base", "reduction", F.when(F.col("base").isNotNull(), F.greatest(F.col("base") - F.col("reduction"), F.lit(0.0))).alias("due"), (F.col("n") > 2).alias("many"))
+
+
+def duty_lessons(duties: DataFrame, schools: DataFrame, rates: DataFrame) -> DataFrame:
+    """Id, duty, lessons: what a duty takes off a week. duties(id, duty, rooms, level) with schools(id, classes, region) and rates(duty, lessons):
+    a subject room counts three lessons each, infant care four in primary schools and three elsewhere, a party secretary four in a large school
+    and three in others; a school is large from 19 classes in region 1, from 28 elsewhere. NULL where the rule lacks its facts or has no rate."""
+    large = F.col("classes") >= F.when(F.col("region") == 1, 19).when(F.col("region").isNotNull(), 28)
+    j = duties.join(schools.select("id", "classes", "region"), "id", "left").join(F.broadcast(rates.select("duty", F.col("lessons").alias("__rate"))), "duty", "left")
+    lessons = F.when(F.col("duty") == "subject_room", 3 * F.col("rooms")).when(F.col("duty") == "infant_care", F.when(F.col("level") == "primary", 4).otherwise(3)).when(F.col("duty") == "party_secretary", F.when(large, 4).when(~large, 3)).otherwise(F.col("__rate"))
+    return j.select("id", "duty", lessons.cast("double").alias("lessons"))
+
+
+def awards(results: DataFrame, conduct: DataFrame) -> DataFrame:
+    """Student, award: good for who is at the top in studies and conduct(student, level), excellent with six subjects of nine or more."""
+    j = results.join(conduct.select("student", F.col("level").alias("__c")), "student").where("level = 4 and __c = 4")
+    return j.select("student", F.when(F.col("excellent"), "excellent").otherwise("good").alias("award"))
 
 
 def half_up(x: Column, places: int = 1) -> Column:

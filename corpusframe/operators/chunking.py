@@ -87,6 +87,13 @@ def split_long(chunks: DataFrame, keys: list[str], most: int = MAX_CHARS, overla
     return chunks.select(*keys, "text").mapInPandas(run, schema)
 
 
+def element_chunks(elements: DataFrame, keys: list[str], label: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """Keys, label, format, part, parts, offset, text: slides, sheets and cues never merge; one above the limit is cut, and its parts are
+    numbered in the label."""
+    cut = split_long(elements.select(*keys, label, "text"), [*keys, label], most, overlap)
+    return cut.withColumns({label: F.when(F.col("parts") > 1, F.format_string("%s (phần %d/%d)", label, "part", "parts")).otherwise(F.col(label)), "format": F.lit("theo_phan_tu")})
+
+
 def spread_sample(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """All rows of a group of at most n, else those at places int(i * total / n)."""
     w = W.partitionBy(by)

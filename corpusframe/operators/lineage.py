@@ -191,6 +191,22 @@ def key_phrases(answers: DataFrame, key: str, text: str, n: int = 3, words: int
     return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select(key, "place", "m.kind", "m.phrase")
 
 
+#: What is asked of attached files.
+ATTACHED = {"about": "Nói rõ hơn về %s", "summary": "Tóm tắt tệp %s", "compare": "So sánh nội dung giữa các tệp đã đính kèm", "parts": "Tệp %s gồm những phần nào?", "meaning": "Ý nghĩa hoặc thông điệp chính của nội dung trong tệp là gì?"}
+
+
+def attachment_followups(answers: DataFrame, files: DataFrame, key: str = "conv_id", n: int = 4) -> DataFrame:
+    """Q11: key, place, text: what to ask next of files(key, place, name) that an answer (key, text) rests on: its two best phrases, a summary of the first
+    two files, a comparison where there are more than one, their parts, the meaning; the first n, each text once."""
+    told = lambda kind, c: F.format_string(ATTACHED[kind], c)
+    near = files.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy("place", "name"))).where("nth <= 2")
+    phrases = key_phrases(answers, key, "text", 2).select(key, told("about", F.col("phrase")).alias("text"), F.col("place").alias("pos"))
+    per_file = lambda kind: near.select(key, told(kind, F.col("name")).alias("text"), F.col("nth").alias("pos"))
+    many = near.where("nth = 2").select(key, F.lit(ATTACHED["compare"]).alias("text"), F.lit(1).alias("pos"))
+    any_ = answers.select(key, F.lit(ATTACHED["meaning"]).alias("text"), F.lit(1).alias("pos"))
+    return assembled([phrases, per_file("summary"), many, per_file("parts"), any_], key, n)
+
+
 def assembled(parts: Sequence[DataFrame], key: str, n: int) -> DataFrame:
     """Q9-Q11: suggestions(key, text) of several tables in the order of the tables; the first n of each key, each text once."""
     union = None

@@ -105,6 +105,18 @@ def round_robin(rows: DataFrame, leaf: str, order: str, text: str, most: int = 1
     return rows.withColumn("place", F.row_number().over(W.partitionBy("round").orderBy(leaf)))
 
 
+def role_first(suggestions: DataFrame, roles: list[str], n: int) -> DataFrame:
+    """Q9: role, place, text: of suggestions(grp, pos, text) those of the role's own group first, then one of each other group in turn, each text once.
+    Before the k-th text of a group stand k - 1 others, so its first n are enough."""
+    first = suggestions.where("text is not null").groupBy("grp", "text").agg(F.min("pos").alias("pos"))
+    first = first.withColumn("nth", F.row_number().over(W.partitionBy("grp").orderBy("pos", "text"))).where(F.col("nth") <= n)
+    asked = F.explode(F.array(*[F.lit(r) for r in roles])).alias("role")
+    each = first.select(asked, "grp", "text", "nth").withColumn("own", F.col("grp") == F.col("role"))
+    once = each.groupBy("role", "text").agg(F.min(F.struct(~F.col("own"), "nth", "grp")).alias("o"))
+    place = F.row_number().over(W.partitionBy("role").orderBy("o", "text"))
+    return once.withColumn("place", place).where(F.col("place") <= n).select("role", "place", "text")
+
+
 def fuzzy_unique(groups: DataFrame, key: str, texts: str) -> DataFrame:
     """Q3: of each ordered list the texts that neither equal, contain nor lie in an earlier kept one, by letters and digits only."""
     norm = lambda t: F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
+_OWN_FOLDER: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; where it is unset, as in tests, in a temporary one, but not on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="corpusframe-"))
+        shared = _OWN_FOLDER[0]
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, seq, text: the lines of every document that are not blank."""
     d = table(spark, sf_dir, "documents")

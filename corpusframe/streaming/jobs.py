@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -45,6 +46,22 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.groupBy(F.window("at", "1 day").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "kind", "n")
 
 
+def expiring(uses: DataFrame, ttl: str = "30 days", late: str = "1 day") -> DataFrame:
+    """Key, begin, expires, uses: the lives of entries used at (key, at): each use renews an entry, and it is gone once more than a ttl has passed since the last one. A stream
+    gives a life once the watermark has passed its end; its state is one row an open entry."""
+    if uses.isStreaming:
+        uses = uses.withWatermark("at", late)
+    lives = uses.groupBy("key", F.session_window("at", ttl).alias("w")).agg(F.count("*").alias("uses"))
+    return lives.select("key", F.col("w.start").alias("begin"), F.col("w.end").alias("expires"), "uses")
+
+
+def periodic(source: DataFrame, job: Callable[[DataFrame, int], None], checkpoint: str, minutes: int = 15) -> StreamingQuery:
+    """job(rows, batch number) on what is new in a stream, every so many minutes; with 0, once on all there is. A batch that was cut
+    short comes again under its number, so a job that writes below that number does its work once."""
+    trigger = {"processingTime": f"{minutes} minutes"} if minutes > 0 else {"availableNow": True}
+    return source.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def rolling_counts(events: DataFrame, seconds: int = 60) -> DataFrame:
     """W4, batch twin: per event how many of its key came in the seconds up to it."""
     w = W.partitionBy("key").orderBy(F.col("at").cast("timestamp").cast("double")).rangeBetween(-seconds, 0)

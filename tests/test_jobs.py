@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import text as T
 from corpusframe.operators import calculators, catalog, chunking, evaluation, graph, lineage, metadata, notes, retrieval, text_jobs, usage
 from corpusframe.operators.order import row_numbers
-from corpusframe.sources import readers
+from corpusframe.sources import readers, tables
 from corpusframe.streaming import jobs
 
 
@@ -325,3 +325,86 @@ def test_the_gate_is_chosen_with_a_margin(spark):
     r = notes.gate_choice(rows).first()
     assert (r.least, r.most, r.caught, r.total, r.margin) == (0.04, 1.1, 2, 2, 0.1)
     assert notes.gate_choice(rows.withColumn("off_topic", F.lit(False)), distances=(0.8,)).count() == 0
+
+
+def test_parts_of_elements_are_numbered(spark):
+    long = " ".join(f"word{i}." for i in range(400))
+    rows = spark.createDataFrame([(1, "slide 1", long), (2, "slide 2", "short"), (3, "slide 3", None)], "doc_id long, label string, text string")
+    got = sorted(chunking.element_chunks(rows, ["doc_id"], "label").collect())
+    own = [r for r in got if r.doc_id == 1]
+    assert [r.label for r in own] == [f"slide 1 (phần {i + 1}/{len(own)})" for i in range(len(own))] and len(own) > 1 and {r.format for r in got} == {"theo_phan_tu"}
+    assert all(r.text == long[r.offset : r.offset + len(r.text)] and len(r.text) <= 1200 for r in own)
+    covered = set().union(*(range(r.offset, r.offset + len(r.text)) for r in own))
+    assert covered >= {i for i, c in enumerate(long) if not c.isspace()}
+    assert [(r.label, r.text) for r in got if r.doc_id > 1] == [("slide 2", "short")]
+
+
+def test_variants_of_evasion_match_a_plain_version(spark):
+    joined = lambda t: re.sub(r"(?<![^\s])([^\W\d_]) (?=[^\W\d_](\s|$))", r"\1", t)
+    for text, base in (("d i t  me!", "d i t me"), ("heeello", "heeello"), ("a​b", "ab"), ("SH!T", "shit"), ("", "")):
+        got = one(spark, text, T.evasion_variants)
+        j = joined(base)
+        assert got == [base, j, re.sub(r"(\w)\1{2,}", r"\1\1", j), re.sub(r"(\w)\1+", r"\1", j)], text
+
+
+def test_records_from_outside(spark):
+    docs = spark.createDataFrame([(1, "a.pdf", "Sốf92 năm"), (2, "b.signed.pdf", "số 2026"), (3, "c.pdf", None), (4, "d.pdf", "2025 1969")], "doc_id long, name string, text string")
+    said = spark.createDataFrame(
+        [(1, "92 / QĐ-TTg", "2025-09-15", True), (2, "26/2020/TT-BGDĐT", "2025-09-45", True), (3, "5/2020/TT-BGDĐT", None, None), (4, "2025/2025/TT-BGDĐT", " 2024-02-29 ", False), (9, "1/2020/TT-X", None, None)],
+        "doc_id long, number string, issued string, is_draft boolean",
+    )
+    got = {r.doc_id: (r.number, r.issued, r.is_draft) for r in metadata.valid_records(said, docs).collect()}
+    assert got == {1: ("92/QĐ-TTg", "2025-09-15", True), 2: ("26/2020/TT-BGDĐT", None, False), 3: (None, None, False), 4: (None, "2024-02-29", False)}
+    heads = spark.createDataFrame([(1, "CỘNG HÒA XÃ HỘI"), (2, "Căn cứ Luật"), (3, "CQNG HOA XA HOI"), (4, "giáo án"), (5, "căn cứ")], "doc_id long, text string")
+    own = spark.createDataFrame([(1, "1/2020/TT-X", False), (2, "2/2020/TT-X", True)], "doc_id long, number string, guessed boolean")
+    assert sorted(r.doc_id for r in metadata.records_wanted(heads, own).collect()) == [2, 3, 5]
+
+
+def test_followups_of_attachments_and_role_first(spark):
+    answers = spark.createDataFrame([(1, "**first point** and **second one** and **third one**"), (2, "plain"), (3, None)], "conv_id long, text string")
+    files = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "c"), (2, 1, "z")], "conv_id long, place int, name string")
+    got = {}
+    for r in sorted(lineage.attachment_followups(answers, files, n=9).collect()):
+        got.setdefault(r.conv_id, []).append(r.text)
+    say = lineage.ATTACHED
+    assert got[1] == [say["about"] % "first point", say["about"] % "second one", say["summary"] % "a", say["summary"] % "b", say["compare"], say["parts"] % "a", say["parts"] % "b", say["meaning"]]
+    assert got[2] == [say["summary"] % "z", say["parts"] % "z", say["meaning"]] and got[3] == [say["meaning"]]
+    rows = spark.createDataFrame([("x", 1, "p"), ("x", 2, "q"), ("y", 1, "q"), ("y", 2, "r"), ("z", 1, "s"), ("z", 2, None)], "grp string, pos int, text string")
+    told = sorted(usage.role_first(rows, ["y", "none"], 3).collect())
+    assert [(r.role, r.text) for r in told] == [("none", "p"), ("none", "q"), ("none", "s"), ("y", "q"), ("y", "r"), ("y", "p")]
+
+
+def test_teaching_load_and_awards(spark):
+    schools = spark.createDataFrame([(1, 19, 1), (2, 27, 2), (3, None, 1)], "id long, classes int, region int")
+    duties = spark.createDataFrame([(1, "party_secretary", None, "lower"), (2, "party_secretary", None, "lower"), (3, "party_secretary", None, "lower"), (2, "subject_room", 2, "lower"), (2, "infant_care", None, "primary"), (3, "odd", None, None)], "id long, duty string, rooms int, level string")
+    got = calculators.duty_lessons(duties, schools, spark.createDataFrame([("form", 4.0)], "duty string, lessons double"))
+    assert sorted((r.id, r.duty, r.lessons) for r in got.collect() if r.lessons is not None) == [(1, "party_secretary", 4.0), (2, "infant_care", 4.0), (2, "party_secretary", 3.0), (2, "subject_room", 6.0)] and got.count() == 6
+    staff = spark.createDataFrame([(1, "g", "p", "head"), (2, "g", "p", "teacher"), (3, "g", "none", "teacher"), (4, "g", "p", None)], "id long, kind string, level string, role string")
+    load = calculators.general_load(staff, spark.createDataFrame([("g", "p", 10.0)], "kind string, level string, lessons_base double"), got)
+    assert sorted(tuple(r) for r in load.collect()) == [(1, 2.0, 0.0, 2.0, False), (2, 10.0, 13.0, 0.0, True), (3, None, 0.0, None, False), (4, 10.0, 0.0, 10.0, False)]
+    results = spark.createDataFrame([(1, 4, True), (2, 4, False), (3, 3, True), (4, 4, True)], "student long, level int, excellent boolean")
+    conduct = spark.createDataFrame([(1, 4), (2, 4), (3, 4), (4, 3)], "student long, level int")
+    assert sorted(tuple(r) for r in calculators.awards(results, conduct).collect()) == [(1, "excellent"), (2, "good")]
+
+
+def test_schedule_expiry_typed_tables_and_counts(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(k, day + dt.timedelta(hours=h)) for k, h in (("a", 0), ("a", 5), ("a", 11), ("b", 0), ("a", 40))]
+    uses = spark.createDataFrame(rows, "key string, at timestamp")
+    want = [("a", day, day + dt.timedelta(hours=17), 3), ("a", day + dt.timedelta(hours=40), day + dt.timedelta(hours=46), 1), ("b", day, day + dt.timedelta(hours=6), 1)]
+    assert sorted(tuple(r) for r in jobs.expiring(uses, "6 hours").collect()) == want
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    uses.coalesce(1).write.parquet(source)
+    write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}")
+    for _ in range(2):  # the second run finds nothing new
+        stream = jobs.expiring(spark.readStream.schema(uses.schema).parquet(source), "6 hours", "1 hour")
+        jobs.periodic(stream, write, str(tmp_path / "marks"), 0).awaitTermination()
+    ended = sorted((r.key, r.begin, r.expires, r.uses) for r in spark.read.parquet(out).collect())
+    assert ended == [w for w in want if w[2] <= day + dt.timedelta(hours=39)]
+    path = str(tmp_path / "uploads")
+    tables.append(spark.createDataFrame([("7", "n", 1), ("x", None, 2)], "id string, name string, extra int"), "uploads", path)
+    back = tables.load(spark, "uploads", path)
+    assert back.columns[:3] == ["id", "name", "stored_name"] and sorted((r.id is None, r.id, r.name) for r in back.collect()) == [(False, 7, "n"), (True, None, None)]
+    seen, mark = tables.observed(uses, "uses", keys=F.max("key"))
+    seen.write.format("noop").mode("overwrite").save()
+    assert mark.get == {"n": 5, "keys": "b"}
