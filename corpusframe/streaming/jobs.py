@@ -21,11 +21,15 @@ def hot_folder(spark: SparkSession, folder: str, extensions: str = "*.txt", sett
 
 
 def activity_batches(events: DataFrame, gap: str = "90 seconds", late: str = "1 day") -> DataFrame:
-    """Windows of activity, each closed by a gap: begin, end, n. A stream (append) merges its open windows by state; over a table,
+    """Windows of activity, each closed by a gap: begin, end, n. A stream (append) merges its open windows by state,
+    and merges inside tasks first where spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition is set; over a table,
     breaks are found inside hours, and between them from each hour's first and last event, so no task sees all events."""
     if events.isStreaming:
         events = events.withWatermark("at", late)
-        return events.groupBy(F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
+        # a session takes in what comes at its very end, where a gap has passed already
+        w = F.session_window("at", f"{gap} -1 microseconds").alias("w")
+        all_ = F.substring(F.col("at").cast("string"), 1, 0).alias("all")  # sessions of a stream need a key; this one is always empty
+        return events.groupBy(all_, w).agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), (F.col("w.end") + F.expr("INTERVAL 1 microsecond")).alias("end"), "n")
     wide = F.expr(f"INTERVAL {gap}")
     rows = events.where("at is not null").select("at", F.date_trunc("hour", "at").alias("hour"))
     hours = rows.groupBy("hour").agg(F.min("at").alias("first"), F.max("at").alias("last"))  # a row per hour

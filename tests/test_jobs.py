@@ -408,3 +408,14 @@ def test_schedule_expiry_typed_tables_and_counts(spark, tmp_path):
     seen, mark = tables.observed(uses, "uses", keys=F.max("key"))
     seen.write.format("noop").mode("overwrite").save()
     assert mark.get == {"n": 5, "keys": "b"}
+
+
+def test_activity_of_a_table_ends_where_that_of_a_stream_does(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    at = spark.createDataFrame([(day + dt.timedelta(minutes=m),) for m in (0, 10, 20, 31, 59, 61, 69, 400)], "at timestamp")
+    got = sorted(tuple(r) for r in jobs.activity_batches(at, "10 minutes").collect())
+    assert [(r[0].minute + 60 * (r[0].hour), r[2]) for r in got] == [(0, 1), (10, 1), (20, 1), (31, 1), (59, 3), (400, 1)]
+    at.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.activity_batches(spark.readStream.schema(at.schema).parquet(str(tmp_path / "in")), "10 minutes", "1 minute")
+    jobs.periodic(stream, lambda b, k: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={k}"), str(tmp_path / "marks"), 0).awaitTermination()
+    assert sorted((r.begin, r.end, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == got[:-1]
