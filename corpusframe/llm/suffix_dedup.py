@@ -5,10 +5,10 @@ its GRAM bytes hash lowest among those of some string of REACH bytes around it,
 sampled suffix at the same distance from their start: two strings can be equal only where their suffixes meet in the arrays.
 
 Inside a task every slice of texts gets such an array; arrays of equal size are merged, and what a merge meets twice is
-reported and kept once, at its first place. The arrays of all tasks, and the stored levels of earlier batches, are dealt by
-fingerprint, sorted and merge-scanned: a suffix with the very same surroundings as an earlier one is repeated with all the
-strings that it stands for; where surroundings agree in part, its strings are looked up one by one, by a hash each. A batch's
-array becomes a level, and two levels of equal size become one (IndexFamily).
+reported and kept once, at its first place. The arrays of all tasks, and the stored levels of earlier batches, are cut at the
+same fingerprints, dealt out packed and merge-scanned: a suffix with the very same surroundings as an earlier one is repeated
+with all the strings that it stands for; of those whose surroundings agree in part the bytes are fetched, and their strings
+compared one by one. A batch's array becomes a level, and two levels of equal size become one (IndexFamily).
 """
 
 from __future__ import annotations
@@ -35,11 +35,17 @@ PART = -(-SPAN // PARTS)
 HELD = 1 << 20
 #: One document in so many is looked through for fingerprints that many suffixes share; they are dealt out further. Only the dealing depends on it.
 LOOK, OFTEN, MOST_OFTEN = 64, 16, 10_000
+#: Suffixes of one piece of the dealt arrays, about; the pieces of a batch are as many as its sampled size asks for.
+PIECE = 1 << 18
 _SENT = 100_000
 _PLACE_BITS = 21
 NO_ID = -(1 << 63)
-SUFFIXES = "kind int, k long, g long, c long, id long, th long, at long, core int"
+#: kind 0: a piece k of an array; 1: bytes that stand earlier; both packed.
+PACKED = "kind int, k long, packed binary"
+#: kind 0: suffixes (a: place, b: fingerprint) whose strings are to be compared; 1: bytes a to b that stand earlier; 2: a piece of the batch's array.
+FOUND = "kind int, id long, th long, a long, b long, k long, packed binary"
 _FIELDS = ("g", "c", "id", "th", "at", "core")
+_TYPES = {"core": np.int32}
 
 with np.errstate(over="ignore"):
     _BYTE = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15))
@@ -148,24 +154,51 @@ def _covered(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"id": id_[at], "th": th[at], "begin": begin[at], "end": (reach - shift)[np.append(at[1:], len(id_)) - 1]}
 
 
-def _record(kind: int, k: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    n = len(k)
-    for i in range(0, n, _SENT):
-        own = [x[i : i + _SENT] for x in (np.full(n, kind, np.int32), k, *(rows[f] for f in _FIELDS))]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], ["kind", "k", *_FIELDS])
+def _packed(rows: dict[str, np.ndarray], data: bytes = b"") -> bytes:
+    """Columns of whole numbers as planes of bytes, compressed, with other bytes behind them."""
+    planes = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in rows.values())
+    body = planes + data
+    return len(body).to_bytes(8, "little") + len(next(iter(rows.values()))).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
-def _repeats(spans: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Covered bytes as rows of SUFFIXES: begin and end in g and c."""
-    zero = np.zeros(len(spans["id"]), np.int64)
-    return {"g": spans["begin"], "c": spans["end"], "id": spans["id"], "th": spans["th"], "at": zero, "core": zero.astype(np.int32)}
+def _unpacked(packed: bytes, fields: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    size, n = int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:16], "little")
+    body = np.frombuffer(pa.decompress(packed[16:], size, "zstd", asbytes=True), np.uint8)
+    rows, at = {}, 0
+    for f in fields:
+        kind = np.dtype(_TYPES.get(f, np.int64))
+        rows[f] = np.ascontiguousarray(body[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel()
+        at += n * kind.itemsize
+    return rows, body[at:]
+
+
+def _record(kind: int, k: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(k), pa.int32()), pa.array(k, pa.int64()), pa.array(packed, pa.binary())], ["kind", "k", "packed"])
+
+
+def piece_of(key: np.ndarray, pieces: int) -> np.ndarray:
+    """Which of so many equal ranges of fingerprints a key is in."""
+    return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(k: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """rows in pieces, in the order of their first column within each."""
+    order = np.lexsort([next(iter(rows.values())), k])
+    k, rows = k[order], {f: x[order] for f, x in rows.items()}
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, int)
+    for i in range(0, len(begin), 256):
+        bounds = np.append(begin[i : i + 257], len(k)) if i + 256 >= len(begin) else begin[i : i + 257]
+        yield _record(0, k[bounds[:-1]].tolist(), [_packed({f: x[a:b] for f, x in rows.items()}) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+
+
+_SPAN_FIELDS = ("id", "th", "begin", "end")
 
 
 class Levels:
     """The family inside a task: arrays of suffixes, with how many slices they come from; two of one size are merged."""
 
-    def __init__(self, often: np.ndarray):
-        self.levels, self.twice, self.often = [], [], often
+    def __init__(self, often: np.ndarray, pieces: int):
+        self.levels, self.twice, self.often, self.pieces = [], [], often, pieces
 
     def _merged(self, parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
         rows, first, away = first_of_each({k: np.concatenate([p[k] for p in parts]) for k in _FIELDS}, "c")
@@ -184,22 +217,24 @@ class Levels:
     def sent(self) -> Iterator[pa.RecordBatch]:
         if self.levels:
             rows = self._merged([x for _, x in self.levels])
-            with np.errstate(over="ignore"):
-                k = np.where(np.isin(rows["g"], self.often), rows["c"], rows["g"]) if len(self.often) else rows["g"]
-            yield from _record(0, k, rows)
+            # suffixes of a frequent fingerprint are dealt by their surroundings, as those are many
+            key = np.where(np.isin(rows["g"], self.often), rows["c"], rows["g"]) if len(self.often) else rows["g"]
+            yield from _dealt(piece_of(key, self.pieces), rows)
         if self.twice:
             spans = _covered({k: np.concatenate([p[k] for p in self.twice]) for k in _FIELDS})
-            with np.errstate(over="ignore"):
-                k = _mixed(spans["id"].view(np.uint64) + spans["begin"].astype(np.uint64)).view(np.int64)
-            yield from _record(1, k, _repeats(spans))
+            # they only ride along: each bundle of them to a piece by its first row
+            for i in range(0, len(spans["id"]), _SENT // 10):
+                own = {f: spans[f][i : i + _SENT // 10] for f in _SPAN_FIELDS}
+                key = _mixed(own["id"][:1].view(np.uint64) + own["begin"][:1].astype(np.uint64) * np.uint64(3)).view(np.int64)
+                yield _record(1, piece_of(key, self.pieces).tolist(), [_packed(own)])
         self.levels, self.twice = [], []
 
 
-def _suffixes_of(often):
-    """Arrow batches (id, th, text) -> SUFFIXES: sampled suffixes, each kind of surroundings once a task, and what the task has twice."""
+def _suffixes_of(often, pieces: int):
+    """Arrow batches (id, th, text) -> PACKED: sampled suffixes, each kind of surroundings once a task, and what the task has twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Levels(often.value)
+        family = Levels(often.value, pieces)
         for b in batches:
             id_, th = column(b, "id").to_numpy(), column(b, "th").to_numpy()
             for row, place, data, bounds in _pieces(column(b, "text")):
@@ -212,83 +247,173 @@ def _suffixes_of(often):
     return run
 
 
-def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches (id, th, text, wanted) -> SUFFIXES: every string of the suffixes wanted, with its hash for both fingerprints."""
-    family = Levels(np.empty(0, np.int64))
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (text) -> g of every sampled suffix."""
     for b in batches:
-        id_, th = column(b, "id").to_numpy(), column(b, "th").to_numpy()
-        wanted = column(b, "wanted")
-        size, flat = np.diff(wanted.offsets.to_numpy()), wanted.flatten().to_numpy()
-        first, last = (flat >> 14) - (flat >> 7 & 127), (flat >> 14) - (flat & 127)
-        many = last - first + 1
-        doc = np.repeat(np.repeat(np.arange(len(b)), size), many)
-        start = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-        order = np.lexsort([start, doc])
-        doc, start = doc[order], start[order]
-        for row, place, data, bounds in _pieces(column(b, "text")):
-            p = Prefixes(data)
-            lo, hi = np.searchsorted(doc, [row, row + len(bounds) - 1])
-            own, at = doc[lo:hi] - row, start[lo:hi] - place
-            if len(bounds) == 2:  # maybe one piece of several
-                own, at = own[inside := (at >= 0) & (at < SLICE_BYTES) & (at + REACH <= len(data))], at[inside]
-            h = p.of(bounds[own] + at, bounds[own] + at + REACH).view(np.int64)
-            for i in range(0, len(h), HELD // 4):
-                part, where = own[i : i + HELD // 4] + row, at[i : i + HELD // 4] + place << 14
-                yield from family.add({"g": h[i : i + HELD // 4], "c": h[i : i + HELD // 4], "id": id_[part], "th": th[part], "at": where, "core": np.zeros(len(part), np.int32)})
-    yield from family.sent()
+        for _, _, data, bounds in _pieces(column(b, "text")):
+            yield pa.RecordBatch.from_arrays([pa.array(sampled(data, bounds)["g"])], ["g"])
 
 
-def _scanned(often, since: int, keep: bool):
-    """SUFFIXES sorted by (kind, g, c) -> kind 0: suffixes whose strings are to be looked up; 1: bytes that stand earlier, begin and end
-    in g and c; 2, if kept: suffixes that are the first with their surroundings. Only what concerns ids from since on is reported."""
-
-    def reported(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows, first, away = first_of_each(rows, "g", "c")
-        fresh = rows["id"] >= since
-        if (again := away & fresh).any():
-            spans = _covered({k: x[again] for k, x in rows.items()})
-            yield from _record(1, spans["id"], _repeats(spans))
-        rows, fresh = {k: x[first] for k, x in rows.items()}, fresh[first]
-        if keep and fresh.any():
-            yield from _record(2, rows["g"][fresh], {k: x[fresh] for k, x in rows.items()})
-        wanted = np.isin(rows["g"], often.value) & (rows["core"] != 0) if len(often.value) else np.zeros(len(first[first]), bool)
-        for j in range(PARTS):
-            core = rows["core"].view(np.uint32) >> np.uint32(8 * j) & np.uint32(255)
-            has = np.flatnonzero(core)
-            order = has[np.lexsort([core[has], rows["g"][has]])]
-            g, x = rows["g"][order], core[order]
-            begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])) if len(g) else np.empty(0, int)
-            size = np.diff(np.append(begin, len(g)))
-            if len(begin):
-                hit = (size > 1) & (np.add.reduceat(fresh[order].astype(int), begin) > 0)
-                wanted[order[np.repeat(hit, size)]] = True
-        if wanted.any():
-            yield from _record(0, rows["g"][wanted], {k: x[wanted] for k, x in rows.items()})
+_ASKED = ("g", "id", "th", "at")
+
+
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. of so many each, one after the other."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _surroundings_of(often, pieces: int):
+    """Arrow batches (id, th, text, wanted) -> PACKED: for each suffix wanted the bytes around it that its strings cover, dealt by
+    fingerprint. Of a frequent fingerprint's suffixes the strings go by a hash each, so that no piece gets them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[str, np.ndarray]] = []
-        held = 0
+        family = Levels(np.empty(0, np.int64), pieces)
+        held, size = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = {f: np.concatenate([x[0][f] for x in held]) for f in _ASKED}
+            data = np.concatenate([x[1] for x in held])
+            many = (rows["at"] >> 7 & 127) - (rows["at"] & 127) + REACH
+            begin = np.cumsum(many) - many
+            k = piece_of(rows["g"], pieces)
+            order = np.lexsort([rows["g"], k])
+            k, bounds = k[order], np.flatnonzero(np.concatenate([[True], np.diff(k[order]) > 0, [True]]))
+            out = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = order[a:b]
+                out.append(_packed({f: x[own] for f, x in rows.items()}, data[_ranges(begin[own], many[own])].tobytes()))
+            for i in range(0, len(out), 256):
+                yield _record(2, k[bounds[:-1]].tolist()[i : i + 256], out[i : i + 256])
+
         for b in batches:
-            kind = column(b, "kind").to_numpy()
-            if (kind == 1).any():
-                yield b.filter(pa.array(kind == 1))
-            rows = {k: column(b, k).to_numpy()[kind == 0] for k in _FIELDS}
-            if not len(rows["g"]):
+            id_, th, wanted = column(b, "id").to_numpy(), column(b, "th").to_numpy(), column(b, "wanted")
+            count, flat = np.diff(wanted.offsets.to_numpy()), wanted.flatten()
+            at, g = flat.field("at").to_numpy(), flat.field("g").to_numpy()
+            doc = np.repeat(np.arange(len(b)), count)
+            first, last = (at >> 14) - (at >> 7 & 127), (at >> 14) - (at & 127)
+            for row, place, data, bounds in _pieces(column(b, "text")):
+                here = (doc >= row) & (doc < row + len(bounds) - 1)
+                if len(bounds) == 2:  # maybe one piece of several; all strings of a suffix lie in one
+                    here &= (first >= place) & (first < place + SLICE_BYTES) & (last - place + REACH <= len(data))
+                own, base = np.flatnonzero(here), bounds[doc[here] - row] - place
+                apart = np.isin(g[own], often.value) if len(often.value) else np.zeros(len(own), bool)
+                if apart.any():
+                    who, many = own[apart], (last - first + 1)[own[apart]]
+                    start = _ranges(first[who], many)
+                    h = Prefixes(data).of(start + np.repeat(base[apart], many), start + np.repeat(base[apart], many) + REACH).view(np.int64)
+                    names = np.repeat(doc[who], many)
+                    yield from family.add({"g": h, "c": h, "id": id_[names], "th": th[names], "at": start << 14, "core": np.zeros(len(h), np.int32)})
+                own, base = own[~apart], base[~apart]
+                if len(own):
+                    bytes_ = data[_ranges(first[own] + base, (last - first)[own] + REACH)]
+                    held.append(({"g": g[own], "id": id_[doc[own]], "th": th[doc[own]], "at": at[own]}, bytes_))
+                    size += len(bytes_)
+                    if size > 32 * SLICE_BYTES:
+                        yield from sent()
+                        held, size = [], 0
+        if held:
+            yield from sent()
+        yield from family.sent()
+
+    return run
+
+
+def _spans_found(spans: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    yield from _found(1, spans["id"], spans["th"], spans["begin"], spans["end"])
+
+
+def _found(kind: int, *rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows[0]), _SENT):
+        part = [pa.array(x[i : i + _SENT]) for x in rows]
+        n = len(part[0])
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), *part, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["kind", "id", "th", "a", "b", "k", "packed"])
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(k, its packed rows) of rows sorted by k."""
+    at, own = None, []
+    for b in batches:
+        for kind, k, packed in zip(column(b, "kind").to_pylist(), column(b, "k").to_pylist(), column(b, "packed"), strict=True):
+            if k != at and own:
+                yield at, own
+                own = []
+            at = k
+            own.append((kind, packed.as_py()))
+    if own:
+        yield at, own
+
+
+def _rode_along(own: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for kind, packed in own:
+        if kind == 1:
+            yield from _spans_found(_unpacked(packed, _SPAN_FIELDS)[0])
+
+
+def _scanned(often, since: int, keep: bool):
+    """PACKED sorted by k -> FOUND. Only what concerns ids from since on is reported; pieces of the batch's array if kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, own in _by_piece(batches):
+            yield from _rode_along(own)
+            parts = [_unpacked(packed, _FIELDS)[0] for kind, packed in own if kind == 0]
+            if not parts:
                 continue
-            kept.append(rows)
-            held += len(rows["g"])
-            if held > _SENT and rows["g"][0] != rows["g"][-1]:  # up to the last fingerprint, whose suffixes may go on
-                rows = {k: np.concatenate([x[k] for x in kept]) for k in _FIELDS}
-                upto = int(np.flatnonzero(rows["g"] != rows["g"][-1])[-1]) + 1
-                yield from reported({k: x[:upto] for k, x in rows.items()})
-                kept = [{k: x[upto:].copy() for k, x in rows.items()}]
-                held = len(rows["g"]) - upto
-        if kept:
-            yield from reported({k: np.concatenate([x[k] for x in kept]) for k in _FIELDS})
+            rows, first, away = first_of_each({f: np.concatenate([x[f] for x in parts]) for f in _FIELDS}, "g", "c")
+            del parts
+            fresh = rows["id"] >= since
+            if (again := away & fresh).any():
+                yield from _spans_found(_covered({f: x[again] for f, x in rows.items()}))
+            rows, fresh = {f: x[first] for f, x in rows.items()}, fresh[first]
+            if keep and fresh.any():
+                yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int64()), pa.array([_packed({f: x[fresh] for f, x in rows.items()})], pa.binary())], ["kind", "id", "th", "a", "b", "k", "packed"])
+            wanted = np.isin(rows["g"], often.value) if len(often.value) else np.zeros(len(rows["g"]), bool)
+            for j in range(PARTS):
+                core = rows["core"].view(np.uint32) >> np.uint32(8 * j) & np.uint32(255)
+                has = np.flatnonzero(core)
+                order = has[np.lexsort([core[has], rows["g"][has]])]
+                g, x = rows["g"][order], core[order]
+                begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])) if len(g) else np.empty(0, int)
+                if len(begin):
+                    size = np.diff(np.append(begin, len(g)))
+                    hit = (size > 1) & (np.add.reduceat(fresh[order].astype(int), begin) > 0)
+                    wanted[order[np.repeat(hit, size)]] = True
+            yield from _found(0, *(rows[f][wanted] for f in ("id", "th", "at", "g")))
+
+    return run
+
+
+def _compared(since: int):
+    """PACKED sorted by k -> FOUND: the strings of surroundings, and those that came by a hash each, that stand earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _by_piece(batches):
+            yield from _rode_along(own)
+            strings = [_unpacked(packed, _FIELDS)[0] for kind, packed in own if kind == 0]
+            for kind, packed in own:
+                if kind == 2:
+                    rows, data = _unpacked(packed, _ASKED)
+                    many = (rows["at"] >> 7 & 127) - (rows["at"] & 127) + 1
+                    begin = np.cumsum(many + REACH - 1) - (many + REACH - 1)
+                    start = _ranges(begin, many)
+                    h = Prefixes(data).of(start, start + REACH).view(np.int64)
+                    place = _ranges((rows["at"] >> 14) - (rows["at"] >> 7 & 127), many)
+                    strings.append({"c": h, "id": np.repeat(rows["id"], many), "th": np.repeat(rows["th"], many), "at": place << 14})
+            if strings:
+                rows, _, away = first_of_each({f: np.concatenate([x[f] for x in strings]) for f in ("c", "id", "th", "at")}, "c")
+                again = away & (rows["id"] >= since)
+                yield from _spans_found(_covered({f: x[again] for f, x in rows.items()}))
 
     return run
 
 
+def _one_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PACKED sorted by k -> one packed array for each piece."""
+    for k, own in _by_piece(batches):
+        parts = [_unpacked(packed, _FIELDS)[0] for _, packed in own]
+        rows = first_of_each({f: np.concatenate([x[f] for x in parts]) for f in _FIELDS}, "g", "c")[0]
+        yield _record(0, [k], [_packed(rows)])
+
+
 def _only(marks, wanted: bool):
     """The rows whose key is, or is not, among those of a Bloom filter; the latter surely are not."""
 
@@ -346,7 +471,7 @@ class IndexFamily:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.last = spark, [], NO_ID
+        self.spark, self.levels, self.last, self.pieces = spark, [], NO_ID, 0
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, after the end of every removed run).
@@ -369,26 +494,32 @@ class IndexFamily:
         for level in self.levels:
             known = known.unionByName(level.docs)
         read_ = rows.select("id", "th", "text")
-        looked = read_.where(F.pmod(F.xxhash64("id", "th", F.lit(1)), F.lit(LOOK)) == 0).mapInArrow(_suffixes_of(self.spark.sparkContext.broadcast(np.empty(0, np.int64))), SUFFIXES).where("kind = 0")
-        often = looked.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "g").limit(MOST_OFTEN).select("g").collect() if not self.levels else []
-        often = self.spark.sparkContext.broadcast(np.array(sorted(r["g"] for r in often), np.int64))
-        suffixes = read_.mapInArrow(_suffixes_of(often), SUFFIXES)
+        if not self.pieces:
+            looked = read_.where(F.pmod(F.xxhash64("id", "th", F.lit(1)), F.lit(LOOK)) == 0).select("text").mapInArrow(_fingerprints, "g long").groupBy("g").agg(F.count("*").alias("n"))
+            looked = stored(looked)
+            often = looked.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "g").limit(MOST_OFTEN).select("g").collect()
+            self.often = self.spark.sparkContext.broadcast(np.array(sorted(r["g"] for r in often), np.int64))
+            self.pieces = max(self.tasks, (looked.agg(F.sum("n")).first()[0] or 0) * LOOK // PIECE)
+        suffixes = read_.mapInArrow(_suffixes_of(self.often, self.pieces), PACKED)
         for level in self.levels:
             suffixes = suffixes.unionByName(level.suffixes)
-        found = self._scan(suffixes, often, since, keep)
-        wanted = found.where("kind = 0").groupBy("id", "th").agg(F.collect_list("at").alias("wanted"))
+        found = self._dealt(suffixes, _scanned(self.often, since, keep), FOUND)
+        wanted = found.where("kind = 0").groupBy("id", "th").agg(F.collect_list(F.struct(F.col("a").alias("at"), F.col("b").alias("g"))).alias("wanted"))
         asked = self._with_texts(known, wanted).select("id", "th", "text", "wanted")
-        none = self.spark.sparkContext.broadcast(np.empty(0, np.int64))
-        more = self._scan(asked.mapInArrow(_strings_of, SUFFIXES), none, since, False)
-        spans = found.where("kind = 1").unionByName(more.where("kind = 1")).groupBy("id", "th").agg(F.collect_list(F.struct(F.col("g").cast("int").alias("begin"), F.col("c").cast("int").alias("end"))).alias("spans"))
+        more = self._dealt(asked.mapInArrow(_surroundings_of(self.often, 4 * self.pieces), PACKED), _compared(since), FOUND)
+        spans = found.where("kind = 1").unionByName(more.where("kind = 1")).groupBy("id", "th").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("begin"), F.col("b").cast("int").alias("end"))).alias("spans"))
         out = self._told(rows, stored(spans), docs)
         if keep:
-            self._grown(Level(1, found.where("kind = 2").withColumn("kind", F.lit(0)), rows), ids["high"])
+            self._grown(Level(1, found.where("kind = 2").select(F.lit(0).alias("kind"), "k", "packed"), rows), ids["high"])
         return out
 
-    def _scan(self, suffixes: DataFrame, often, since: int, keep: bool) -> DataFrame:
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return stored(suffixes.repartition(tasks, "k").sortWithinPartitions("kind", "g", "c").mapInArrow(_scanned(often, since, keep), SUFFIXES))
+    @property
+    def tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _dealt(self, packed: DataFrame, then, schema: str) -> DataFrame:
+        """Pieces of arrays brought together by their number and worked on one after the other."""
+        return stored(packed.repartition(self.tasks, "k").sortWithinPartitions("k").mapInArrow(then, schema))
 
     def _with_texts(self, rows: DataFrame, of: DataFrame) -> DataFrame:
         """rows joined to what is known of(id, th): only texts that a Bloom filter of bounded size lets pass move, all where it would be too large."""
@@ -418,11 +549,10 @@ class IndexFamily:
             return
         self.last = max(self.last, last)
         self.levels.append(level)
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         while len(self.levels) > 1 and self.levels[-1].batches == self.levels[-2].batches:
             b, a = self.levels.pop(), self.levels.pop()
-            both = a.suffixes.unionByName(b.suffixes).repartition(tasks, "k").sortWithinPartitions("g", "c")
-            self.levels.append(Level(a.batches + b.batches, stored(both), a.docs.unionByName(b.docs)))
+            both = self._dealt(a.suffixes.unionByName(b.suffixes), _one_piece, PACKED)
+            self.levels.append(Level(a.batches + b.batches, both, a.docs.unionByName(b.docs)))
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
