@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import read, stored
+from corpusframe.llm.common import arrow_bytes, read, stored
 from corpusframe.llm.jaccard_join import _marked, bloom
 from corpusframe.llm.words import _BACK, _STEP, SLICE_BYTES, _mixed, _powers, column, slices
 
@@ -37,6 +37,8 @@ HELD = 1 << 19
 LOOK, OFTEN, MOST_OFTEN = 64, 16, 10_000
 #: Suffixes of one piece of the dealt arrays, about, at most; the pieces of a batch are as many as its sampled size asks for, and sixteen a task at least.
 PIECE = 1 << 18
+#: Of texts and arrays that pass through Python at once, one row at least.
+BATCH_BYTES = 4 << 20
 _SENT = 100_000
 _PLACE_BITS = 21
 NO_ID = -(1 << 63)
@@ -474,6 +476,11 @@ class IndexFamily:
         self.spark, self.levels, self.last, self.pieces = spark, [], NO_ID, 0
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
+        """A batch: see _added(), whose result is stored, so that texts pass through Python in short batches as long as they do."""
+        with arrow_bytes(self.spark, BATCH_BYTES):
+            return stored(self._added(docs, keep))
+
+    def _added(self, docs: DataFrame, keep: bool) -> DataFrame:
         """Per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (begin, after the end of every removed run).
 
         A byte is removed if a string of REACH bytes over it stands earlier: in a document of a smaller id, or before in the
