@@ -46,6 +46,13 @@ class Automaton:
             if 0 < len(words) < window:
                 self.short[at].append((len(words), name))
         self.least = min([window, *(len(w) for _, w in items if w)])
+        # of each state: the state on its way to the root that has its last `window` words, and the next one, itself first, that a short item ends in
+        self.whole, self.ends = [0] * len(self.link), [0] * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            up = self.link[s]
+            if self.length[s] >= window:
+                self.whole[s] = s if self.length[up] < window else self.whole[up]
+            self.ends[s] = s if self.short[s] else self.ends[up]
 
     def _state(self, length: int, moves: dict, link: int) -> int:
         self.next.append(moves)
@@ -86,14 +93,14 @@ class Automaton:
                 matched = self.length[at]
             if w in self.next[at]:
                 at, matched = self.next[at][w], matched + 1
-            up = at
-            while up > 0:
-                if matched >= self.window and self.length[self.link[up]] < self.window <= self.length[up]:
-                    yield i, self.window, self.items[up]
+            if matched >= self.window:
+                yield i, self.window, self.items[self.whole[at]]
+            up = self.ends[at]
+            while up > 0:  # as many as short items have lengths, at most
                 for m, name in self.short[up]:
                     if up != at or matched >= m:
                         yield i, m, {name}
-                up = self.link[up]
+                up = self.ends[self.link[up]]
 
 
 class Reader:

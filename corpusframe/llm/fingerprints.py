@@ -1,9 +1,14 @@
 """Document fingerprints: consistent weighted sampling of word pairs.
 
-Terms are pairs of neighbouring words (a lone word where a text has one), weighted by how often they occur. Weights are whole
-numbers, so a sample is the occurrence (k, i), i from 1 to the weight of term k, with the least hash of (k, i, j) in sample j;
-two texts agree in it with a chance equal to their generalised Jaccard similarity, the sum of minima over the sum of maxima of
-their weights. The least hash stands for its occurrence.
+Terms are pairs of neighbouring words (a lone word where a text has one), weighted by how often they occur. Sample j draws for
+each term r and c, gamma variates of shape 2, and beta, uniform; a term of weight S is at step t = floor(ln S / r + beta) and
+scores c exp(-r (t - beta + 1)); the sample is the least score's (term, t). Two texts agree in it with a chance equal to their
+generalised Jaccard similarity, the sum of minima over the sum of maxima of their weights.
+
+A gamma variate of shape 2 is the sum of two exponential ones, and the share of one in the sum is uniform and independent of
+it. So r = s + s' and beta = s' / r for exponential s, s', and c = x + x' with exp(-s) = x / c for exponential x, x'. The score
+becomes x exp(-r t): for weight 1, where t is 0, it is x alone, an exponential that grows with a uniform number, and that number
+is compared as it comes from the hash. Only other weights need logarithms.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ def terms(text: Column) -> Column:
     return F.transform(F.array(words), lambda w: F.when(F.size(w) == 1, F.transform(w, lambda x: F.xxhash64(x))).otherwise(pairs(w)))[0]
 
 
+#: The lowest bits of a term make room for its count; greater counts stand beside it.
+_LIGHT = 255
+
+
 def weighted(terms: Column) -> Column:
     """Sorted distinct terms of an array with their counts, as term and weight."""
 
@@ -38,22 +47,28 @@ def weighted(terms: Column) -> Column:
     return F.transform(F.array(F.sort_array(terms)), counted)[0]
 
 
-def occurrences(term: Column, weight: Column) -> Column:
-    """64-bit hashes of (term, i) for i from 1 to a whole weight."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(weight.cast("int"), F.lit(1))), lambda i: F.xxhash64(term, i))
-    return F.when(weight == 1, F.array(F.xxhash64(term, F.lit(1)))).when(weight > 1, many).otherwise(F.array().cast("array<long>"))
+def sample(term: Column, weight: Column, j: int) -> Column:
+    """The term's score in sample j, as a long in the order of scores: the share of exponential variates that are less, of 2 ** 63."""
+    first = F.shiftrightunsigned(F.xxhash64(term, F.lit(j)), 1)
+    more = F.xxhash64(term, F.lit(j), F.lit(1))
+    part = lambda shift: (F.shiftrightunsigned(more, shift).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * 2.0**-32
+    x, x_ = -F.log1p((first.cast("double") + 0.5) * -(2.0**-63) * (1 - 2.0**-52)), -F.ln(part(0))
+    s, s_ = F.ln((x + x_) / x), -F.ln(part(32))
+    step = F.floor((F.ln(weight) + s_) / (s + s_))
+    score = F.least(-F.expm1(-x * F.exp(-(s + s_) * step)), F.lit(1 - 2.0**-52)) * 2.0**63
+    return F.when(weight == 1, first).when(weight > 0, F.when(step == 0, first).otherwise(score.cast("long")))
 
 
 def minima(rows: DataFrame, by: list[str], samples: int) -> DataFrame:
-    """by, m0 .. m(samples-1): the least hash of every sample over the occurrences `at` of a group; null where it has none."""
+    """by, m0 .. m(samples-1): the least score of every sample over rows(term, weight) of a group; null where it has none."""
     # each sample inside its own aggregate: the generated code is then split into methods small enough to be compiled
-    return rows.groupBy(*by).agg(*[F.min(F.when(F.col("at").isNotNull(), F.xxhash64("at", F.lit(j)))).alias(f"m{j}") for j in range(samples)])
+    return rows.groupBy(*by).agg(*[F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("weight"), j))).alias(f"m{j}") for j in range(samples)])
 
 
 def signatures(weighted: DataFrame, by: list[str], term: str = "term", weight: str = "weight", samples: int = SAMPLES) -> DataFrame:
-    """by, m0 .. m(samples-1): the least hash of every sample over the terms of a group with whole weights; null where a group has no term."""
-    at = F.when(F.col(term).isNotNull(), occurrences(F.col(term), F.col(weight)))
-    return minima(weighted.select(*by, F.explode_outer(at).alias("at")), by, samples)
+    """by, m0 .. m(samples-1): the least score of every sample over the weighted terms of a group. Weights are any numbers above 0; terms
+    of other or null weights count for nothing, and a group without terms has nulls."""
+    return minima(weighted.select(*by, F.col(term).alias("term"), F.col(weight).cast("double").alias("weight")), by, samples)
 
 
 def starts_of_runs(docs: DataFrame, rows_per_run: int) -> list[int]:
@@ -112,12 +127,19 @@ def fingerprinted(docs: DataFrame, samples: int = 16, rows_per_run: int = 1000)
     n, follow = F.char_length("text"), F.coalesce("next_text", "text")
     cut = F.floor(n / 4).cast("int")
     near = near.select("run", "row", "guest", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring(follow, F.lit(1), cut)).alias("edited"))
-    expanded = lambda text: F.flatten(F.transform(F.coalesce(weighted(terms(text)), F.array().cast("array<struct<term:bigint,weight:double>>")), lambda t: occurrences(t["term"], t["weight"])))
-    near = near.select("run", "row", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), expanded(F.col("text")).alias("a"), expanded(F.col("edited")).alias("b"))
+    # counts below _LIGHT go into their term, so that what two texts have alike is found among whole numbers
+    room = ~_LIGHT
+    counted = lambda text: F.coalesce(weighted(F.transform(terms(text), lambda t: t.bitwiseAND(F.lit(room)))), F.array().cast("array<struct<term:bigint,weight:double>>"))
+    light = lambda w: F.transform(F.filter(w, lambda x: x["weight"] < _LIGHT), lambda x: x["term"].bitwiseOR(x["weight"].cast("long")))
+    heavy = lambda w: F.filter(w, lambda x: x["weight"] >= _LIGHT)
+    opened = lambda codes: F.transform(codes, lambda c: F.struct(c.bitwiseAND(F.lit(room)).alias("term"), c.bitwiseAND(F.lit(_LIGHT)).cast("double").alias("weight")))
+    near = near.select("run", "row", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), counted(F.col("text")).alias("a"), counted(F.col("edited")).alias("b"))
+    near = near.select("run", "row", "guest", "doc_id", "n_chars", "edited_sha256", light(F.col("a")).alias("a"), light(F.col("b")).alias("b"), heavy(F.col("a")).alias("ha"), heavy(F.col("b")).alias("hb"))
     # what both texts have is sampled once
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), at.alias("at")) for k, at in enumerate((F.array_intersect("a", "b"), F.array_except("a", "b"), F.array_except("b", "a")))])
+    sides = (opened(F.array_intersect("a", "b")), F.concat(opened(F.array_except("a", "b")), "ha"), F.concat(opened(F.array_except("b", "a")), "hb"))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), at.alias("at")) for k, at in enumerate(sides)])
     head = ["run", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
-    near = near.select(*head, F.explode(sides).alias("s")).select(*head, "s.side", F.explode_outer("s.at").alias("at"))
+    near = near.select(*head, F.explode(sides).alias("s")).select(*head, "s.side", F.explode_outer("s.at").alias("at")).select(*head, "side", "at.term", "at.weight")
     found = minima(near, [*head, "side"], samples)
     found = found.select(*head, "side", F.when(F.col("m0").isNotNull(), F.array(*[f"m{j}" for j in range(samples)])).alias("m"))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))

@@ -107,6 +107,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     """
     idf = template_idf(docs, templates)
     rare: tuple[dict, dict] = {}, {}
+    longest = max(len(t.words.split()) for t in templates)  # no place lies further before the text
     for k, t in enumerate(templates):
         anchors = sorted({(-idf[w], w, at + i) for at, run in _runs(t) for i, w in enumerate(run)})[:2]
         for place, (_, w, p) in zip(rare, anchors, strict=True):
@@ -118,8 +119,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     def postings(of: dict) -> Column:
         known, table = F.lit(sorted(of)), index(of)
         hits = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(known, x), F.struct(i.alias("i"), x.alias("x")))), lambda h: h.isNotNull())
-        return F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(table, h["x"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["p"]).alias("s")))))
+        # template and place in one whole number: those are intersected by hash, structs would be by all pairs
+        return F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(table, h["x"]), lambda q: F.shiftleft(q["t"].cast("long"), 32) + (h["i"] - q["p"] + longest))))
 
+    opened = lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("t"), (c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") - longest).alias("s"))
     array = lambda xs: F.array(*xs)
     runs = array([array([F.struct(F.lit(at).alias("at"), F.lit(run).alias("run")) for at, run in _runs(t)]) for t in templates])
     body = array([array([F.struct(F.lit(w).alias("w"), F.lit(idf[w]).alias("idf")) for w in t.words.split()]) for t in templates])
@@ -128,7 +131,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     share = lambda c: F.aggregate(F.transform(body[c["t"]], lambda q, j: F.when(F.get("w", c["s"] + j) == q["w"], q["idf"]).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / weight[c["t"]]
 
     rows = docs.select("doc_id", words_column().alias("w"))
-    found = F.filter(F.array_intersect(postings(rare[0]), postings(rare[1])), stands)
+    found = F.filter(F.transform(F.array_intersect(postings(rare[0]), postings(rare[1])), opened), stands)
     rows = rows.withColumn("c", F.when(F.arrays_overlap("w", F.lit(sorted(rare[0]))), found))
     place = lambda c: F.struct(F.lit([t.label for t in templates])[c["t"]].alias("label"), c["s"].cast("long").alias("word"), F.lit([t.base for t in templates])[c["t"]].alias("base"), F.round(share(c), 6).alias("score"))
     rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform("c", place).alias("places"))

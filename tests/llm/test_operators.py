@@ -104,6 +104,19 @@ def test_signature_collisions_follow_generalised_jaccard(spark):
     assert abs(sum(p == q for p, q in zip(x, y, strict=True)) / 128 - expected) < 0.13
 
 
+def test_fractional_weights_collide_as_generalised_jaccard_says(spark):
+    kinds = [({0: 0.3, 1: 2.5, 3: 0.01}, {0: 0.9, 1: 1.75, 4: 0.5}), ({0: 300.0, 1: 7.5}, {0: 120.0, 1: 9.0, 2: 40.0}), ({0: 1.0, 1: 1.0, 2: 2.0}, {0: 1.0, 1: 3.5, 3: 1.0})]
+    pairs = 24  # of each kind, over terms of their own
+    rows = [(f"{n}|{p}|{side}", 100 * p + t, w) for n, kind in enumerate(kinds) for p in range(pairs) for side, own in enumerate(kind) for t, w in own.items()]
+    rows += [("none", 1, 0.0), ("none", 2, None), ("none", None, 1.0)]
+    s = {r[0]: r[1:] for r in fingerprints.signatures(spark.createDataFrame(rows, "k string, term long, weight double"), ["k"], samples=64).collect()}
+    assert set(s["none"]) == {None}
+    for n, (a, b) in enumerate(kinds):
+        expected = sum(min(a.get(t, 0), b.get(t, 0)) for t in range(5)) / sum(max(a.get(t, 0), b.get(t, 0)) for t in range(5))
+        found = np.mean([x == y for p in range(pairs) for x, y in zip(s[f"{n}|{p}|0"], s[f"{n}|{p}|1"], strict=True)])
+        assert abs(found - expected) < 4 * (expected * (1 - expected) / (64 * pairs)) ** 0.5, (n, found, expected)
+
+
 def test_query_likeness_follows_generalised_jaccard(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [" ".join(f"w{k}" for k in rng.integers(0, 40 if i % 2 else 3000, 240)) for i in range(60)]
