@@ -14,30 +14,46 @@ ORACLE_SQL = None
 MIX_SHARE, MIX_EPOCHS, SEED, SHARDS = 0.9, 1, 11, 40
 
 
+#: Columns that stages read; all others ride along under names that no stage uses.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame, stage) -> DataFrame:
+    """What stage makes of docs, with the columns of docs as they were: those that stages do not read are set aside meanwhile."""
+    own = {c: f"__own_{c}" for c in docs.columns if c not in DOCUMENT}
+    out = stage(docs.withColumnsRenamed(own))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model is fitted to the labels of these documents."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("score < 0.5").select(*docs.columns)
+    return apart(docs, lambda d: toxicity.scored(d, model).where("score < 0.5"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
-    return jaccard_join.one_of_each(docs)
+    return apart(docs, jaccard_join.one_of_each)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages they share with test items, and without those that are mostly such passages."""
-    cut = decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
-    return cut.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
+
+    def cut(d: DataFrame) -> DataFrame:
+        out = decontamination.decontaminated(d, read(spark, sf_dir, "benchmark"))
+        return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(d.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in d.columns else out
+
+    return apart(docs, cut)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen so that domains, languages and sources come near their target weights."""
-    return mixing.mixed(docs, None, mixing.WEIGHTS, MIX_EPOCHS, SEED, share=MIX_SHARE).select(*docs.columns)
+    return apart(docs, lambda d: mixing.mixed(d, None, mixing.WEIGHTS, MIX_EPOCHS, SEED, share=MIX_SHARE))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with size, checksum, shard and slot."""
+    """Documents with size, checksum, law, shard and slot; columns of their own by these names come out as own_<name>."""
+    docs = docs.withColumnsRenamed({c: f"own_{c}" for c in ("size", "text_crc32", "law", "shard", "slot")})
     return sharding.sharded(sharding.measured(docs), SHARDS).withColumn("law", F.lit("rows"))
 
 
