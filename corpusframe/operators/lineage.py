@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusframe.functions import text as T
 from corpusframe.operators.chunking import spread_sample
 from corpusframe.operators.metadata import extract_numbers
-from corpusframe.operators.retrieval import bm25
+from corpusframe.operators.retrieval import bm25_within
 
 
 def recovered_offsets(chunks: DataFrame, docs: DataFrame, head: int = 60) -> DataFrame:
@@ -139,10 +139,10 @@ def allocate(runs: DataFrame, files: int = 4, total: int = 4) -> DataFrame:
 
 
 def within_document(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """The best passages of each question's own document, with the corpus's statistics; without a hit a sample spread over it."""
+    """The best passages of each question's own document, by the statistics of that document alone; without a hit a sample spread over it."""
     asked = questions.select("query_id", "doc_id").distinct()
     own = asked.join(chunks.select("chunk_key", "doc_id"), "doc_id").select("query_id", "chunk_key")
-    hits = bm25(questions, chunks, "chunk_key", k=k, among=own).select("query_id", "chunk_key", F.col("rank").alias("place"))
+    hits = bm25_within(questions, chunks, "chunk_key", "doc_id", k).select("query_id", "chunk_key", F.col("rank").alias("place"))
     rest = spread_sample(own.join(hits.select("query_id").distinct(), "query_id", "left_anti"), "query_id", "chunk_key", k)
     return hits.unionByName(rest.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_key"))))
 

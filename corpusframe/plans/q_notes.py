@@ -1,4 +1,4 @@
-"""Queries G10, G14, R16, M17, Q7, I3, E9 and E17 over the shared tables."""
+"""Queries G10, G14, M17, Q7, I3, E9 and E17 over the shared tables."""
 
 from __future__ import annotations
 
@@ -32,12 +32,6 @@ def _companions(s, d):
     return N.companion_passages(asked, paragraphs(s, d), table(s, d, "labels").where("toxic = 1").select((F.col("doc_id") / 4).cast("long").alias("query_id"), "doc_id"))
 
 
-def _spans(s, d):
-    found = R.locate(questions(s, d), _chunks(s, d))
-    pairs = found.join(questions(s, d), "query_id").withColumn("passage", T.raw_tokens("text")).drop("text").join(_chunks(s, d).select("doc_id", T.raw_tokens("text").alias("page")), "doc_id")
-    return N.aligned_spans(pairs)
-
-
 def _kinds(s, d):
     n = F.col("doc_id")
     name = F.when(n % 6 == 3, "Thong_tu_huong_dan.doc").when(n % 6 == 4, "12-kh-truong.pdf").otherwise("ban-sao.pdf")
@@ -69,7 +63,6 @@ QUERIES = {
     "G10_notes": lambda s, d: _notes(s, d).select("query_id", "node", "note", "from"),
     "G10_pull": lambda s, d: N.documents_to_pull(_notes(s, d), _files(s, d)),
     "G14_companions": _companions,
-    "R16_spans": _spans,
     "M17_kinds": _kinds,
     "Q7_topics": _topics,
     "I3_confusion": lambda s, d: N.confusion(_knn(s, d).join(_vectors(s, d), "vec_id")),

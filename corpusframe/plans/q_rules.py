@@ -1,4 +1,4 @@
-"""Queries of sources, sinks, rules and schedules."""
+"""Queries of sources, sinks, rules and schedules."""
 
 from __future__ import annotations
 
@@ -91,11 +91,6 @@ def _scoped(lenient):
     return run
 
 
-def _own_source(s, d):
-    asked = questions(s, d).withColumn("doc_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    return N.within_document(asked, table(s, d, "documents").select(F.col("doc_id").alias("chunk_key"), F.col("source").alias("doc_id"), "text"))
-
-
 def _same_days(s, d):
     """A user's kinds of events on a day and on the day before."""
     e = table(s, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_type").groupBy("user_id", "day").agg(F.collect_list("event_type").alias("evidence"))
@@ -192,7 +187,6 @@ QUERIES = {
     "M9_wanted": _wanted,
     "M15_strict": _scoped(False),
     "M16_lenient": _scoped(True),
-    "R12_within": _own_source,
     "K2_same_evidence": _same_days,
     "K6_cacheable": lambda s, d: _asked_turns(s, d).select("conv_id", "turn", X.cacheable("history", "scope", "as_of", "question").alias("kept")),
     "I6_action": _actions,
@@ -229,7 +223,6 @@ ORACLE_SQL = {
     "M9_wanted": "SELECT doc_id FROM documents WHERE n_chars % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)",
     "M15_strict": "SELECT doc_id FROM documents WHERE n_chars % 4 <> 0 AND n_chars % 3 <> 0 AND lang IN ('en', 'fr') AND source IN ('src0', 'src1', 'src2', 'src3', 'src4')",
     "M16_lenient": "SELECT doc_id FROM documents WHERE (n_chars % 4 = 0 OR lang IN ('en', 'fr')) AND (n_chars % 3 = 0 OR source IN ('src0', 'src1', 'src2', 'src3', 'src4'))",
-    "R12_within": f"WITH {_BM25}, o AS (SELECT query_id, doc_id AS chunk_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS place FROM sc JOIN documents USING (doc_id) WHERE score > 0 AND source = 'src' || (query_id % 20)) SELECT * FROM o WHERE place <= 4",
     "K2_same_evidence": "WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list(event_type)) AS k FROM events GROUP BY ALL) SELECT a.user_id, CAST(a.day AS VARCHAR) AS day, a.k = b.k AS same FROM e a JOIN e b ON a.user_id = b.user_id AND b.day = a.day - 1",
     "K6_cacheable": f"WITH {_ASKED} SELECT conv_id, turn, NOT follows AND NOT scoped AND NOT past AND NOT regexp_matches(question, 'https?://[^\\s<>\"'']+') AS kept FROM t",
     "I6_action": f"""WITH {_ASKED}, a AS (SELECT *, CASE WHEN role = 'user' THEN 'greeting' WHEN turn % 4 = 1 THEN 'chat' ELSE 'other' END AS said, length(question) % 100 / 100.0 AS conf, regexp_extract_all(lower(array_to_string(string_split(question, ' ')[1:8], ' ')), '[\\p{{L}}\\p{{N}}]+') AS w FROM t)

@@ -295,14 +295,6 @@ def test_companions_give_their_best_passage(spark):
     assert got == [(5, 1, 1), (6, 0, 2)]
 
 
-def test_spans_of_cited_text(spark):
-    page = "a b c the quick brown fox jumps over x y z and far away the quick".split()
-    assert notes.span(page, "the quick brown cat jumps over".split()) == (3, 9, 5)
-    assert notes.span(page, "nothing of this kind stands here".split()) is None and notes.span([], ["a"]) is None and notes.span(["q", "a"], ["a"]) == (1, 2, 1)
-    rows = spark.createDataFrame([(1, page, ["quick", "brown", "fox"]), (2, page, None), (3, None, ["a"])], "query_id long, page array<string>, passage array<string>")
-    assert {tuple(r) for r in notes.aligned_spans(rows).collect()} == {(1, 4, 7, 3), (2, None, None, None), (3, None, None, None)}
-
-
 def test_kinds_and_topics(spark):
     rows = [(1, "a.pdf", "x\nNGHỊ QUYẾT \ny", None, None), (2, "01-QD-BGDDT.pdf", "", None, None), (3, "a.pdf", "(Ban hành kèm theo Quyết định của Bộ)", None, None), (4, "a.pdf", "trích V/v nghỉ hè", None, None), (5, "a.pdf", "", None, "3/2020/TT-X"), (6, None, None, None, None)]
     got = {r.doc_id: r.kind for r in notes.document_kind(spark.createDataFrame(rows, "doc_id long, name string, text string, kind string, number string")).collect()}
