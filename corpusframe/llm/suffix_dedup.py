@@ -35,8 +35,8 @@ PART = -(-SPAN // PARTS)
 HELD = 1 << 19
 #: One document in so many is looked through for fingerprints that many suffixes share; they are dealt out further. Only the dealing depends on it.
 LOOK, OFTEN, MOST_OFTEN = 64, 16, 10_000
-#: Suffixes of one piece of the dealt arrays, about, at most; the pieces of a batch are as many as its sampled size asks for, and sixteen a task at least.
-PIECE = 1 << 18
+#: Suffixes of one piece of the dealt arrays, about: as few as that where it makes no more than sixteen pieces a task, and never so many as the second.
+PIECE, LARGEST = 1 << 14, 1 << 20
 #: Of texts and arrays that pass through Python at once, one row at least.
 BATCH_BYTES = 4 << 20
 _SENT = 100_000
@@ -506,14 +506,15 @@ class IndexFamily:
             looked = stored(looked)
             often = looked.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "g").limit(MOST_OFTEN).select("g").collect()
             self.often = self.spark.sparkContext.broadcast(np.array(sorted(r["g"] for r in often), np.int64))
-            self.pieces = max(16 * self.tasks, (looked.agg(F.sum("n")).first()[0] or 0) * LOOK // PIECE)
+            total = (looked.agg(F.sum("n")).first()[0] or 0) * LOOK
+            self.pieces = max(2 * self.tasks, min(16 * self.tasks, total // PIECE), total // LARGEST)
         suffixes = read_.mapInArrow(_suffixes_of(self.often, self.pieces), PACKED)
         for level in self.levels:
             suffixes = suffixes.unionByName(level.suffixes)
         found = self._dealt(suffixes, _scanned(self.often, since, keep), FOUND)
         wanted = found.where("kind = 0").groupBy("id", "th").agg(F.collect_list(F.struct(F.col("a").alias("at"), F.col("b").alias("g"))).alias("wanted"))
         asked = self._with_texts(known, wanted).select("id", "th", "text", "wanted")
-        more = self._dealt(asked.mapInArrow(_surroundings_of(self.often, self.pieces), PACKED), _compared(since), FOUND)
+        more = self._dealt(asked.mapInArrow(_surroundings_of(self.often, max(2 * self.tasks, self.pieces // 4)), PACKED), _compared(since), FOUND)
         spans = found.where("kind = 1").unionByName(more.where("kind = 1")).groupBy("id", "th").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("begin"), F.col("b").cast("int").alias("end"))).alias("spans"))
         out = self._told(rows, stored(spans), docs)
         if keep:
