@@ -30,6 +30,33 @@ def apply_delta(chunks: DataFrame, ledger: DataFrame, delta: DataFrame, new_chun
     return chunks.join(dead, "chunk_key", "left_anti").unionByName(new_chunks)
 
 
+def next_state(state: dict[str, DataFrame], cat: DataFrame, new_chunks: DataFrame, failed: DataFrame) -> dict[str, DataFrame]:
+    """L3 in full: chunks(chunk_key, path, text), ledger and report (path, why) after the files of cat(path, hash, size, modified_ns).
+
+    new_chunks(chunk_key, path, text) come from the new and modified files, failed(path, step) tells those that could not be read
+    (step read: into the ledger as error, so that they rest until they change) or embedded (step embed: not in the ledger, so
+    that they come again). Chunks of modified and deleted files go by the ids in the ledger; files with none on record are
+    reported as stuck. A file that was read and gave no chunk is no_text. Rows of files that did not change stay as they are.
+    """
+    chunks, ledger = state["chunks"], state["ledger"]
+    delta = diff_catalog(cat, ledger)
+    again = delta.where("change in ('new', 'modified')").select("path")
+    gone = delta.where("change in ('modified', 'deleted')").join(ledger.select("path", "chunk_ids"), "path")
+    step = failed.groupBy("path").agg(F.min(F.when(F.col("step") == "read", "read").otherwise("embed")).alias("step"))
+    fresh = again.join(step, "path", "left")
+    usable = new_chunks.join(fresh.where("step is null").select("path"), "path", "left_semi").select(*chunks.columns)
+    kept = chunks.join(gone.select(F.explode("chunk_ids").alias("chunk_key")), "chunk_key", "left_anti").select(*chunks.columns).unionByName(usable)
+    ids = usable.groupBy("path").agg(F.array_sort(F.collect_set("chunk_key")).alias("chunk_ids"))  # a file's chunks
+    told = fresh.where("step is null or step = 'read'").join(cat.select("path", "hash", "size", "modified_ns"), "path").join(ids, "path", "left")
+    status = F.when(F.col("step") == "read", "error").when(F.col("chunk_ids").isNull(), "no_text").otherwise("processed")
+    told = told.select("path", "hash", status.alias("status"), "size", "modified_ns", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
+    columns = ["path", "hash", "status", "size", "modified_ns", "chunk_ids"]
+    rested = ledger.join(delta.where("change = 'unchanged'").select("path"), "path", "left_semi").select(*columns)
+    stuck = gone.where("coalesce(size(chunk_ids), 0) <= 0").select("path", F.lit("stuck").alias("why"))
+    report = stuck.unionByName(fresh.where("step is not null").select("path", F.concat(F.lit("failed: "), "step").alias("why")))
+    return {"chunks": kept, "ledger": rested.unionByName(told), "report": report}
+
+
 def inventory(cat: DataFrame, ledger: DataFrame, slack_ns: int = 2_000_000_000) -> DataFrame:
     """L4: path, name, status (pending if unknown, resized or moved in time by two seconds), unique (whether the name is)."""
     known = ["processed", "no_text", "duplicate", "error"]

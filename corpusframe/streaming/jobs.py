@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +11,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusframe.operators.catalog import find_duplicate_content, next_state
+from corpusframe.sources.versions import Versions
 
-def hot_folder(spark: SparkSession, folder: str, extensions: str = "*.txt", settle: str = "60 seconds") -> DataFrame:
-    """A stream of path, size, modified, hash of files in a folder that have settled; the checkpoint replaces a list of seen files."""
+
+def hot_folder(spark: SparkSession, folder: str, extensions: str = "*.txt", settle: str = "60 seconds", text: bool = False) -> DataFrame:
+    """A stream of path, size, modified, hash (and text, if asked for) of files in a folder; the checkpoint replaces a list of seen files. The
+    source tells a file once, so one that had not settled then is not told again before it changes: for folders that are written to
+    all the time ingest() looks by the clock instead."""
     kind = spark.read.format("binaryFile").load(folder).schema
     files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", extensions).load(folder)
     ready = files.where(F.col("modificationTime") <= F.current_timestamp() - F.expr(f"INTERVAL {settle}"))
-    return ready.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"))
+    more = [F.decode("content", "UTF-8").alias("text")] if text else []
+    return ready.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), *more)
+
+
+#: Tables of an ingest: the chunks of all files, and what is known of each file.
+INGEST = {"chunks": "chunk_key string, path string, text string", "ledger": "path string, hash string, status string, size bigint, modified_ns bigint, chunk_ids array<string>"}
+
+
+def ingest_batch(state: Versions, cut: Callable[[DataFrame], DataFrame], name: str = "ingest") -> Callable[[DataFrame, int | None], None]:
+    """What to do with a batch of settled files(path, size, modified, hash, text): those whose content the corpus or an earlier file of
+    the batch has (L6) stay out of it and are told in the ledger, the others are cut into chunks(path, text) and applied (L1, L3). A file
+    that comes with another content replaces its chunks; files that are not in the batch are left alone. All becomes one version
+    under the job's name and the batch's number, so a batch that comes again after a failure changes nothing."""
+
+    def job(files: DataFrame, number: int | None) -> None:
+        def change(have: Mapping[str, DataFrame]) -> Mapping[str, DataFrame]:
+            last = F.row_number().over(W.partitionBy("path").orderBy(F.desc("modified"), "hash"))
+            rows = files.withColumn("__r", last).where("__r = 1").drop("__r").withColumn("modified_ns", F.unix_micros("modified") * 1000)
+            elsewhere = have["ledger"].join(rows.select("path"), "path", "left_anti")
+            rows = find_duplicate_content(rows, elsewhere.where("status <> 'duplicate'"))
+            own = have["ledger"].join(rows.select("path"), "path", "left_semi")
+            new = rows.where("not duplicate")
+            chunks = cut(new.select("path", "text")).withColumn("chunk_key", F.sha2(F.concat_ws("\x1f", "path", "text"), 256)).dropDuplicates(["chunk_key"]).select("chunk_key", "path", "text")
+            none = files.sparkSession.createDataFrame([], "path string, step string")
+            # what turned into a copy of another file is no longer among the files, and so loses its chunks
+            after = next_state({"chunks": have["chunks"], "ledger": own}, new.select("path", "hash", "size", "modified_ns"), chunks, none)
+            again = rows.where("duplicate").select("path", "hash", F.lit("duplicate").alias("status"), "size", "modified_ns", F.array().cast("array<string>").alias("chunk_ids"))
+            return {"chunks": after["chunks"], "ledger": elsewhere.unionByName(after["ledger"]).unionByName(again)}
+
+        state.update(change, note=f"{name}, batch {number}", key=None if number is None else f"{name}/{number}")
+
+    return job
+
+
+def settled(spark: SparkSession, folder: str, ledger: DataFrame, extensions: str = "*.txt", settle: str = "60 seconds", listed: int = 100_000) -> DataFrame | None:
+    """Path, size, modified, hash, text of the files of a folder, and of those in it, that have rested for a while and are not in the ledger
+    with their size and time; None where there are none. Only those files are opened, up to so many by name, more by a join."""
+    before = spark.sql(f"SELECT date_format(current_timestamp() - INTERVAL {settle}, \"yyyy-MM-dd'T'HH:mm:ss\")").first()[0]
+    load = lambda paths: spark.read.format("binaryFile").option("pathGlobFilter", extensions).option("recursiveFileLookup", True).option("modifiedBefore", before).load(paths)
+    found = load(folder).select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"))
+    new = found.join(ledger.select("path", "size", "modified_ns"), ["path", "size", "modified_ns"], "left_anti").select("path")
+    names = [r["path"] for r in new.limit(listed + 1).collect()]
+    if not names:
+        return None
+    files = load(names) if len(names) <= listed else load(folder).join(new, "path", "left_semi")
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("text"))
+
+
+def ingest(spark: SparkSession, folder: str, state: Versions, cut: Callable[[DataFrame], DataFrame], checkpoint: str | None = None, settle: str = "60 seconds", minutes: int = 5) -> StreamingQuery | None:
+    """A folder's settled text files come into the tables of state: once, or with a checkpoint every so many minutes. A clock drives the looking,
+    the ledger says what is known, so a file that was too new is there the next time."""
+
+    def look(_: DataFrame | None, number: int | None) -> None:
+        files = settled(spark, folder, state.read("ledger"), settle=settle)
+        if files is not None:
+            ingest_batch(state, cut, checkpoint or folder)(files, number)
+
+    if checkpoint is None:
+        look(None, None)
+        return None
+    return periodic(spark.readStream.format("rate").load(), look, checkpoint, max(1, minutes))
 
 
 def activity_batches(events: DataFrame, gap: str = "90 seconds", late: str = "1 day") -> DataFrame:
