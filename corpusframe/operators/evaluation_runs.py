@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,22 +14,67 @@ from pyspark.sql import functions as F
 from corpusframe.functions import text as T
 
 
-def bootstrap_interval(values: DataFrame, value: str, key: str, draws: int = 2000, seed: int = 7, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Mean, low, high of a mean by so many resamples. Every row is drawn a Poisson(1) number of times in each resample, by a seeded hash, so that
-    no row has to be looked up by its place: one pass and one sum per resample, whatever the number of rows. (Not resamples of exactly
-    n rows: their sizes vary by the root of n, which the mean divides out.) One row is its own interval; no rows give NULLs."""
-    u = (F.xxhash64(F.lit(seed), F.col("b"), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    times = F.lit(0)
-    p = total = 0.36787944117144233
-    for k in range(1, 9):
-        times = times + F.when(u > total, 1).otherwise(0)
-        p /= k
-        total += p
-    drawn = values.select(F.col(value).alias("v"), key, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("t", times)
-    means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("t") * F.col("v")), F.sum("t")).alias("m"))
-    ends = means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
+def _drawn_in_cells(counts: list[int], draws: int, seed: int):
+    """Arrow batches (cell, v) sorted by cell -> cell, b, n, total: how many rows each resample draws from a cell, and their sum.
+
+    A resample's n draws are dealt over the cells as a multinomial draw would: by halves, down a tree over the cells, each node by
+    a binomial draw seeded with its bounds. So a task that holds one cell comes to the same numbers as all others, from the
+    cells' sizes alone.
+    """
+    upto = np.concatenate([[0], np.cumsum(counts)])
+
+    def share(cell: int) -> np.ndarray:
+        low, high, k = 0, len(counts), np.full(draws, upto[-1])
+        while high - low > 1:
+            middle = (low + high) // 2
+            left = np.random.default_rng([seed, low, high]).binomial(k, (upto[middle] - upto[low]) / max(upto[high] - upto[low], 1))
+            low, high, k = (low, middle, left) if cell < middle else (middle, high, k - left)
+        return k
+
+    def told(cell: int, values: np.ndarray) -> pa.RecordBatch:
+        k, rng = share(cell), np.random.default_rng([seed, cell, cell, 1])
+        totals = [float(values[rng.integers(0, len(values), int(m))].sum()) for m in k]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(draws, cell), pa.int32()), pa.array(np.arange(draws), pa.int32()), pa.array(k.astype(np.int64)), pa.array(totals)], ["cell", "b", "n", "total"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            cells, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j in itertools.pairwise(np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]])) if len(cells) else []):
+                if cells[i] != at and held:
+                    yield told(at, np.concatenate(held))
+                    held = []
+                at = int(cells[i])
+                held.append(values[i:j])
+        if held:
+            yield told(at, np.concatenate(held))
+
+    return run
+
+
+def resamples(values: DataFrame, value: str, key: str, draws: int = 2000, seed: int = 7, cell_rows: int = 50_000) -> DataFrame:
+    """B, n, total of so many resamples: each draws as many rows as there are (values that are not null), with replacement. Rows are cut
+    into cells of bounded size by a hash of their key; a cell's number of draws in each resample is dealt to it beforehand, so no row
+    is looked up across cells and the sizes add up to n exactly. Repeated keys and equal values are rows of their own."""
+    rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
+    cells = max(1, -(-rows.count() // cell_rows))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(cells)).cast("int"))
+    found = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a number for every cell_rows rows
+    counts = [found.get(c, 0) for c in range(cells)]
+    tasks = min(cells, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = rows.repartition(tasks, "cell").sortWithinPartitions("cell", F.xxhash64("key"), "v").select("cell", "v")
+    drawn = parts.mapInArrow(_drawn_in_cells(counts, draws, seed), "cell int, b int, n long, total double")
+    return drawn.groupBy("b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def bootstrap_interval(values: DataFrame, value: str, key: str, draws: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """N, mean, low, high of a mean: percentiles by place of the means of resamples(). One row is its own interval; no rows give NULLs."""
+    means = resamples(values, value, key, draws, seed).agg(F.array_sort(F.collect_list(F.col("total") / F.col("n"))).alias("m"))  # as many as draws
+    edge = (1 - level) / 2
+    at = lambda k: F.get("m", F.lit(min(draws - 1, int(k * draws))))
     base = values.agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    return base.crossJoin(ends).select("n", "mean", F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("low")).alias("low"), F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("high")).alias("high"))
+    pick = lambda k, name: F.when(F.col("n") == 1, F.col("mean")).when(F.col("n") > 1, at(k)).alias(name)
+    return base.crossJoin(means).select("n", "mean", pick(edge, "low"), pick(1 - edge, "high"))
 
 
 def answer_quality(runs: DataFrame, group: str = "grp") -> DataFrame:

@@ -23,11 +23,12 @@ SCOPE = {"language": ["en", "fr"], "origin": ["src0", "src1", "src2", "src3", "s
 
 
 def _cues(s, d):
-    """Conversations as subtitle files: a cue of four seconds each turn."""
-    t = table(s, d, "conversations")
-    at = lambda x: F.concat(F.lpad(F.floor(x / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(x / 60) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((x % 60).cast("string"), 2, "0"), F.lit(",500"))
-    cue = F.concat(F.col("turn").cast("string"), F.lit("\n"), at(F.col("turn") * 5), F.lit(" --> "), at(F.col("turn") * 5 + 4), F.lit("\n<i>"), F.regexp_replace("text", r"\s+", " "), F.lit("</i>"))
-    files = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n\n").alias("text"))
+    """Conversations as subtitle files: a cue each turn, its text as it is. Every other cue follows without a blank line and with hours of one digit, every third has short milliseconds."""
+    t, n = table(s, d, "conversations"), F.col("turn")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    at = lambda x: F.concat(F.when(n % 2 == 0, "00").otherwise("0"), F.lit(":"), two(F.floor(x / 60) % 60), F.lit(":"), two(x % 60), F.when(n % 3 == 0, ".5").otherwise(",500"))
+    cue = F.concat(F.when(n % 2 == 0, "\n").otherwise(""), n.cast("string"), F.lit("\n"), at(n * 5), F.lit(" --> "), at(n * 5 + 4), F.lit("\n<i>"), F.col("text"), F.lit("</i>\n"))
+    files = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "").alias("text"))
     return readers.subtitle_cues(files.select(F.col("conv_id").alias("path"), "text"))
 
 
@@ -205,11 +206,22 @@ QUERIES = {
 }
 
 _ASKED = """t AS (SELECT conv_id, turn, role, turn > 1 AS follows, conv_id % 5 = 0 AS scoped, conv_id % 7 = 0 AS past, CASE WHEN conv_id % 3 = 0 THEN text || ' https://example.com/a' ELSE text END AS question FROM conversations)"""
-_CUES = """cues AS (SELECT conv_id AS path, turn, CAST(turn * 5 + 0.5 AS DOUBLE) AS "start", CAST(turn * 5 + 4.5 AS DOUBLE) AS "end", trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')"""
+_STAMP = "CASE WHEN turn % 2 = 0 THEN '00' ELSE '0' END || ':' || lpad(CAST(({0}) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({0}) % 60 AS VARCHAR), 2, '0') || CASE WHEN turn % 3 = 0 THEN '.5' ELSE ',500' END"
+_TIMING = "(\\d{1,2}):(\\d{2}):(\\d{2})[,.](\\d{1,3})\\s*-->\\s*(\\d{1,2}):(\\d{2}):(\\d{2})[,.](\\d{1,3})"
+_SECONDS = "CAST(regexp_extract(line, '{0}', {1}) AS DOUBLE) * 3600 + CAST(regexp_extract(line, '{0}', {2}) AS DOUBLE) * 60 + CAST(regexp_extract(line, '{0}', {3}) AS DOUBLE) + CAST(regexp_extract(line, '{0}', {4}) AS DOUBLE) / 1000"
+_CUES = f"""sf AS (SELECT conv_id AS path, string_agg(CASE WHEN turn % 2 = 0 THEN chr(10) ELSE '' END || turn || chr(10) || {_STAMP.format('turn * 5')} || ' --> ' || {_STAMP.format('turn * 5 + 4')} || chr(10) || '<i>' || text || '</i>' || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+  sl AS (SELECT path, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT path, string_split(text, chr(10)) AS l FROM sf)), st AS (SELECT *, regexp_matches(line, '{_TIMING}') AS timing FROM sl),
+  sa AS (SELECT *, CASE WHEN timing THEN {_SECONDS.format(_TIMING, 1, 2, 3, 4)} END AS a, CASE WHEN timing THEN {_SECONDS.format(_TIMING, 5, 6, 7, 8)} END AS b FROM st),
+  si AS (SELECT path, i, trim(line) AS words, line, timing, sum(CASE WHEN timing OR trim(line) = '' THEN 1 ELSE 0 END) OVER w AS island, last_value(a IGNORE NULLS) OVER w AS "start", last_value(b IGNORE NULLS) OVER w AS "end" FROM sa WINDOW w AS (PARTITION BY path ORDER BY i)),
+  sc0 AS (SELECT path, island, any_value("start") AS "start", any_value("end") AS "end", trim(regexp_replace(string_agg(words, ' ' ORDER BY i), '<[^>]+>', '', 'g')) AS text FROM si WHERE NOT timing AND "start" IS NOT NULL AND words <> '' AND NOT regexp_full_match(words, '\\d+') AND NOT starts_with(line, 'WEBVTT') GROUP BY path, island),
+  cues AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY island) AS n FROM sc0 WHERE text <> '')"""
 _DUTIES = """du AS (SELECT o_custkey AS id, o_orderkey % 5 AS k, o_orderkey % 4 AS rooms, o_custkey % 3 = 0 AS small, c_custkey % 40 >= CASE WHEN c_nationkey % 3 = 0 THEN 19 ELSE 28 END AS large, c_custkey % 7 = 0 AS unknown FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
   dl AS (SELECT id, ['subject_room', 'infant_care', 'party_secretary', 'form_teacher', 'unknown'][k + 1] AS duty, CAST(CASE k WHEN 0 THEN 3 * rooms WHEN 1 THEN CASE WHEN small THEN 4 ELSE 3 END WHEN 2 THEN CASE WHEN unknown OR large IS NULL THEN NULL WHEN large THEN 4 ELSE 3 END WHEN 3 THEN 4 END AS DOUBLE) AS lessons FROM du)"""
 ORACLE_SQL = {
     "S6_cues": f"""WITH {_CUES} SELECT path, "start", "end", md5(text) AS text FROM cues""",
+    "S6_blocks": f"""WITH RECURSIVE {_CUES}, bl AS (SELECT path, n, CAST(0 AS BIGINT) AS block, "start", "end", text FROM cues WHERE n = 1
+        UNION ALL SELECT b.path, c.n, b.block + CASE WHEN length(b.text) + 1 >= 900 THEN 1 ELSE 0 END, CASE WHEN length(b.text) + 1 >= 900 THEN c."start" ELSE b."start" END, c."end", CASE WHEN length(b.text) + 1 >= 900 THEN c.text ELSE b.text || ' ' || c.text END FROM bl b JOIN cues c ON c.path = b.path AND c.n = b.n + 1)
+      SELECT path, CAST(block AS INT) AS block, any_value("start") AS "start", max("end") AS "end", md5(arg_max(text, n)) AS text FROM bl GROUP BY path, block""",
     "S7_register": "SELECT conv_id, turn, role, md5(text) AS text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
     "S8_report": "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL",
     "S9_markdown": f"""WITH {TURNS}, m AS (SELECT role, count(*) AS n, round(avg(seconds), 3) AS seconds FROM turns GROUP BY ROLLUP (role))

@@ -36,22 +36,22 @@ def _updated(s, d):
 
 
 def _ingested(s, d):
-    """Documents as files of a folder, one for each source and language, looked through twice: the second look finds nothing new."""
+    """Documents as files of a folder, one for each source, looked through twice: the second look finds nothing new."""
     folder, store = scratch(s), Versions(s, scratch(s), jobs.INGEST)
-    table(s, d, "documents").select("source", "lang", "text").repartition("source", "lang").write.partitionBy("source", "lang").text(folder)
+    table(s, d, "documents").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
     cut = lambda files: files.select("path", F.explode(F.split("text", "\n")).alias("text")).where("trim(text) <> ''")
     jobs.ingest(s, folder, store, cut, settle="-5 seconds")
     first = store.current()
     jobs.ingest(s, folder, store, cut, settle="-5 seconds")
     counts = store.read("chunks").groupBy("path").agg(F.count("*").alias("n_chunks"))
-    place = F.regexp_extract("path", "(source=[^/]*/lang=[^/]*)/", 1)
+    place = F.regexp_extract("path", "(source=[^/]*)/", 1)
     return store.read("ledger").join(counts, "path", "left").select(place.alias("place"), "status", F.size("chunk_ids").alias("n_ids"), "n_chunks", F.lit(store.current() == first).alias("settled"))
 
 
-QUERIES = {"S7_register": _register, "L3_next_state": _updated, "W1_ingest": _ingested}
+QUERIES = {"S7_versions": _register, "L3_next_state": _updated, "W1_ingest": _ingested}
 
 ORACLE_SQL = {
-    "S7_register": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, CAST(day(arg_max(ts, event_id)) AS INT) AS day FROM events GROUP BY user_id",
+    "S7_versions": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, CAST(day(arg_max(ts, event_id)) AS INT) AS day FROM events GROUP BY user_id",
     "L3_next_state": f"""WITH {LEDGER}, {PARAGRAPHS}, df AS (SELECT coalesce(c.path, l.path) AS path, c.path IS NULL AS gone, CASE WHEN c.path IS NULL THEN 'deleted' WHEN l.path IS NULL THEN 'new' WHEN c.hash <> l.hash THEN 'modified' WHEN l.status = 'no_text' THEN 'new' ELSE 'unchanged' END AS change,
         CASE string_split(c.path, '/')[1] WHEN 'src3' THEN 'read' WHEN 'src4' THEN 'embed' END AS step, l.status, l.chunk_ids FROM catalog c FULL JOIN ledger l ON c.path = l.path),
       nc AS (SELECT path, count(*) AS n FROM paragraphs JOIN catalog USING (doc_id) GROUP BY path),
@@ -59,5 +59,5 @@ ORACLE_SQL = {
       ch AS (SELECT path, count(*) AS n_chunks FROM (SELECT path, unnest(l.chunk_ids) AS k FROM ledger l JOIN df USING (path) WHERE change NOT IN ('modified', 'deleted') UNION ALL SELECT path, CAST(n AS VARCHAR) FROM (SELECT path, unnest(range(0, n)) AS n FROM nc) JOIN df USING (path) WHERE change IN ('new', 'modified') AND step IS NULL) GROUP BY path),
       rp AS (SELECT path, 'failed: ' || step AS why FROM df WHERE change IN ('new', 'modified') AND step IS NOT NULL)
       SELECT path, status, CAST(n_ids AS INT) AS n_ids, n_chunks, why FROM st FULL JOIN ch USING (path) FULL JOIN rp USING (path)""",
-    "W1_ingest": "SELECT 'source=' || source || '/lang=' || lang AS place, 'processed' AS status, CAST(count(DISTINCT line) AS INT) AS n_ids, count(DISTINCT line) AS n_chunks, true AS settled FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY source, lang",
+    "W1_ingest": "SELECT 'source=' || source AS place, 'processed' AS status, CAST(count(DISTINCT line) AS INT) AS n_ids, count(DISTINCT line) AS n_chunks, true AS settled FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY source",
 }

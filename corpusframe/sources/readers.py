@@ -71,13 +71,24 @@ def table_to_blocks(rows: DataFrame, order: str, size: int = 40, name: str = "Sh
 
 
 def subtitle_cues(files: DataFrame) -> DataFrame:
-    """Path, cue, start, end (seconds), text of subtitle files."""
-    stamp = r"(\d{2}):(\d{2}):(\d{2})[,.](\d{3})"
-    parts = files.select("path", F.posexplode(F.split(F.regexp_replace("text", r"\r", ""), r"\n{2,}")).alias("cue", "c"))
-    g = lambda i, first: F.regexp_extract("c", stamp + r"\s*-->\s*" + stamp, first + i).try_cast("double")
-    sec = lambda first: g(0, first) * 3600 + g(1, first) * 60 + g(2, first) + g(3, first) / 1000
-    body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("c", r"(?s)^.*?-->[^\n]*\n?", ""), r"<[^>]+>", ""), r"\s+", " "))
-    return parts.select("path", "cue", sec(1).alias("start"), sec(5).alias("end"), body.alias("text")).where("start is not null and text <> ''")
+    """Path, cue, start, end (seconds), text of subtitle files(path, text). A timing line (hours of one or two digits, one to three of
+    milliseconds) opens a cue, a blank line ends one; what follows without a new timing line keeps the last times. Lines of digits
+    alone and those that begin with WEBVTT are no text; tags go. Lines are numbered inside their file, cues are islands between
+    such lines. cue counts a file's cues from 0."""
+    stamp = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    parts = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("i", "line"))
+    g = lambda k: F.regexp_extract("line", stamp + r"\s*-->\s*" + stamp, k).try_cast("double")
+    sec = lambda k: g(k) * 3600 + g(k + 1) * 60 + g(k + 2) + g(k + 3) / 1000
+    parts = parts.select("path", "i", "line", bare(F.col("line")).alias("words"), F.when(sec(1).isNotNull(), F.struct(sec(1).alias("start"), sec(5).alias("end"))).alias("at"))
+    order = W.partitionBy("path").orderBy("i")
+    opens = F.col("at").isNotNull() | (F.col("words") == "")
+    parts = parts.withColumns({"island": F.sum(opens.cast("int")).over(order), "at": F.last("at", True).over(order), "timing": F.col("at").isNotNull()})
+    parts = parts.where(~F.col("timing") & F.col("at").isNotNull() & (F.col("words") != "") & ~F.col("words").rlike(r"^\p{Nd}+$") & ~F.startswith("line", F.lit("WEBVTT")))
+    lists = parts.groupBy("path", "island").agg(F.first("at").alias("at"), F.array_sort(F.collect_list(F.struct("i", "words"))).alias("l"))  # a cue's lines
+    text = bare(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["words"]), " "), "<[^>]+>", ""))
+    cues = lists.select("path", "island", "at.start", "at.end", text.alias("text")).where("text <> ''")
+    return cues.withColumn("cue", F.row_number().over(W.partitionBy("path").orderBy("island")) - 1).select("path", "cue", "start", "end", "text")
 
 
 def subtitle_blocks(cues: DataFrame, least: int = 900) -> DataFrame:
