@@ -188,9 +188,21 @@ def _dealt(k: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatc
     order = np.lexsort([next(iter(rows.values())), k])
     k, rows = k[order], {f: x[order] for f, x in rows.items()}
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, int)
-    for i in range(0, len(begin), 256):
-        bounds = np.append(begin[i : i + 257], len(k)) if i + 256 >= len(begin) else begin[i : i + 257]
-        yield _record(0, k[bounds[:-1]].tolist(), [_packed({f: x[a:b] for f, x in rows.items()}) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+    ends = np.append(begin[1:], len(k))
+    yield from _records(0, k[begin].tolist(), (_packed({f: x[a:b] for f, x in rows.items()}) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)))
+
+
+def _records(kind: int, k: list[int], packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about BATCH_BYTES."""
+    held, first, size = [], 0, 0
+    for x in packed:
+        held.append(x)
+        size += len(x)
+        if size > BATCH_BYTES:
+            yield _record(kind, k[first : first + len(held)], held)
+            held, first, size = [], first + len(held), 0
+    if held:
+        yield _record(kind, k[first:], held)
 
 
 _SPAN_FIELDS = ("id", "th", "begin", "end")
@@ -280,12 +292,8 @@ def _surroundings_of(often, pieces: int):
             k = piece_of(rows["g"], pieces)
             order = np.lexsort([rows["g"], k])
             k, bounds = k[order], np.flatnonzero(np.concatenate([[True], np.diff(k[order]) > 0, [True]]))
-            out = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = order[a:b]
-                out.append(_packed({f: x[own] for f, x in rows.items()}, data[_ranges(begin[own], many[own])].tobytes()))
-            for i in range(0, len(out), 256):
-                yield _record(2, k[bounds[:-1]].tolist()[i : i + 256], out[i : i + 256])
+            pieces_ = [order[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield from _records(2, k[bounds[:-1]].tolist(), (_packed({f: x[own] for f, x in rows.items()}, data[_ranges(begin[own], many[own])].tobytes()) for own in pieces_))
 
         for b in batches:
             id_, th, wanted = column(b, "id").to_numpy(), column(b, "th").to_numpy(), column(b, "wanted")
@@ -514,7 +522,7 @@ class IndexFamily:
         found = self._dealt(suffixes, _scanned(self.often, since, keep), FOUND)
         wanted = found.where("kind = 0").groupBy("id", "th").agg(F.collect_list(F.struct(F.col("a").alias("at"), F.col("b").alias("g"))).alias("wanted"))
         asked = self._with_texts(known, wanted).select("id", "th", "text", "wanted")
-        more = self._dealt(asked.mapInArrow(_surroundings_of(self.often, max(2 * self.tasks, self.pieces // 4)), PACKED), _compared(since), FOUND)
+        more = self._dealt(asked.mapInArrow(_surroundings_of(self.often, self.pieces), PACKED), _compared(since), FOUND)
         spans = found.where("kind = 1").unionByName(more.where("kind = 1")).groupBy("id", "th").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("begin"), F.col("b").cast("int").alias("end"))).alias("spans"))
         out = self._told(rows, stored(spans), docs)
         if keep:
