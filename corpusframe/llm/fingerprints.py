@@ -47,28 +47,54 @@ def weighted(terms: Column) -> Column:
     return F.transform(F.array(F.sort_array(terms)), counted)[0]
 
 
-def sample(term: Column, weight: Column, j: int) -> Column:
-    """The term's score in sample j, as a long in the order of scores: the share of exponential variates that are less, of 2 ** 63."""
-    first = F.shiftrightunsigned(F.xxhash64(term, F.lit(j)), 1)
-    more = F.xxhash64(term, F.lit(j), F.lit(1))
-    part = lambda shift: (F.shiftrightunsigned(more, shift).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * 2.0**-32
-    x, x_ = -F.log1p((first.cast("double") + 0.5) * -(2.0**-63) * (1 - 2.0**-52)), -F.ln(part(0))
-    s, s_ = F.ln((x + x_) / x), -F.ln(part(32))
-    step = F.floor((F.ln(weight) + s_) / (s + s_))
-    score = F.least(-F.expm1(-x * F.exp(-(s + s_) * step)), F.lit(1 - 2.0**-52)) * 2.0**63
-    return F.when(weight == 1, first).when(weight > 0, F.when(step == 0, first).otherwise(score.cast("long")))
+def uniform(term: Column, j: Column | int) -> Column:
+    """63 bits of a term's hash in sample j: an exponential variate x in the order of its share of smaller ones."""
+    return F.shiftrightunsigned(F.xxhash64(term, j if isinstance(j, Column) else F.lit(j)), 1)
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """rows(term, weight, j) with score: the term's score in sample j by its weight, as a long in the order of scores; null where j is negative."""
+    j, f = F.col("j"), lambda c: F.when(F.col("j") >= 0, c)
+    rows = rows.withColumn("first", f(uniform(F.col("term"), j))).withColumn("more", f(F.xxhash64("term", F.bitwise_not(j))))
+    share = lambda bits: F.log1p((bits.cast("double") + 0.5) * -(2.0**-32))
+    rows = rows.withColumn("x", f(-F.log1p((F.col("first").cast("double") + 0.5) * -(2.0**-63) * (1 - 2.0**-52))))
+    rows = rows.withColumn("s", f(F.log1p(-share(F.shiftrightunsigned("more", 32)) / F.col("x")))).withColumn("s2", f(-share(F.col("more").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    rows = rows.withColumn("r", F.col("s") + F.col("s2")).withColumn("step", f(F.floor((F.ln("weight") + F.col("s2")) / F.col("r"))))
+    part = -F.expm1(-F.col("x") * F.exp(-F.col("r") * F.col("step")))
+    score = F.when(F.col("step") == 0, F.col("first")).otherwise((F.least(part, F.lit(1 - 2.0**-52)) * 2.0**63).cast("long"))
+    return rows.withColumn("score", f(score)).drop("first", "more", "x", "s", "s2", "r", "step")
+
+
+#: Samples that one aggregation takes; the code for more would be too large to be compiled.
+TOGETHER = 64
 
 
 def minima(rows: DataFrame, by: list[str], samples: int) -> DataFrame:
-    """by, m0 .. m(samples-1): the least score of every sample over rows(term, weight) of a group; null where it has none."""
+    """by, block, m: the least scores of samples block * TOGETHER on over rows(term, weight) of a group; null where it has none. A term of
+    weight 1 is a row for each block, whose hashes are its scores; one of another weight is a row for each sample."""
+    blocks = -(-samples // TOGETHER)
+    alone = F.when(F.col("weight") == 1, F.array(*[F.lit(-1 - b) for b in range(blocks)])).when(F.col("weight") > 0, F.sequence(F.lit(0), F.lit(samples - 1)))
+    rows = scored(rows.select(*by, "term", "weight", F.explode_outer(F.when(F.col("term").isNotNull(), alone)).alias("j")))
+    rows = rows.withColumn("block", F.when(F.col("j") < 0, -1 - F.col("j")).otherwise(F.shiftright("j", TOGETHER.bit_length() - 1)))
+    at = lambda k: F.shiftleft("block", TOGETHER.bit_length() - 1) + k
     # each sample inside its own aggregate: the generated code is then split into methods small enough to be compiled
-    return rows.groupBy(*by).agg(*[F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("weight"), j))).alias(f"m{j}") for j in range(samples)])
+    least = [F.min(F.when(F.col("j") < 0, uniform(F.col("term"), at(k))).when(F.col("j") == at(k), F.col("score"))).alias(f"m{k}") for k in range(min(samples, TOGETHER))]
+    found = rows.groupBy(*by, "block").agg(*least)
+    return found.select(*by, "block", F.when(F.col("m0").isNotNull(), F.array(*[f"m{k}" for k in range(len(least))])).alias("m"))
+
+
+def joined(samples: int, where: Column | None = None) -> Column:
+    """Aggregate over a group's rows of minima(): all samples as one array, null where there is no term."""
+    own = lambda b: F.col("block") == b if where is None else where & (F.col("block") == b)
+    return F.slice(F.concat(*[F.max(F.when(own(b), F.col("m"))) for b in range(-(-samples // TOGETHER))]), 1, samples)
 
 
 def signatures(weighted: DataFrame, by: list[str], term: str = "term", weight: str = "weight", samples: int = SAMPLES) -> DataFrame:
     """by, m0 .. m(samples-1): the least score of every sample over the weighted terms of a group. Weights are any numbers above 0; terms
     of other or null weights count for nothing, and a group without terms has nulls."""
-    return minima(weighted.select(*by, F.col(term).alias("term"), F.col(weight).cast("double").alias("weight")), by, samples)
+    rows = weighted.select(*by, F.col(term).alias("term"), F.col(weight).cast("double").alias("weight"))
+    found = minima(rows, by, samples).groupBy(*by).agg(joined(samples).alias("m"))
+    return found.select(*by, *[F.get("m", F.lit(j)).alias(f"m{j}") for j in range(samples)])
 
 
 def starts_of_runs(docs: DataFrame, rows_per_run: int) -> list[int]:
@@ -140,10 +166,7 @@ def fingerprinted(docs: DataFrame, samples: int = 16, rows_per_run: int = 1000)
     sides = F.array(*[F.struct(F.lit(k).alias("side"), at.alias("at")) for k, at in enumerate(sides)])
     head = ["run", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
     near = near.select(*head, F.explode(sides).alias("s")).select(*head, "s.side", F.explode_outer("s.at").alias("at")).select(*head, "side", "at.term", "at.weight")
-    found = minima(near, [*head, "side"], samples)
-    found = found.select(*head, "side", F.when(F.col("m0").isNotNull(), F.array(*[f"m{j}" for j in range(samples)])).alias("m"))
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))
-    rows = found.groupBy(*head).agg(of(0).alias("both"), of(1).alias("a"), of(2).alias("b"))
+    rows = minima(near, [*head, "side"], samples).groupBy(*head).agg(*[joined(samples, F.col("side") == k).alias(name) for k, name in enumerate(("both", "a", "b"))])
     code = lambda side: F.transform(F.coalesce(F.zip_with("both", side, lambda x, y: F.least(x, y)), "both", side), lambda m: F.hash(m))
     rows = rows.select(*head, code("a").alias("own"), code("b").alias("edited"))
     follow = F.lead(F.struct("own")).over(W.partitionBy("run").orderBy("row"))
