@@ -179,8 +179,10 @@ def _record(kind: int, k: list[int], packed: list[bytes]) -> pa.RecordBatch:
 
 
 def piece_of(key: np.ndarray, pieces: int) -> np.ndarray:
-    """Which of so many equal ranges of fingerprints a key is in."""
-    return ((key.view(np.uint64) >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+    """Which of so many pieces a key is in. Sampled fingerprints are small ones, as they are the lowest around, so ranges are of a hash of the key."""
+    with np.errstate(over="ignore"):
+        spread = _mixed(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return ((spread >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
 
 
 def _dealt(k: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
