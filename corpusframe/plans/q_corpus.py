@@ -164,8 +164,8 @@ QUERIES = {
 _ELEMENTS = f"{PARAGRAPHS}, elements AS (SELECT doc_id, seq AS elem_no, text, CAST(seq // 3 + 1 AS INT) AS page FROM paragraphs)"
 _MENTIONS = """mentions AS (SELECT src, rel, dst, bool_and(p) AS partial FROM (SELECT 'n' || l_suppkey AS src, CASE l_returnflag WHEN 'A' THEN 'replace' WHEN 'R' THEN 'repeal' ELSE 'amend' END AS rel, 'n' || ((l_partkey * 7 + l_orderkey * 13) % 30011) AS dst, l_quantity > 25 AS p FROM lineitem) GROUP BY ALL),
   curated AS (SELECT 'n' || s_suppkey AS src, 'replace' AS rel, 'n' || (s_suppkey + 1) AS dst FROM supplier WHERE s_acctbal > 9000),
-  e0 AS (SELECT src, rel, dst, 'curated' AS origin, false AS partial FROM curated UNION ALL SELECT src, rel, dst, 'text', partial FROM mentions WHERE src <> dst AND NOT (src < dst AND rel = 'amend') AND (src, rel, dst) NOT IN (SELECT src, rel, dst FROM curated)),
-  edges AS (SELECT * FROM e0 a WHERE NOT (partial AND rel IN ('replace', 'repeal') AND EXISTS (SELECT 1 FROM e0 b WHERE b.src = a.src AND b.dst = a.dst AND NOT b.partial AND b.rel IN ('replace', 'repeal')))),
+  e0 AS (SELECT src, rel, dst, 'curated' AS origin, false AS partial FROM curated UNION ALL SELECT src, rel, dst, 'text', partial FROM (SELECT * FROM mentions ANTI JOIN curated USING (src, rel, dst)) WHERE src <> dst AND NOT (src < dst AND rel = 'amend')),
+  full_ AS (SELECT DISTINCT src, dst FROM e0 WHERE NOT partial AND rel IN ('replace', 'repeal')), edges AS (SELECT e0.* FROM e0 LEFT JOIN full_ USING (src, dst) WHERE NOT (partial AND rel IN ('replace', 'repeal') AND full_.src IS NOT NULL)),
   nodes AS (SELECT 'n' || s_suppkey AS node, DATE '1995-01-01' + CAST(s_nationkey * 150 AS INT) AS issued, CASE WHEN s_acctbal > 5000 THEN DATE '1995-01-01' + CAST(s_nationkey * 150 + 60 AS INT) END AS effective FROM supplier), st AS (SELECT node, coalesce(effective, issued) AS start FROM nodes)"""
 _STATUS = """e AS (SELECT dst AS node, src, rel, partial, start <= DATE '2000-01-01' AS live FROM edges JOIN st ON st.node = src),
   g AS (SELECT node, bool_or(rel <> 'amend' AND NOT partial AND live) AS gone, bool_or(rel <> 'amend' AND NOT partial AND NOT live) AS going, bool_or(partial AND live AND rel <> 'amend') AS parts, bool_or(rel = 'amend' AND live) AS amended FROM e GROUP BY node),
