@@ -46,7 +46,7 @@ def _found_again(s, d):
 def _retained(s, d):
     long, convs = _long(s, d)
     kept = K.retained(long, convs, _blocks(s, d), F.expr(CUT))
-    count = lambda name, rows: rows.agg(F.lit(name).alias("of"), F.count("*").alias("n"), F.min("at").cast("string").alias("since"))
+    count = lambda name, rows: rows.agg(F.lit(name).alias("of"), F.count("*").alias("n"), F.unix_micros(F.min("at").cast("timestamp")).alias("since"))
     return count("turns", kept["turns"]).unionByName(count("conversations", kept["conversations"])).unionByName(count("blocks", kept["blocks"]))
 
 
@@ -100,8 +100,8 @@ ORACLE_SQL = {
       c AS (SELECT ch.path, count(DISTINCT chunk_key) AS n FROM (SELECT unnest(chunk_ids) AS chunk_key, string_split(path, '/')[-1] AS name FROM ledger) JOIN ch USING (name) GROUP BY ch.path),
       r AS (SELECT path, row_number() OVER (PARTITION BY hash ORDER BY path) > 1 AS later FROM catalog) SELECT path, CASE WHEN later THEN 'duplicate' WHEN n IS NULL THEN 'no_text' ELSE 'processed' END AS status, CAST(CASE WHEN later THEN 0 ELSE coalesce(n, 0) END AS INT) AS n FROM r LEFT JOIN c USING (path)""",
     "U12_retained": f"""WITH {TURNS}, k AS (SELECT * FROM turns WHERE "at" >= TIMESTAMP '2024-01-20'), c AS (SELECT client, min("at") AS "at", min("at") FILTER (WHERE "at" >= TIMESTAMP '2024-01-20') AS f FROM turns GROUP BY client)
-      SELECT 'turns' AS "of", count(*) AS n, strftime(min("at"), '%Y-%m-%d %H:%M:%S') AS since FROM k UNION ALL SELECT 'blocks', count(*), strftime(min("at"), '%Y-%m-%d %H:%M:%S') FROM k
-      UNION ALL SELECT 'conversations', count(*), strftime(min(CASE WHEN c."at" < TIMESTAMP '2024-01-20' THEN f ELSE c."at" END), '%Y-%m-%d %H:%M:%S') FROM c WHERE f IS NOT NULL OR c."at" >= TIMESTAMP '2024-01-20'""",
+      SELECT 'turns' AS "of", count(*) AS n, epoch_us(min("at")) AS since FROM k UNION ALL SELECT 'blocks', count(*), epoch_us(min("at")) FROM k
+      UNION ALL SELECT 'conversations', count(*), epoch_us(min(CASE WHEN c."at" < TIMESTAMP '2024-01-20' THEN f ELSE c."at" END)) FROM c WHERE f IS NOT NULL OR c."at" >= TIMESTAMP '2024-01-20'""",
     "G11_answer": f"""WITH {_BM25}, {_MENTIONS}, {_STATUS}, so AS (SELECT query_id, rank, source || '-' || lang AS file, 'n' || (doc_id % 120) AS node, doc_id, text FROM bm JOIN documents USING (doc_id) WHERE rank <= 5),
       tm AS (SELECT source || '-' || lang AS file, count(*) % 3 = 0 AS is_draft, DATE '1999-01-01' + CAST(max(n_chars) AS INT) AS on_ FROM documents GROUP BY 1),
       am AS (SELECT query_id, rank, CAST(doc_id AS VARCHAR) AS about, (SELECT array_to_string(list(w ORDER BY i), ', ') FROM (SELECT w, min(i) AS i FROM (SELECT unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT regexp_extract_all(text, '\\b([0-9A-Za-z_]+ing)\\b', 1) AS x)) GROUP BY w)) AS "by" FROM so),
