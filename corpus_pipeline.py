@@ -25,8 +25,15 @@ def apart(docs: DataFrame, stage) -> DataFrame:
     return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From here on texts pass through Python in Arrow batches of 4 MB at most (one row at least): a task holds a batch on both sides. The setting
+    stays, as a stage's rows are only read when its result is written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model is fitted to the labels of these documents."""
+    short_batches(spark)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return apart(docs, lambda d: toxicity.scored(d, model).where("score < 0.5"))
 
@@ -38,6 +45,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages they share with test items, and without those that are mostly such passages."""
+    short_batches(spark)
 
     def cut(d: DataFrame) -> DataFrame:
         out = decontamination.decontaminated(d, read(spark, sf_dir, "benchmark"))
