@@ -174,7 +174,7 @@ def same_subject(labels: DataFrame, subject: str, grade: int, n: int = 6) -> Dat
     return d.withColumn("turn", turn).orderBy("turn", (F.col("grade") != grade), "level").limit(n).drop("turn")
 
 
-#: Where a phrase may come from, best first.
+#: Where a phrase may come from, best first.
 PHRASES: Mapping[str, str] = {
     "bold": r"\*\*([^*\n]{3,60})\*\*", "bullet": r"(?m)^\s*[-*•]\s+([^:\n]{3,60}):", "quote": r"[\"“]([^\"”\n]{3,60})[\"”]", "proper": r"(?<=[\p{Ll},] )((?:\p{Lu}\p{Ll}+ ){1,3}\p{Lu}\p{Ll}+)",
 }

@@ -11,7 +11,7 @@ from corpusframe.operators import retrieval as R
 from corpusframe.plans.inputs import PARAGRAPHS, QUESTIONS, TURNS, paragraphs, questions, table, turns
 from corpusframe.plans.q_corpus import _MENTIONS, _STATUS, _edges, _legal, _nodes, _status
 from corpusframe.plans.q_corpus import G as graph
-from corpusframe.plans.q_retrieval import _JUDGED, _VOTE, _bm25, _judged, _knn, _query_rows, _vectors
+from corpusframe.plans.q_retrieval import _BM25, _JUDGED, _VOTE, _bm25, _judged, _knn, _query_rows, _vectors
 from corpusframe.plans.q_text import tok
 
 
@@ -111,6 +111,11 @@ ORACLE_SQL = {
     "I5_sweep": f"WITH {_VOTE}, j AS (SELECT predicted, confidence, label FROM pr JOIN embeddings USING (vec_id)) SELECT CAST(t AS DOUBLE) AS threshold, x AS target, count(*) FILTER (WHERE predicted = x AND confidence >= t AND label = x) AS caught, count(*) FILTER (WHERE label = x) AS total, count(*) FILTER (WHERE predicted = x AND confidence >= t AND label <> x) AS wrong FROM j, (SELECT unnest([0.2, 0.3, 0.4]) AS t), (SELECT CAST(unnest([1, 2]) AS INT) AS x) GROUP BY ALL",
     "I9_unseen": "SELECT DISTINCT sha256(text) AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')",
     "L12_route": "SELECT doc_id, CASE WHEN n_chars < 300 THEN 'short' WHEN lang = 'en' THEN 'english' ELSE 'other' END AS folder FROM documents",
+    "R7_recency": f"""WITH {_BM25}, c AS (SELECT query_id, doc_id, source, list_distinct({tok('text')}) AS t FROM bm JOIN documents USING (doc_id)),
+      w AS (SELECT DISTINCT a.query_id, a.doc_id FROM c a JOIN c b ON a.query_id = b.query_id AND a.source <> b.source AND a.doc_id > b.doc_id WHERE len(a.t) > 0 AND len(list_intersect(a.t, b.t)) >= 0.35 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))))
+      SELECT c.query_id, c.doc_id, CASE WHEN w.doc_id IS NULL THEN 0.0 ELSE 0.012 END AS bonus FROM c LEFT JOIN w ON w.query_id = c.query_id AND w.doc_id = c.doc_id""",
+    "R18_records": f"WITH {_BM25} SELECT query_id, CAST(count(*) AS INT) AS n, arg_min(source, rank) AS first FROM bm JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id",
+    "R19_allocate": f"WITH {_BM25}, r AS (SELECT query_id, doc_id, source AS file, rank, dense_rank() OVER (PARTITION BY query_id ORDER BY source) AS f, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS place FROM bm JOIN documents USING (doc_id)), m AS (SELECT *, max(f) OVER (PARTITION BY query_id) AS n FROM r WHERE f <= 4) SELECT query_id, doc_id, file, rank, CAST(place AS INT) AS place FROM m WHERE place <= greatest(2, 4 // n)",
     "L8_queue": "WITH q AS (SELECT d.doc_id AS id, md5(text) AS hash, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT id, status, status = 'pending' AND row_number() OVER (PARTITION BY hash, status ORDER BY id DESC) > 1 AS superseded FROM q",
     "M7_profiles": "SELECT doc_id, (doc_id % 900 + 1) || '/2020/TT-BGDĐT' AS number, 'name' AS origin FROM documents",
     "M11_amended": "SELECT doc_id AS chunk_key, (doc_id % 50 + 1) || '/2025/NĐ-CP' AS by FROM documents UNION ALL SELECT doc_id, (n_chars % 300 + 1) || '/2015/NĐ-CP' FROM documents WHERE doc_id % 5 = 4",
