@@ -189,7 +189,9 @@ def _dealt(k: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatc
     """rows in pieces, in the order of their first column within each."""
     order = np.lexsort([next(iter(rows.values())), k])
     k, rows = k[order], {f: x[order] for f, x in rows.items()}
-    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, int)
+    if not len(k):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     ends = np.append(begin[1:], len(k))
     yield from _records(0, k[begin].tolist(), (_packed({f: x[a:b] for f, x in rows.items()}) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)))
 

@@ -84,6 +84,12 @@ def test_suffix_dedup_of_awkward_tables(spark):
     assert suffix_dedup.IndexFamily(spark).add(df.limit(0), keep=False).count() == 0
 
 
+def test_tasks_without_a_string_to_sample_send_nothing(spark):
+    assert list(suffix_dedup._dealt(np.empty(0, np.int64), {f: np.empty(0, np.int64) for f in suffix_dedup._FIELDS})) == []
+    short = spark.createDataFrame([(i, "x" * i) for i in range(20)], "doc_id long, text string").repartition(4)
+    assert {r[1:3] for r in told(suffix_dedup.IndexFamily(spark).add(short, keep=False)).values()} == {(0, 0)}
+
+
 # --- periodic runs ----------------------------------------------------------------------------------------------------------------
 
 
