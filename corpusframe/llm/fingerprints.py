@@ -1,4 +1,4 @@
-"""Document fingerprints: consistent weighted sampling of word pairs.
+"""Document fingerprints: consistent weighted sampling of word pairs, in DataFrame functions alone.
 
 Terms are pairs of neighbouring words (a lone word where a text has one), weighted by how often they occur. Sample j draws for
 each term r and c, gamma variates of shape 2, and beta, uniform; a term of weight S is at step t = floor(ln S / r + beta) and
@@ -8,138 +8,100 @@ generalised Jaccard similarity, the sum of minima over the sum of maxima of thei
 A gamma variate of shape 2 is the sum of two exponential ones, and the share of one in the sum is uniform and independent of
 it. So r = s + s' and beta = s' / r for exponential s, s', and c = x + x' with exp(-s) = x / c for exponential x, x'. The score
 becomes x exp(-r t): for weight 1, where t is 0, it is x alone, an exponential that grows with a uniform number, and that number
-is compared as it comes from the hash. Only other weights need logarithms.
+is compared as it comes from the hash. Only other weights need logarithms. With u = exp(-s') the step is
+floor(ln(S / u) / r), where exp(-r) = u / (1 + x' / x); it is 0 where S >= u and x' > (S - 1) x.
 
-signatures() takes any weighted terms and is made of DataFrame functions alone. Texts go through Arrow tasks that count their
-pairs and sample them in place, as the same in DataFrame functions took several times the CPU seconds that a text may cost.
+A text and its edited text share most terms, and what both have with one weight is scored once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import read
-from corpusframe.llm.words import SPACE, _mixed, column, slices, words_of
+from corpusframe.llm.common import ascii_lower, read
 
 #: Of the query: a standard error of 0.038 at a similarity of 0.75.
 SAMPLES = 128
 
+#: Terms that one row brings to the aggregation, as a minimum of many costs little more than one of one.
+ABREAST = 8
 
-def uniform(term: Column, j: Column | int) -> Column:
-    """63 bits of a term's hash in sample j: an exponential variate x in the order of its share of smaller ones."""
-    return F.shiftrightunsigned(F.xxhash64(term, j if isinstance(j, Column) else F.lit(j)), 1)
 
+def salts(samples: int) -> list[int]:
+    return [int.from_bytes(hashlib.sha256(b"%d" % j).digest()[:8], "big") >> 1 for j in range(samples)]
 
-def scored(rows: DataFrame) -> DataFrame:
-    """rows(term, weight, j) with score: the term's score in sample j by its weight, as a long in the order of scores; null where j is negative."""
-    j, f = F.col("j"), lambda c: F.when(F.col("j") >= 0, c)
-    rows = rows.withColumn("first", f(uniform(F.col("term"), j))).withColumn("more", f(F.xxhash64("term", F.bitwise_not(j))))
-    share = lambda bits: F.log1p((bits.cast("double") + 0.5) * -(2.0**-32))
-    rows = rows.withColumn("x", f(-F.log1p((F.col("first").cast("double") + 0.5) * -(2.0**-63) * (1 - 2.0**-52))))
-    rows = rows.withColumn("s", f(F.log1p(-share(F.shiftrightunsigned("more", 32)) / F.col("x")))).withColumn("s2", f(-share(F.col("more").bitwiseAND(F.lit(0xFFFFFFFF)))))
-    rows = rows.withColumn("r", F.col("s") + F.col("s2")).withColumn("step", f(F.floor((F.ln("weight") + F.col("s2")) / F.col("r"))))
-    part = -F.expm1(-F.col("x") * F.exp(-F.col("r") * F.col("step")))
-    score = F.when(F.col("step") == 0, F.col("first")).otherwise((F.least(part, F.lit(1 - 2.0**-52)) * 2.0**63).cast("long"))
-    return rows.withColumn("score", f(score)).drop("first", "more", "x", "s", "s2", "r", "step")
 
+def uniform(h: Column) -> Column:
+    """62 bits of a term's hash in a sample: the score of a term of weight 1, in the order of the share of smaller ones; least hashes come first."""
+    return F.shiftright(h, 2) + F.lit(2**61)
 
-#: Samples that one aggregation takes; the code for more would be too large to be compiled.
-TOGETHER = 64
 
+def scores(weighted: Column, samples: int) -> Column:
+    """The least scores of an array of (term, weight) in every sample, as longs in the order of scores; null for weights that are not above 0."""
+    share = lambda bits: (bits.cast("double") + 0.5) * 2.0**-32
 
-def minima(rows: DataFrame, by: list[str], samples: int) -> DataFrame:
-    """by, block, m: the least scores of samples block * TOGETHER on over rows(term, weight) of a group; null where it has none. A term of
-    weight 1 is a row for each block, whose hashes are its scores; one of another weight is a row for each sample."""
-    blocks = -(-samples // TOGETHER)
-    alone = F.when(F.col("weight") == 1, F.array(*[F.lit(-1 - b) for b in range(blocks)])).when(F.col("weight") > 0, F.sequence(F.lit(0), F.lit(samples - 1)))
-    rows = scored(rows.select(*by, "term", "weight", F.explode_outer(F.when(F.col("term").isNotNull(), alone)).alias("j")))
-    rows = rows.withColumn("block", F.when(F.col("j") < 0, -1 - F.col("j")).otherwise(F.shiftright("j", TOGETHER.bit_length() - 1)))
-    at = lambda k: F.shiftleft("block", TOGETHER.bit_length() - 1) + k
-    # each sample inside its own aggregate: the generated code is then split into methods small enough to be compiled
-    least = [F.min(F.when(F.col("j") < 0, uniform(F.col("term"), at(k))).when(F.col("j") == at(k), F.col("score"))).alias(f"m{k}") for k in range(min(samples, TOGETHER))]
-    found = rows.groupBy(*by, "block").agg(*least)
-    return found.select(*by, "block", F.when(F.col("m0").isNotNull(), F.array(*[f"m{k}" for k in range(len(least))])).alias("m"))
+    def drawn(s: Column) -> Column:
+        x = -F.log1p((s["first"].cast("double") + 0.5) * -(2.0**-62) * (1 - 2.0**-52))
+        return F.struct(s["first"], s["weight"], x.alias("x"), (-F.log1p(-share(F.shiftrightunsigned(s["more"], 32)))).alias("x2"), share(s["more"].bitwiseAND(F.lit(0xFFFFFFFF))).alias("u"))
+
+    def score(s: Column) -> Column:
+        x, u, weight = s["x"], s["u"], s["weight"]
+        shrink = u / (s["x2"] / x + 1.0)
+        y = x * F.pow(shrink, F.floor(F.ln(weight / u) / -F.ln(shrink)))
+        part = (F.least(-F.expm1(-y), F.lit(1 - 2.0**-52)) * 2.0**62).cast("long")
+        # weights below 1 score up to any height, where the share of smaller scores is 1 to the last bit: they go on by their logarithm
+        above = F.when(y < 30.0, part).otherwise((F.least(F.ln(y), F.lit(4000.0)) * 2.0**50).cast("long") + F.lit(2**62))
+        return F.when((weight >= u) & (s["x2"] > (weight - 1.0) * x), s["first"]).when(weight >= u, part).when(weight > 0, above)
+
+    def least(salt: Column) -> Column:
+        hashes = lambda t: F.struct(t["weight"].alias("weight"), uniform(F.xxhash64(t["term"].bitwiseXOR(salt))).alias("first"), F.xxhash64(t["term"].bitwiseXOR(F.bitwise_not(salt))).alias("more"))
+        return F.array_min(F.transform(F.transform(F.transform(weighted, hashes), drawn), score))
+
+    return F.transform(F.lit(salts(samples)), least)
 
 
-def joined(samples: int, where: Column | None = None) -> Column:
-    """Aggregate over a group's rows of minima(): all samples as one array, null where there is no term."""
-    own = lambda b: F.col("block") == b if where is None else where & (F.col("block") == b)
-    return F.slice(F.concat(*[F.max(F.when(own(b), F.col("m"))) for b in range(-(-samples // TOGETHER))]), 1, samples)
+def minima(rows: DataFrame, by: list[str], terms: list[str], samples: int) -> DataFrame:
+    """by, m: an array of the least scores of every sample over a group's rows, null where it has none. A row has terms of weight 1, or
+    where ws is not null an array of scores, which may be empty."""
+    # each sample inside its own aggregate: the generated code is then split into methods small enough to be compiled
+    def of(j: int, salt: int) -> Column:
+        own = [f"xxhash64({t} ^ {salt}L)" for t in terms]
+        return F.when(F.col("ws").isNull(), uniform(F.expr(f"least({', '.join(own)})" if len(own) > 1 else own[0]))).otherwise(F.get("ws", F.lit(j)))
+
+    found = rows.groupBy(*by).agg(*[F.min(of(j, salt)).alias(f"m{j}") for j, salt in enumerate(salts(samples))])
+    return found.select(*by, F.when(F.col("m0").isNotNull(), F.array(*[f"m{j}" for j in range(samples)])).alias("m"))
 
 
 def signatures(weighted: DataFrame, by: list[str], term: str = "term", weight: str = "weight", samples: int = SAMPLES) -> DataFrame:
     """by, m0 .. m(samples-1): the least score of every sample over the weighted terms of a group. Weights are any numbers above 0; terms
     of other or null weights count for nothing, and a group without terms has nulls."""
     rows = weighted.select(*by, F.col(term).alias("term"), F.col(weight).cast("double").alias("weight"))
-    found = minima(rows, by, samples).groupBy(*by).agg(joined(samples).alias("m"))
+    none = F.array().cast("array<bigint>")
+    ws = F.when(F.col("term").isNull() | F.col("weight").isNull(), none).when(F.col("weight") != 1, scores(F.array(F.struct("term", "weight")), samples))
+    found = minima(rows.select(*by, "term", ws.alias("ws")), by, ["term"], samples)
     return found.select(*by, *[F.get("m", F.lit(j)).alias(f"m{j}") for j in range(samples)])
 
 
-def weighted_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) of the distinct pairs of neighbouring words of a slice's texts, by row; of a single word where a text has one."""
-    w = words_of(texts, SPACE)
-    with np.errstate(over="ignore"):
-        pair = _mixed(w.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + w.hash[1:])
-    inside = w.row[:-1] == w.row[1:]
-    alone = w.first[:-1][np.diff(w.first) == 1]
-    row, term = np.concatenate([w.row[:-1][inside], w.row[alone]]), np.concatenate([pair[inside], w.hash[alone]])
-    order = np.lexsort([term, row])
-    row, term = row[order], term[order]
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])])) if len(row) else np.empty(0, int)
-    return row[new], term[new], np.diff(np.append(new, len(row)))
-
-
-def least_scores(term: np.ndarray, weight: np.ndarray, begin: np.ndarray, samples: int) -> np.ndarray:
-    """32 bits for each sample and each group of terms that begins there: a hash of the least score of scored(), for terms of one slice."""
-    out = np.empty((samples, len(begin)), np.uint32)
-    other = np.flatnonzero(weight != 1)
-    log_weight = np.log(weight[other])
-    share = lambda h: np.log1p((h.astype(np.float64) + 0.5) * -(2.0**-32))
-    with np.errstate(over="ignore"):
-        for j in range(samples):
-            salted = term + np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-            score = _mixed(salted) >> np.uint64(1)
-            if len(other):
-                first, more = score[other], _mixed(salted[other] ^ np.uint64(0x5851F42D4C957F2D))
-                x = -np.log1p((first.astype(np.float64) + 0.5) * -(2.0**-63) * (1 - 2.0**-52))
-                s, s2 = np.log1p(-share(more >> np.uint64(32)) / x), -share(more & np.uint64(0xFFFFFFFF))
-                step = np.floor((log_weight + s2) / (s + s2))
-                later = np.minimum(-np.expm1(-x * np.exp(-(s + s2) * step)), 1 - 2.0**-52) * 2.0**63
-                score[other] = np.where(step == 0, first, later.astype(np.uint64))
-            out[j] = _mixed(np.minimum.reduceat(score, begin)) >> np.uint64(32)
-    return out
-
-
-def _sampled(samples: int):
-    """Arrow batches with text and edited -> the same with their samples in their places, null for a text without terms."""
-
-    def of(texts: pa.Array) -> pa.Array:
-        offsets, values, missing = [np.zeros(1, np.int64)], [], []
-        for _, part in slices(texts):
-            row, term, count = weighted_terms(part)
-            begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
-            found = least_scores(term, count.astype(np.float64), begin, samples).T if len(begin) else np.empty((0, samples), np.uint32)
-            has = np.zeros(len(part), bool)
-            has[row[begin]] = True
-            missing.append(~has)
-            values.append(np.ascontiguousarray(found).ravel().view(np.int32))
-            offsets.append(offsets[-1][-1] + np.cumsum(has * samples))
-        if not values:
-            return pa.array([], pa.list_(pa.int32()))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(values)), mask=pa.array(np.concatenate(missing)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = ["run", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in head), of(column(b, "text")), of(column(b, "edited"))], [*head, "own", "edited"])
-
-    return run
+def with_terms(docs: DataFrame, text: str, once: str, often: str) -> DataFrame:
+    """docs with two columns in place of text: its terms of weight 1, sorted, as an array of longs, and its others as one of (term, weight).
+
+    Each step is a column of its own, as what a lambda looks up is otherwise worked out anew for every element.
+    """
+    rest = [c for c in docs.columns if c != text]
+    docs = docs.select(*rest, F.array_remove(F.split(ascii_lower(F.col(text)), r"[\x20\x09-\x0D]+"), "").alias("_w"))
+    pairs = F.transform("_w", lambda x, i: F.xxhash64(x, F.get("_w", i + 1)))  # the last word's is cut off, unless it is alone
+    docs = docs.select(*rest, F.sort_array(F.slice(pairs, 1, F.greatest(F.size("_w") - 1, F.lit(1)))).alias("_t"))
+    at = lambda c, i: F.get(F.col(c), i)
+    again = lambda x, i: F.coalesce((at("_t", i + 1) == x) | (at("_t", i - 1) == x), at("_t", i + 1) == x, at("_t", i - 1) == x, F.lit(False))
+    docs = docs.select(*rest, F.filter("_t", lambda x, i: ~again(x, i)).alias(once), F.filter("_t", again).alias("_t"))
+    begin = F.filter(F.transform("_t", lambda x, i: i), lambda i: F.coalesce(at("_t", i) != at("_t", i - 1), F.lit(True)))
+    docs = docs.select(*rest, once, "_t", begin.alias("_b"))
+    counted = F.transform("_b", lambda b, i: F.struct(at("_t", b).alias("term"), (F.coalesce(at("_b", i + 1), F.size("_t")) - b).cast("double").alias("weight")))
+    return docs.select(*rest, once, counted.alias(often))
 
 
 def starts_of_runs(docs: DataFrame, rows_per_run: int) -> list[int]:
@@ -198,9 +160,21 @@ def fingerprinted(docs: DataFrame, samples: int = 16, rows_per_run: int = 1000)
     n, follow = F.char_length("text"), F.coalesce("next_text", "text")
     cut = F.floor(n / 4).cast("int")
     near = near.select("run", "row", "guest", "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring(follow, F.lit(1), cut)).alias("edited"))
-    kind = near.schema["doc_id"].dataType.simpleString()
-    near = near.select("run", "row", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-    rows = near.mapInArrow(_sampled(samples), f"run int, row int, guest boolean, doc_id {kind}, n_chars long, edited_sha256 string, own array<int>, edited array<int>")
+    head = ["run", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
+    near = near.select(*head[:-1], F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    near = with_terms(with_terms(near, "text", "a", "wa"), "edited", "b", "wb")
+    none = F.array().cast("array<bigint>")
+    sides = [(0, F.array_intersect("a", "b"), None), (1, F.array_except("a", "b"), None), (2, F.array_except("b", "a"), None), (1, none, "wa"), (2, none, "wb")]
+    scored = lambda w: F.when(F.size(w) > 0, scores(F.col(w), samples)).otherwise(none) if w else F.lit(None).cast("array<bigint>")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), at.alias("at"), scored(w).alias("ws")) for side, at, w in sides])
+    rows = near.select(*head, F.explode(sides).alias("s")).select(*head, "s.side", "s.at", F.when(F.size("s.at") > 0, F.col("s.ws")).otherwise(F.coalesce("s.ws", none)).alias("ws"))
+    rows = rows.select(*head, "side", "at", "ws", F.explode(F.sequence(F.lit(0), F.greatest(F.size("at") - 1, F.lit(0)), F.lit(ABREAST))).alias("k"))
+    terms = [f"t{i}" for i in range(ABREAST)]
+    rows = rows.select(*head, "side", "ws", *[F.coalesce(F.get("at", F.col("k") + i), F.get("at", "k")).alias(t) for i, t in enumerate(terms)])
+    only = [F.max(F.when(F.col("side") == k, F.col("m"))).alias(name) for k, name in enumerate(("both", "a", "b"))]
+    rows = minima(rows, [*head, "side"], terms, samples).groupBy(*head).agg(*only)
+    code = lambda side: F.transform(F.coalesce(F.zip_with("both", side, lambda x, y: F.least(x, y)), "both", side), lambda m: F.hash(m))
+    rows = rows.select(*head, code("a").alias("own"), code("b").alias("edited"))
     follow = F.lead(F.struct("own")).over(W.partitionBy("run").orderBy("row"))
     rows = rows.withColumn("next", F.coalesce(follow, F.struct("own"))["own"]).where(~F.col("guest"))
 

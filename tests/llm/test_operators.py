@@ -117,6 +117,26 @@ def test_fractional_weights_collide_as_generalised_jaccard_says(spark):
         assert abs(found - expected) < 4 * (expected * (1 - expected) / (64 * pairs)) ** 0.5, (n, found, expected)
 
 
+def test_weights_far_below_one_score_apart(spark):
+    rows = [(f"{side}{p}", f"{side}{p}" if p % 2 else str(p), 1e-6) for p in range(20) for side in "ab"]  # every second pair shares its term
+    s = {r[0]: r[1:] for r in fingerprints.signatures(spark.createDataFrame(rows, "k string, term string, weight double").selectExpr("k", "xxhash64(term) term", "weight"), ["k"], samples=16).collect()}
+    assert all(sum(x == y for x, y in zip(s[f"a{p}"], s[f"b{p}"], strict=True)) == (0 if p % 2 else 16) for p in range(20))
+
+
+def test_the_query_runs_no_python_on_executors(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a b c"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = fingerprints.op2_fingerprints(spark, str(tmp_path))
+    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+    assert [r.near_edited > 0 for r in df.orderBy("doc_id").collect()] == [True, True]
+
+
+def test_pairs_and_their_counts(spark):
+    rows = [("A b\ta B c",), (" one ",), ("",), ("x x x x",)]
+    got = fingerprints.with_terms(spark.createDataFrame(rows, "text string").withColumn("t", F.col("text")), "t", "once", "often").collect()
+    pair = lambda *w: spark.range(1).select(F.xxhash64(*[F.lit(x) for x in w])).first()[0]
+    assert [(sorted(r.once), sorted((o.term, o.weight) for o in r.often)) for r in got] == [(sorted([pair("b", "a"), pair("b", "c")]), [(pair("a", "b"), 2.0)]), ([pair("one")], []), ([], []), ([], [(pair("x", "x"), 3.0)])]
+
+
 def test_query_likeness_follows_generalised_jaccard(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = [" ".join(f"w{k}" for k in rng.integers(0, 40 if i % 2 else 3000, 240)) for i in range(60)]
