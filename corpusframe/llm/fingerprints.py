@@ -30,6 +30,9 @@ SAMPLES = 128
 #: Terms that one row brings to the aggregation, as a minimum of many costs little more than one of one.
 ABREAST = 8
 
+#: Weighted terms of a text that ride along until its others have been sampled; more are scored beforehand.
+FEW = 1000
+
 
 def salts(samples: int) -> list[int]:
     return [int.from_bytes(hashlib.sha256(b"%d" % j).digest()[:8], "big") >> 1 for j in range(samples)]
@@ -40,8 +43,11 @@ def uniform(h: Column) -> Column:
     return F.shiftright(h, 2) + F.lit(2**61)
 
 
-def scores(weighted: Column, samples: int) -> Column:
-    """The least scores of an array of (term, weight) in every sample, as longs in the order of scores; null for weights that are not above 0."""
+def scores(weighted: Column, samples: int, found: Column | None = None) -> Column:
+    """The least scores of an array of (term, weight) in every sample, as longs in the order of scores; null for weights that are not above 0.
+    With those found for other terms, a column, the least of all; weights have to be 2 at least then, and terms that cannot win are left out."""
+    first_of = lambda t, salt: uniform(F.xxhash64(t["term"].bitwiseXOR(salt)))
+    more_of = lambda t, salt: F.xxhash64(t["term"].bitwiseXOR(F.bitwise_not(salt)))
     share = lambda bits: (bits.cast("double") + 0.5) * 2.0**-32
 
     def drawn(s: Column) -> Column:
@@ -57,11 +63,19 @@ def scores(weighted: Column, samples: int) -> Column:
         above = F.when(y < 30.0, part).otherwise((F.least(F.ln(y), F.lit(4000.0)) * 2.0**50).cast("long") + F.lit(2**62))
         return F.when((weight >= u) & (s["x2"] > (weight - 1.0) * x), s["first"]).when(weight >= u, part).when(weight > 0, above)
 
-    def least(salt: Column) -> Column:
-        hashes = lambda t: F.struct(t["weight"].alias("weight"), uniform(F.xxhash64(t["term"].bitwiseXOR(salt))).alias("first"), F.xxhash64(t["term"].bitwiseXOR(F.bitwise_not(salt))).alias("more"))
-        return F.array_min(F.transform(F.transform(F.transform(weighted, hashes), drawn), score))
+    def least(salt: Column, own: Column) -> Column:
+        hashes = lambda t: F.struct(t["weight"].cast("double").alias("weight"), first_of(t, salt).alias("first"), more_of(t, salt).alias("more"))
+        return F.array_min(F.transform(F.transform(F.transform(own, hashes), drawn), score))
+
+    def lower(salt: Column, known: Column) -> Column:
+        # u / S is the least that exp(-r t) can be and x is more than its share p, so a score's share is over 3/4 p u / S
+        wins = lambda t: known.isNull() | (first_of(t, salt).cast("double") * share(more_of(t, salt).bitwiseAND(F.lit(0xFFFFFFFF))) * 0.75 <= known.cast("double") * t["weight"])
+        return F.least(known, least(salt, F.filter(weighted, wins)))
 
-    return F.transform(F.lit(salts(samples)), least)
+    if found is None:
+        return F.transform(F.lit(salts(samples)), lambda salt: least(salt, weighted))
+    none = F.array_repeat(F.lit(None).cast("long"), samples)
+    return F.when(F.size(weighted) > 0, F.zip_with(F.lit(salts(samples)), F.coalesce(found, none), lower)).otherwise(found)
 
 
 def minima(rows: DataFrame, by: list[str], terms: list[str], samples: int) -> DataFrame:
@@ -100,7 +114,7 @@ def with_terms(docs: DataFrame, text: str, once: str, often: str) -> DataFrame:
     docs = docs.select(*rest, F.filter("_t", lambda x, i: ~again(x, i)).alias(once), F.filter("_t", again).alias("_t"))
     begin = F.filter(F.transform("_t", lambda x, i: i), lambda i: F.coalesce(at("_t", i) != at("_t", i - 1), F.lit(True)))
     docs = docs.select(*rest, once, "_t", begin.alias("_b"))
-    counted = F.transform("_b", lambda b, i: F.struct(at("_t", b).alias("term"), (F.coalesce(at("_b", i + 1), F.size("_t")) - b).cast("double").alias("weight")))
+    counted = F.transform("_b", lambda b, i: F.struct(at("_t", b).alias("term"), (F.coalesce(at("_b", i + 1), F.size("_t")) - b).cast("long").alias("weight")))
     return docs.select(*rest, once, counted.alias(often))
 
 
@@ -163,18 +177,25 @@ def fingerprinted(docs: DataFrame, samples: int = 16, rows_per_run: int = 1000)
     head = ["run", "row", "guest", "doc_id", "n_chars", "edited_sha256"]
     near = near.select(*head[:-1], F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
     near = with_terms(with_terms(near, "text", "a", "wa"), "edited", "b", "wb")
+    # a few weighted terms wait for the scores of the others, as most of them cannot win then
+    few = lambda w: F.when(F.size(w) <= FEW, F.col(w)).otherwise(F.slice(w, 1, 0))
+    near = near.select(*head, "a", "b", few("wa").alias("fa"), few("wb").alias("fb"), F.when(F.size("wa") > FEW, F.col("wa")).alias("wa"), F.when(F.size("wb") > FEW, F.col("wb")).alias("wb"))
+    head += ["fa", "fb"]
     none = F.array().cast("array<bigint>")
     sides = [(0, F.array_intersect("a", "b"), None), (1, F.array_except("a", "b"), None), (2, F.array_except("b", "a"), None), (1, none, "wa"), (2, none, "wb")]
-    scored = lambda w: F.when(F.size(w) > 0, scores(F.col(w), samples)).otherwise(none) if w else F.lit(None).cast("array<bigint>")
+    scored = lambda w: F.when(F.col(w).isNotNull(), scores(F.col(w), samples)).otherwise(none) if w else F.lit(None).cast("array<bigint>")
     sides = F.array(*[F.struct(F.lit(side).alias("side"), at.alias("at"), scored(w).alias("ws")) for side, at, w in sides])
-    rows = near.select(*head, F.explode(sides).alias("s")).select(*head, "s.side", "s.at", F.when(F.size("s.at") > 0, F.col("s.ws")).otherwise(F.coalesce("s.ws", none)).alias("ws"))
+    rows = near.select(*head, F.explode(sides).alias("s")).where((F.col("s.side") == 0) | (F.size("s.at") > 0) | (F.size("s.ws") > 0))
+    rows = rows.select(*head, "s.side", "s.at", F.when(F.size("s.at") > 0, F.col("s.ws")).otherwise(F.coalesce("s.ws", none)).alias("ws"))
     rows = rows.select(*head, "side", "at", "ws", F.explode(F.sequence(F.lit(0), F.greatest(F.size("at") - 1, F.lit(0)), F.lit(ABREAST))).alias("k"))
     terms = [f"t{i}" for i in range(ABREAST)]
     rows = rows.select(*head, "side", "ws", *[F.coalesce(F.get("at", F.col("k") + i), F.get("at", "k")).alias(t) for i, t in enumerate(terms)])
     only = [F.max(F.when(F.col("side") == k, F.col("m"))).alias(name) for k, name in enumerate(("both", "a", "b"))]
     rows = minima(rows, [*head, "side"], terms, samples).groupBy(*head).agg(*only)
-    code = lambda side: F.transform(F.coalesce(F.zip_with("both", side, lambda x, y: F.least(x, y)), "both", side), lambda m: F.hash(m))
-    rows = rows.select(*head, code("a").alias("own"), code("b").alias("edited"))
+    once = lambda side: F.coalesce(F.zip_with("both", side, lambda x, y: F.least(x, y)), "both", side)
+    rows = rows.select(*head, once("a").alias("a"), once("b").alias("b"))
+    code = lambda m, w: F.transform(scores(F.col(w), samples, F.col(m)), lambda x: F.hash(x))
+    rows = rows.select(*head[:-2], code("a", "fa").alias("own"), code("b", "fb").alias("edited"))
     follow = F.lead(F.struct("own")).over(W.partitionBy("run").orderBy("row"))
     rows = rows.withColumn("next", F.coalesce(follow, F.struct("own"))["own"]).where(~F.col("guest"))
 
