@@ -22,10 +22,13 @@ def build_edges(mentions: DataFrame, curated: DataFrame, suppressed: DataFrame)
 
 
 def resolve_names(citations: DataFrame, laws: DataFrame) -> DataFrame:
-    """citations(cite_id, name, year) to the latest law(name, year, number) of the name that is not after the year; else the latest."""
-    j = citations.join(laws.select("name", F.col("year").alias("ly"), "number"), "name")
-    pick = F.max_by("number", F.struct(F.col("ly") <= F.col("year"), "ly", "number"))
-    return j.groupBy("cite_id").agg(pick.alias("number"))
+    """citations(cite_id, name, year) to the latest law(name, year, number) of the name that is not after the year; else the latest. A name's
+    laws are one row, of each year the highest number, so a citation meets as many as its name has years."""
+    each = laws.where("name is not null").groupBy("name", F.col("year").alias("ly")).agg(F.max("number").alias("number"))
+    of = each.groupBy("name").agg(F.collect_list(F.struct("ly", "number")).alias("laws"))  # a name's years
+    best = F.array_max(F.transform("laws", lambda x: F.struct((x["ly"] <= F.col("year")).alias("in_time"), x["ly"].alias("ly"), x["number"].alias("number"))))
+    picked = citations.join(of, "name").select("cite_id", best.alias("best")).repartition("cite_id")  # dealt first, so rows are sorted once, a part each
+    return picked.groupBy("cite_id").agg(F.max("best").alias("best")).select("cite_id", "best.number")
 
 
 def starts(nodes: DataFrame) -> DataFrame:
