@@ -141,9 +141,9 @@ def allocate(runs: DataFrame, files: int = 4, total: int = 4) -> DataFrame:
 def within_document(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     """The best passages of each question's own document, by the statistics of that document alone; without a hit a sample spread over it."""
     asked = questions.select("query_id", "doc_id").distinct()
-    own = asked.join(chunks.select("chunk_key", "doc_id"), "doc_id").select("query_id", "chunk_key")
-    hits = bm25_within(questions, chunks, "chunk_key", "doc_id", k).select("query_id", "chunk_key", F.col("rank").alias("place"))
-    rest = spread_sample(own.join(hits.select("query_id").distinct(), "query_id", "left_anti"), "query_id", "chunk_key", k)
+    hits = bm25_within(questions, chunks, "chunk_key", "doc_id", k).select("query_id", "chunk_key", F.col("rank").alias("place")).persist()  # k rows a question
+    rest = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").join(chunks.select("chunk_key", "doc_id"), "doc_id")
+    rest = spread_sample(rest.select("query_id", "chunk_key"), "query_id", "chunk_key", k)
     return hits.unionByName(rest.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_key"))))
 
 

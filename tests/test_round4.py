@@ -71,3 +71,24 @@ def test_keys_of_ranked_turns_match_as_lower_case_does(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = q_rules.QUERIES["E2_ranks"](spark, str(tmp_path)).collect()
     assert {r.conv_id: r.ranks for r in got} == {1: "1", 2: "1", 3: "1"}  # the key of the last turn with a text: "roße", " plan", "ne"
+
+
+def test_ranking_inside_groups_exchanges_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CELL_BLOCK", 16)
+    rnd = random.Random(5)
+    words = "sun wind water plan school solar roof land thông tư of".split()
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    chunks = [(f"c{i:03}", "abcd"[i % 4] if i % 9 else None, line(i % 13)) for i in range(200)] + [("n", "a", None), ("e", "x", line(5))]
+    asked = [(i, "abz"[i % 3] if i % 7 else None, line(6)) for i in range(24)]
+    schema = "chunk_key string, doc_id string, text string"
+    got = retrieval.bm25_within(spark.createDataFrame(asked, "query_id int, doc_id string, text string"), spark.createDataFrame(chunks, schema), "chunk_key", "doc_id", 5)
+    cut = {r.chunk_key: r.t for r in spark.createDataFrame(chunks, schema).select("chunk_key", T.tokens_expanded("text").alias("t")).collect()}
+    terms = {r.query_id: r.t for r in spark.createDataFrame(asked, "query_id int, doc_id string, text string").select("query_id", T.tokens_expanded("text").alias("t")).collect()}
+    want = set()
+    for q, g, _ in asked:
+        own = [c for c, x, _ in chunks if x == g and g is not None]
+        score = [round(s, 6) for s in own_bm25([cut[c] for c in own], terms[q])] if own else []
+        want |= {(q, g, c, s, r) for r, (s, c) in enumerate(sorted((-s, c) for s, c in zip(score, own) if s > 0)[:5], 1)}
+    assert {(r.query_id, r.doc_id, r.chunk_key, -r.score, r["rank"]) for r in got.collect()} == want and len(want) > 50
+    assert max(made(got, "Join"), default=0) <= len(chunks)
