@@ -104,12 +104,12 @@ def files_passages(asked: DataFrame, chunks: DataFrame, summary: bool = False, f
     each = F.greatest(F.lit(3), F.floor(F.lit(budget) / F.col("__n"))) if summary else F.greatest(F.lit(2), F.floor(F.lit(total) / F.col("__n")))
     first = first.withColumn("__each", each.cast("int"))
     most = max(3, budget) if summary else max(2, total)
-    rows = first.select("__id", "file", "__each").join(chunks.select("file", "chunk_key"), "file")
-    hits = None
+    rest, hits = first.select("__id", "file", "__each"), None
     if not summary:
         scored = bm25_within(first.select(F.col("__id").alias("query_id"), "file", "text"), chunks.select("chunk_key", "file", "text"), "chunk_key", "file", most)
-        hits = scored.select(F.col("query_id").alias("__id"), "chunk_key", "rank").join(first.select("__id", "__each"), "__id").where(F.col("rank") <= F.col("__each")).select("__id", "chunk_key", F.col("rank").alias("place"))
-        rows = rows.join(hits.select("__id").distinct(), "__id", "left_anti")
+        hits = scored.select(F.col("query_id").alias("__id"), "chunk_key", "rank").join(first.select("__id", "__each"), "__id").where(F.col("rank") <= F.col("__each")).select("__id", "chunk_key", F.col("rank").alias("place")).persist()  # most rows a file that is asked
+        rest = rest.join(hits.select("__id").distinct(), "__id", "left_anti")
+    rows = rest.join(chunks.select("file", "chunk_key"), "file")
     # the sizes that samples may have are few: one sample for each of them
     spread = None
     for k in sorted({max(3, budget // n) if summary else max(2, total // n) for n in range(1, files + 1)}):

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
-from corpusframe.operators import graph, retrieval
+from corpusframe.operators import graph, retrieval, upkeep
 from corpusframe.plans import q_rules
 from tests.test_search import own_bm25
 
@@ -92,3 +92,15 @@ def test_ranking_inside_groups_exchanges_no_postings(spark, monkeypatch):
         want |= {(q, g, c, s, r) for r, (s, c) in enumerate(sorted((-s, c) for s, c in zip(score, own) if s > 0)[:5], 1)}
     assert {(r.query_id, r.doc_id, r.chunk_key, -r.score, r["rank"]) for r in got.collect()} == want and len(want) > 50
     assert max(made(got, "Join"), default=0) <= len(chunks)
+
+
+def test_files_with_hits_are_not_spread(spark):
+    word = lambda i: "x" + "".join(chr(97 + int(c)) for c in f"{i:03}")
+    chunks = spark.createDataFrame([(i, f"f{i % 3}", f"sun wind {word(i)}" if i % 3 < 2 else "water") for i in range(300)], "chunk_key long, file string, text string")
+    asked = spark.createDataFrame([(q, f"sun wind {word(3 * q)} {word(3 * q + 1)}", f"f{p}", p) for q in range(30) for p in range(3)], "query_id long, text string, file string, pos int")
+    got = upkeep.files_passages(asked, chunks)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.query_id, r.file), []).append((r.place, r.chunk_key))
+    assert all(sorted(found[q, f"f{p}"]) == [(1, 3 * q + p), (2, p if q else p + 3)] for q in range(30) for p in (0, 1)) and all(len(found[q, "f2"]) == 2 for q in range(30))
+    assert max(made(got, "Join")) <= 30 * 100  # the third file's chunks for those that have no hit there, not every file's
