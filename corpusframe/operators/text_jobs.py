@@ -40,19 +40,37 @@ SCRIPTS = (
 
 
 def detect_language(text: str = "text") -> Column:
-    """The script decides where it can; else the language most of whose frequent words occur. No word, or a tie with English, is English."""
+    """The script decides where it can; else the language most of whose frequent words occur. No word, or a tie with English, is English.
+
+    Scripts have no letter below U+0100 and telling letters none below U+0080, so both are looked for among a text's other letters
+    alone; words are cut once, and the lists meet only those that stand in some list."""
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
-    words = F.array_distinct(F.regexp_extract_all(T.fold_accents(low), F.lit("[a-z]+"), F.lit(0)))
-    extra = {lang: F.when(low.rlike(letters), 2).otherwise(0) for letters, lang in TELLING_LETTERS}
-    score = {lang: F.size(F.array_intersect(words, F.lit(own.split()))) + extra.get(lang, F.lit(0)) for lang, own in FREQUENT_WORDS.items()}
-    scores = F.array(*score.values())
-    best = F.array_position(scores, F.array_max(scores)).cast("int")  # the first of the highest
-    vote = F.when(F.array_max(scores) == scores[0], "en").otherwise(F.element_at(F.lit(list(score)), best))
-    out = None
-    for pattern, lang in SCRIPTS:
-        out = (F if out is None else out).when(t.rlike(pattern), lang)
-    return out.otherwise(vote)
+    odd = F.regexp_replace(low, r"[\x00-\x7F]+", "")
+
+    def telling(letters: Column) -> Column:
+        return F.array(*[F.when(letters.rlike(own), 2).otherwise(0) for own, _ in TELLING_LETTERS])
+
+    every = F.lit(sorted({w for own in FREQUENT_WORDS.values() for w in own.split()}))
+    words = F.array_intersect(F.regexp_extract_all(F.when(odd == "", low).otherwise(T.fold_accents(low)), F.lit("[a-z]+"), F.lit(0)), every)
+    extra = {lang: i for i, (_, lang) in enumerate(TELLING_LETTERS)}
+
+    def vote(known: Column) -> Column:
+        more = lambda lang: known["extra"][extra[lang]] if lang in extra else F.lit(0)
+        scores = F.array(*[F.size(F.array_intersect(known["words"], F.lit(own.split()))) + more(lang) for lang, own in FREQUENT_WORDS.items()])
+        best = lambda s: F.array_position(s, F.array_max(s)).cast("int")  # noqa: E731  (the first of the highest)
+        return F.transform(F.array(scores), lambda s: F.when(F.array_max(s) == s[0], "en").otherwise(F.element_at(F.lit(list(FREQUENT_WORDS)), best(s))))[0]
+
+    def script(letters: Column) -> Column:
+        out = F.when(letters == "", None)
+        for pattern, lang in SCRIPTS:
+            out = out.when(letters.rlike(pattern), lang)
+        return out
+
+    # what a lambda is given is looked at once, however often it stands inside
+    own = F.transform(F.array(F.regexp_replace(t, r"[\x00-\xFF]+", "")), script)[0]
+    voted = F.transform(F.array(F.struct(words.alias("words"), F.transform(F.array(odd), telling)[0].alias("extra"))), vote)[0]
+    return F.coalesce(own, voted)
 
 
 def tokenize_documents(docs: DataFrame, key: str, text: str) -> DataFrame:

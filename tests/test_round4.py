@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
-from corpusframe.operators import graph, retrieval, upkeep
+from corpusframe.operators import graph, retrieval, text_jobs, upkeep
 from corpusframe.plans import q_rules
 from tests.test_search import own_bm25
 
@@ -104,3 +104,15 @@ def test_files_with_hits_are_not_spread(spark):
         found.setdefault((r.query_id, r.file), []).append((r.place, r.chunk_key))
     assert all(sorted(found[q, f"f{p}"]) == [(1, 3 * q + p), (2, p if q else p + 3)] for q in range(30) for p in (0, 1)) and all(len(found[q, "f2"]) == 2 for q in range(30))
     assert max(made(got, "Join")) <= 30 * 100  # the third file's chunks for those that have no hit there, not every file's
+
+
+def test_languages_cut_a_text_once(spark):
+    plan = spark.createDataFrame([("a",)], "text string").select(text_jobs.detect_language())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 2  # one for texts of ASCII, one for others
+    # no script has a letter below U+0100, no telling letter is one of ASCII
+    low = spark.createDataFrame([(chr(c), c) for c in range(256)], "c string, n int")
+    assert low.where(F.greatest(*[F.col("c").rlike(p).cast("int") for p, _ in text_jobs.SCRIPTS]) > 0).count() == 0
+    assert low.where((F.col("n") < 128) & (F.greatest(*[F.lower("c").rlike(p).cast("int") for p, _ in text_jobs.TELLING_LETTERS]) > 0)).count() == 0
+    said = [("¿QUÉ TAL?", "es"), ("Straße", "de"), ("AÇÃO", "pt"), ("IŞIK", "tr"), ("ŁÓDŹ", "pl"), ("Được không", "vi"), ("THỦ ĐÔ", "vi"), ("слово", "ru"), ("这是 the", "zh-CN"), ("— “le chat” est œuvre", "fr"), ("der Übung für", "de"), ("", "en"), (None, "en"), ("the der", "en")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i int, text string").select("i", text_jobs.detect_language().alias("l")).collect()
+    assert {r.i: r.l for r in got} == {i: x for i, (_, x) in enumerate(said)}
