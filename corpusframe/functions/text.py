@@ -100,8 +100,7 @@ def tokens(text) -> Column:
 
 
 def _meaningful(words: Column) -> Column:
-    stop = F.lit(STOP_WORDS)
-    return F.filter(words, lambda w: (F.char_length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.char_length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
 def fold_accents(text) -> Column:
@@ -119,7 +118,8 @@ def tokens_expanded(text) -> Column:
     """T4: T1 of T3, then each folded form that differs from its token and is not there yet, once."""
 
     def with_folds(t: Column) -> Column:
-        return F.concat(t, F.array_except(F.transform(t, lambda w: F.translate(w, FOLD_FROM, FOLD_TO)), t))
+        accented = F.filter(t, lambda w: F.octet_length(w) > F.char_length(w))  # words of ASCII fold to themselves
+        return F.concat(t, F.array_except(F.transform(accented, lambda w: F.translate(w, FOLD_FROM, FOLD_TO)), t))
 
     # composed first: what stands inside composed() is looked at twice
     return F.transform(F.array(_meaningful(_runs(split_camel_num(composed(text))))), with_folds)[0]
